@@ -1,17 +1,61 @@
-"""A corpus pipeline over `documents`: each stage's rows are written and read again as the next one's input."""
+"""A corpus pipeline over `documents`: each stage's rows are written and read again as the next one's input.
+
+All stages but the last return the columns of documents, n_chars following the text; columns that a stage doesn't
+know pass through. A document that a stage cuts down to nothing goes; one that was empty before stays.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rxnframe.llm import line_dedup, near_dedup, packing, quality, substring_dedup
 from rxnframe.llm.common import read, table
 
-STAGES: list = []
+
+def _cut(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of docs after a stage that removed n_removed units of text."""
+    left = out.filter((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(docs.columns)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that the classifier rejects go."""
+    trusted = read(spark, sf_dir, "labels").filter(F.col("quality") == 1)
+    model = quality.fit(docs, trusted)
+    return quality.score(docs, model).filter("predicted = 1").select(docs.columns)
+
+
+def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: cross-site boilerplate lines go."""
+    return _cut(line_dedup.dedup_lines(docs), docs)
+
+
+def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: one document of each group of near-duplicates stays, the one with the smallest id."""
+    drop = near_dedup.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).filter(~F.col("kept")).select("doc_id")
+    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+
+
+def passage_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: passages of 50 words or more that a smaller document holds go."""
+    return _cut(substring_dedup.remove_repeats(docs), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: token pieces with their place in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", quality_filter), ("line dedup", line_filter), ("MinHash near-dedup", near_filter), ("substring dedup", passage_filter), ("best-fit packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
