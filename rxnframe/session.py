@@ -40,3 +40,11 @@ def table(df: DataFrame) -> DataFrame:
     path = work_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder; it keeps the partitioning, so that rounds of an iteration don't shuffle again."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(work_dir(df.sparkSession))
+    return df.checkpoint()
