@@ -59,10 +59,10 @@ def apply_standardise(df: DataFrame, fitted: DataFrame, columns: list[str]) -> D
     return out.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in columns}).select(df.columns)
 
 
-def fragment_energy(df: DataFrame, energies: DataFrame, by: str, key: str, value: str) -> DataFrame:
-    """Sum of the fragments' energies per group, 0 if any is missing."""
+def fragment_energy(df: DataFrame, energies: DataFrame, by: str, key: str, value: str, on: str | None = None) -> DataFrame:
+    """Sum of the energies of a group's fragments (column `on`, by default named as the energies' key), 0 if any is missing."""
     known = energies.select(F.col(key).alias("_k"), F.col(value).alias("_e"))
-    out = df.join(known, df[key] == known["_k"], "left").groupBy(by).agg(F.count("*").alias("n"), F.count("_e").alias("known"), F.sum("_e").alias("total"))
+    out = df.join(known, df[on or key] == known["_k"], "left").groupBy(by).agg(F.count("*").alias("n"), F.count("_e").alias("known"), F.sum("_e").alias("total"))
     return out.select(by, F.when(F.col("n") == F.col("known"), F.col("total")).otherwise(0.0).alias("energy"))
 
 

@@ -47,4 +47,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(work_dir(df.sparkSession))
-    return df.checkpoint()
+    held = df.persist()  # else the rows are computed twice, once to count and once to write
+    out = held.checkpoint()
+    held.unpersist()
+    return out
