@@ -140,12 +140,12 @@ def geometry_deviation(coords: DataFrame, elements: DataFrame, bonds: DataFrame
 
 
 def motion_indicators(coords: DataFrame, modes: DataFrame, elements: DataFrame, targets: DataFrame, scale: float = 1.8, step: float = 0.5) -> DataFrame:
-    """along a mode (mx, my, mz per atom), pairs within scale * (r_i + r_j) rank by how much their distance changes. Per graph: mean and least change of the target pairs (0 for one out of range), the sum of non-target changes ranked above the worst target, and the longest target pair."""
+    """along a mode (mx, my, mz per atom), pairs within scale * (r_i + r_j) rank by how much their distance changes (to 9 digits, ties by node). Per graph: mean and least change of the target pairs (0 for one out of range), the sum of non-target changes ranked above the worst target, and the longest target pair."""
     keys = ["graph_id"]
     at = coords.join(modes, ["graph_id", "node"]).join(F.broadcast(elements.select("element", "radius")), "element")
     p = _moved(at.select("graph_id", "node", "radius", *XYZ, "mx", "my", "mz"), "i", keys).join(_moved(at.select("graph_id", "node", "radius", *XYZ, "mx", "my", "mz"), "j", keys), keys).filter("node_i < node_j")
     gap = lambda s: F.sqrt(sum(((F.col(f"{c}_i") + s * F.col(f"m{c}_i") - F.col(f"{c}_j") - s * F.col(f"m{c}_j")) ** 2 for c in XYZ), F.lit(0.0)))
-    p = p.withColumns({"d": gap(0.0), "change": F.abs(gap(step) - gap(-step))})
+    p = p.withColumns({"d": gap(0.0), "change": F.round(F.abs(gap(step) - gap(-step)), 9)})
     t = targets.select("graph_id", F.col("u").alias("node_i"), F.col("v").alias("node_j")).distinct().withColumn("target", F.lit(True))
     p = p.join(t, ["graph_id", "node_i", "node_j"], "left").fillna(False, ["target"])
     near = (F.col("d") > 0) & (F.col("d") < scale * (F.col("radius_i") + F.col("radius_j")))

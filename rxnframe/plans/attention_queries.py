@@ -15,13 +15,13 @@ HEADS, WIDTH, H, FW = 2, 2, 3, 2
 
 
 def weights(rows: int, cols: int, k: int) -> list[list[float]]:
-    return [[round(math.sin(7 * i + j + k), 6) for j in range(cols)] for i in range(rows)]
+    return [[math.sin(7 * i + j + k) for j in range(cols)] for i in range(rows)]
 
 
 W_EDGE, W_NODE = weights(HEADS * WIDTH, 2 * H + FW, 0), weights(HEADS * WIDTH, H, 1)
 W_ATTN, W_SELF = weights(HEADS, WIDTH, 2), weights(HEADS, WIDTH, 3)
 W_OLD, W_NEW = weights(4, H, 4), weights(4, 4, 5)
-BIAS = [0.1, -0.2, 0.3, 0.05]
+BIAS = [math.sin(0.1), math.sin(-0.2), math.sin(0.3), math.sin(0.05)]
 _ATTN = [sum(c) for c in zip(*W_ATTN)]
 _SELF = [sum(c) for c in zip(*W_SELF)]
 
@@ -100,7 +100,7 @@ def d16(spark, sf):
     return _wide(A.pair_attention(n, pairs, 2, scale_degree=True), "h", 2)
 
 
-@query("d17_dense", cte("n", nd=_ND) + "select graph_id, node, " + ", ".join(f"round({_leaky('(' + _lin(W_NODE[i], ['a', 'b', 'c']) + f' + ({BIAS[i]!r}::double))')}, 6) as x{i}" for i in range(4)) + " from nd")
+@query("d17_dense", cte("n", nd=_ND) + "select graph_id, node, " + ", ".join(f"round({_leaky('(' + _lin(W_NODE[i], ['a', 'b', 'c']) + f' + ({BIAS[i]!r}::double))')}, 6) + 0.0::double as x{i}" for i in range(4)) + " from nd")
 def d17(spark, sf):
     return _wide(A.dense(_nodes(spark, sf), "h", W_NODE, BIAS), "out", 4)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from rxnframe.functions import columns as K
@@ -69,13 +71,13 @@ def d24(spark, sf):
 _ENV = "(1 / d + -28.0::double * pow(d, 5) + 48.0::double * pow(d, 6) + -21.0::double * pow(d, 7))"
 
 
-@query("b26_radial_basis", cte("co", "dim", pr=_PAIRS, s="select graph_id, frame, u, v, d / 5.0 as d from pr") + "select graph_id, frame, u, v, " + ", ".join(f"round(case when d > 0 and d < 1 then {_ENV} * sin({k} * pi() * d) else 0 end, 6) as b{k}" for k in (1, 2, 3)) + " from s")
+@query("b26_radial_basis", cte("co", "dim", pr=_PAIRS, s="select graph_id, frame, u, v, d / 5.0 as d from pr") + "select graph_id, frame, u, v, " + ", ".join(f"round(case when d > 0 and d < 1 then {_ENV} * sin({k} * pi() * d) else 0 end, 6) + 0.0::double as b{k}" for k in (1, 2, 3)) + " from s")
 def b26(spark, sf):
     p = M.pairs(X.coords(spark, sf)).withColumn("b", K.radial_basis(F.col("d"), 3, 5.0))
     return p.select("graph_id", "frame", F.col("node_i").alias("u"), F.col("node_j").alias("v"), *[F.round(F.col("b")[k - 1], 6).alias(f"b{k}") for k in (1, 2, 3)])
 
 
-_MODE = "select graph_id, node, l_discount::double as mx, l_tax::double as my, (l_quantity::double - 25) / 50 as mz from n"
+_MODE = "select graph_id, node, l_discount::double * sin(1.0::double) as mx, l_tax::double * sin(2.0::double) as my, (l_quantity::double - 25) / 50 * sin(3.0::double) as mz from n"
 _MOVE = """select a.graph_id, a.node as u, b.node as v, da.radius + db.radius as rr, sqrt(pow(a.x-b.x, 2) + pow(a.y-b.y, 2) + pow(a.z-b.z, 2)) as d,
  abs(sqrt(pow(a.x + 0.5*p.mx - b.x - 0.5*q.mx, 2) + pow(a.y + 0.5*p.my - b.y - 0.5*q.my, 2) + pow(a.z + 0.5*p.mz - b.z - 0.5*q.mz, 2)) - sqrt(pow(a.x - 0.5*p.mx - b.x + 0.5*q.mx, 2) + pow(a.y - 0.5*p.my - b.y + 0.5*q.my, 2) + pow(a.z - 0.5*p.mz - b.z + 0.5*q.mz, 2))) as c
  from co a join co b on a.graph_id = b.graph_id and a.frame = 0 and b.frame = 0 and a.node < b.node join md p on a.graph_id = p.graph_id and a.node = p.node join md q on b.graph_id = q.graph_id and b.node = q.node join dim da on a.element = da.element join dim db on b.element = db.element"""
@@ -88,7 +90,7 @@ _MOVE = """select a.graph_id, a.node as u, b.node as v, da.radius + db.radius as
     + "select graph_id, round(avg(case when target then c end), 6) as mean_target, round(min(case when target then c end), 6) as least_target, round(sum(case when not target and rank < worst then c else 0 end), 6) as unexpected, round(max(case when target then d end), 6) as longest from s where worst is not null group by graph_id")
 def f2(spark, sf):
     d = lambda c: F.col(c).cast("double")
-    modes = X.nodes(spark, sf).select("graph_id", "node", d("l_discount").alias("mx"), d("l_tax").alias("my"), ((d("l_quantity") - 25) / 50).alias("mz"))
+    modes = X.nodes(spark, sf).select("graph_id", "node", (d("l_discount") * math.sin(1)).alias("mx"), (d("l_tax") * math.sin(2)).alias("my"), ((d("l_quantity") - 25) / 50 * math.sin(3)).alias("mz"))
     targets = E.connection_changes(X.bonds(spark, sf, "r"), X.bonds(spark, sf, "p"))
     out = M.motion_indicators(X.coords(spark, sf).filter("frame = 0").drop("frame"), modes, X.elements(spark), targets)
     return _round(out, "mean_target", "least_target", "unexpected", "longest")
