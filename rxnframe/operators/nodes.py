@@ -147,7 +147,7 @@ def rotatable_bonds(edges: DataFrame, bonds: DataFrame, ring_bonds: DataFrame) -
 
 
 #: Widths of the feature groups: node groups first, then edge groups; those in OPTIONAL are off by default.
-NODE_WIDTHS: Mapping[str, int] = {"element": 1, "neighbours": 4, "reactive": 1, "ring": 1, "charge": 1, "aromatic": 1, "chiral": 3, "hybrid": 4, "radical": 2, "spiro": 1, "bridgehead": 1, "hbond": 2, "electronegativity": 1}
+NODE_WIDTHS: Mapping[str, int] = {"element": 2, "neighbours": 4, "reactive": 1, "ring": 1, "charge": 1, "aromatic": 1, "chiral": 3, "hybrid": 4, "radical": 2, "spiro": 1, "bridgehead": 1, "hbond": 2, "electronegativity": 1}
 EDGE_WIDTHS: Mapping[str, int] = {"bond_type": 5, "ring": 1, "bond_order": 5, "conjugated": 1, "stereo": 3, "rotatable": 2}
 OPTIONAL = {"radical", "spiro", "bridgehead", "hbond", "electronegativity", "rotatable"}
 

@@ -63,11 +63,11 @@ def b19(spark, sf):
 
 
 
-@query("b20_assemble_features", cte("rd", "dim", nb=_NB) + f"select n.graph_id, n.node, d.number || ',' || coalesce(n_H, 0) || ',' || coalesce(n_C, 0) || ',' || coalesce(n_N, 0) || ',' || coalesce(n_O, 0) || ',' || charge || ',' || case when element in ('C', 'N') then '1,0,0' else '0,0,1' end as features, case when element in ('C', 'N') then d.number || ',' || charge else d.number || ',' || charge end as ablated, 9::bigint as width from n join dim d using (element) left join nb using (graph_id, node)")
+@query("b20_assemble_features", cte("rd", "dim", nb=_NB) + f"select n.graph_id, n.node, d.number || ',' || floor(d.mass)::int || ',' || coalesce(n_H, 0) || ',' || coalesce(n_C, 0) || ',' || coalesce(n_N, 0) || ',' || coalesce(n_O, 0) || ',' || charge || ',' || case when element in ('C', 'N') then '1,0,0' else '0,0,1' end as features, d.number || ',' || floor(d.mass)::int || ',' || charge as ablated, 10::bigint as width from n join dim d using (element) left join nb using (graph_id, node)")
 def b20(spark, sf):
     a = N.element_features(X.atoms(spark, sf), X.elements(spark))
     a = a.join(N.neighbour_counts(X.directed(spark, sf, "r"), X.atoms(spark, sf)), ["graph_id", "node"])
-    groups = {"element": F.array("number"), "neighbours": F.array("n_H", "n_C", "n_N", "n_O"), "charge": F.array("charge"), "chiral": K.one_hot(F.when(F.col("element").isin("C", "N"), 1).otherwise(3), [1, 2, 3])}
+    groups = {"element": F.array("number", "mass"), "neighbours": F.array("n_H", "n_C", "n_N", "n_O"), "charge": F.array("charge"), "chiral": K.one_hot(F.when(F.col("element").isin("C", "N"), 1).otherwise(3), [1, 2, 3])}
     out = N.assemble_features(a, groups)
     out = N.assemble_features(out, groups, drop=("neighbours", "chiral"), name="ablated")
     text = lambda c: F.array_join(F.col(c).cast("array<int>").cast("array<string>"), ",")
