@@ -3,7 +3,8 @@
 A document's ids (the tokenizer's, without special tokens, then `end`) are cut into pieces of at most `size` tokens.
 Pieces are dealt to shards of about SHARD pieces by a hash. In each shard a histogram of rounded-up lengths is fitted by
 non-negative least squares with the patterns of one to three lengths that nearly fill a sequence; the counts are rounded
-down and filled with pieces, and what is left goes best-fit, longest first, into the fullest sequence with room.
+down and filled with pieces of a pattern's lengths, the last place and what room remains with the longest pieces that fit,
+and what is left goes best-fit, longest first, into the fullest sequence with room.
 Sequences that stay under FULL are taken apart and packed again together with those of other shards.
 
 Null texts are empty: they hold only `end`. Rows that repeat an id, or have none, are packed each. An empty table gives no
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from rxnframe.llm.common import table
 
 SHARD, AGAIN, FULL, QUANTUM = 4096, 256, 0.985, 64
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
+ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without letters, digits and the apostrophe
 
 
@@ -46,36 +48,48 @@ class WordTokenizer:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Words of letters only are encoded many in one text and told apart by their last tokens; other chunks split into words and a tail of punctuation first, or go through one by one."""
-        known, parts = self.known, {}
+        """Words of letters only are encoded many in one text and told apart by their last tokens; other chunks split into a word and a tail of punctuation first, or go through one by one."""
+        known, ended, todo, other = self.known, [], set(), set()
         for c in chunks:
             core = c.rstrip(PUNCTUATION)
-            if core and not core.decode()[-1].isalnum():
-                core = c  # the tail would be cut off from punctuation before it
-            parts[c] = (core, c[len(core) :])
-        todo = {x for pair in parts.values() for x in pair if x and x not in known}
-        plain = [x for x in todo if (t := x.decode()).isalpha()]
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.library.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(core) < len(c) and core:
+                if core[-1] in ALNUM or (core[-1] > 127 and core.decode()[-1].isalnum()):  # else the tail would be cut off from punctuation before it
+                    tail = c[len(core) :]
+                    ended.append((c, core, tail))
+                    other.add(tail)
+                    todo.add(core)
+                else:
+                    other.add(c)
+            else:
+                todo.add(c)
+        plain = []
+        for x in todo:
+            if x not in known:
+                if (t := x.decode()).isalpha():
+                    plain.append(t)
+                else:
+                    other.add(x)
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
+            raw = self.whole(" ".join(some))
+            ends = 4 * (np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1)
             if len(ends) == len(some):
-                raw, at = ids.tobytes(), 0
-                for x, e in zip(some, (4 * ends).tolist()):
-                    known[x], at = raw[at:e], e
+                at = 0
+                for x, e in zip(some, ends.tolist()):
+                    known[x.encode()], at = raw[at:e], e
             else:
-                known.update((x, self.whole(x.decode())) for x in some)
-        other = [x for x in todo if x not in known]
-        for x, e in zip(other, self.library.encode_batch_fast([x.decode() for x in other], add_special_tokens=False)):
+                other.update(x.encode() for x in some)
+        rest = [x for x in other if x not in known]
+        for x, e in zip(rest, self.library.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
             known[x] = np.array(e.ids, "<u4").tobytes()
-        for c, (core, tail) in parts.items():
-            if c not in known:
-                known[c] = known.get(core, b"") + known.get(tail, b"")
+        for c, core, tail in ended:
+            known[c] = known[core] + known[tail]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids. Lower-casing first is the library's own step and is done here only where it commutes with its other normalisers."""
@@ -89,10 +103,13 @@ class WordTokenizer:
                 split[i] = low.encode().split()
             else:
                 out[i] = self.whole(t)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if miss := list(set().union(*split.values()).difference(self.known)):
-            self.learn(miss)
+        if len(self.known) > CACHE_WORDS:  # what was in use lately stays
+            self.older, self.known = self.known, {}
+        need = set().union(*split.values()).difference(self.known)
+        kept = {c: ids for c in need if (ids := self.older.get(c)) is not None}
+        self.known |= kept
+        if len(kept) < len(need):
+            self.learn([c for c in need if c not in kept])
         get = self.known.__getitem__
         for i, chunks in split.items():
             out[i] = b"".join(map(get, chunks))
@@ -155,23 +172,38 @@ def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each piece."""
     bins = -(-size // QUANTUM)
     order = np.argsort(-lengths, kind="stable")
-    pools: list[list[int]] = [[] for _ in range(bins)]
+    pools: list[list[tuple[int, int]]] = [[] for _ in range(bins)]
     seq, offset, used = np.full(len(lengths), -1), np.zeros(len(lengths), np.int64), []
     for i in order[::-1].tolist():
-        pools[-(-int(lengths[i]) // QUANTUM) - 1].append(i)
+        n = int(lengths[i])
+        pools[-(-n // QUANTUM) - 1].append((n, i))
+
+    def largest(space: int) -> tuple[int, int] | None:
+        """The longest piece left that fits, taken out."""
+        b = -(-space // QUANTUM) - 1
+        if b >= 0 and (k := bisect_left(pools[b], (space + 1, -1))):
+            return pools[b].pop(k - 1)
+        for b in range(b - 1, -1, -1):
+            if pools[b]:
+                return pools[b].pop()
+        return None
+
     m = patterns(bins)
     count = np.floor(least_squares(m, np.array([len(p) for p in pools], float)) + 1e-6).astype(int)
     for j in np.flatnonzero(count):
-        need = m[:, j].astype(int)
+        need = np.repeat(np.arange(bins), m[:, j].astype(int))[::-1].tolist()
         for _ in range(count[j]):
-            if any(len(pools[b]) < need[b] for b in np.flatnonzero(need)):
+            if any(len(pools[b]) < need.count(b) for b in need):
                 break
+            got = [pools[b].pop() for b in need[:-1]]
+            at = sum(n for n, _ in got)
+            while at < size and (one := largest(size - at)):
+                got.append(one)
+                at += one[0]
             at = 0
-            for b in np.flatnonzero(need)[::-1]:
-                for _ in range(need[b]):
-                    i = pools[b].pop()
-                    seq[i], offset[i] = len(used), at
-                    at += int(lengths[i])
+            for n, i in got:
+                seq[i], offset[i] = len(used), at
+                at += n
             used.append(at)
     room = sorted((size - u, s) for s, u in enumerate(used) if u < size)
     for i in order[seq[order] < 0].tolist():
