@@ -52,6 +52,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def codewords(n: int) -> np.ndarray:
     """n codewords of +-1: all distinct splits for up to 5 languages, else seeded random columns, 8 bits for each doubling."""
+    if not n:
+        return np.zeros((0, 0), np.float32)
     if n <= 5:
         cols = [c for c in product((1, -1), repeat=n) if c[0] == 1 and -1 in c]
         return np.array(cols, np.float32).T if cols else np.zeros((n, 0), np.float32)

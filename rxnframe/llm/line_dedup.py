@@ -44,19 +44,19 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, band: float = BAND, min_cha
     wide = table(boilerplate(docs, sites, band, min_chars))
     hits = site_lines(docs, min_chars).select("doc_id", "hash", "pos").join(wide, "hash")
     gone = hits.filter((F.col("doc_id") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos")))
-    held = gone.groupBy("doc_id").agg(F.collect_set("hash").alias("_gone"))
-    firsts = wide.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct("hash", F.col("first_pos").alias("pos"))).alias("_first"))
+    held = gone.groupBy("doc_id").agg(F.collect_set("hash").alias("__gone"))
+    firsts = wide.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct("hash", F.col("first_pos").alias("pos"))).alias("__first"))
     marks = held.join(firsts, "doc_id", "left")
     out = docs.join(marks, "doc_id", "left")
     split = F.split("text", "\n")
     stays = lambda line, pos: (
         F.length(line) < min_chars
-    ) | ~F.array_contains("_gone", F.xxhash64(line)) | F.coalesce(F.array_contains("_first", F.struct(F.xxhash64(line).alias("hash"), pos.alias("pos"))), F.lit(False))
-    kept = F.when(F.col("_gone").isNull(), split).otherwise(F.filter(split, stays))
-    out = out.withColumn("_kept", kept)
+    ) | ~F.array_contains("__gone", F.xxhash64(line)) | F.coalesce(F.array_contains("__first", F.struct(F.xxhash64(line).alias("hash"), pos.alias("pos"))), F.lit(False))
+    kept = F.when(F.col("__gone").isNull(), split).otherwise(F.filter(split, stays))
+    out = out.withColumn("__kept", kept)
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))).drop("_gone", "_first", "_kept")
+    out = out.withColumn("n_removed", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
+    return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))).drop("__gone", "__first", "__kept")
 
 
 def sql(sites: int = SITES, min_chars: int = MIN_CHARS) -> str:

@@ -177,9 +177,9 @@ def remove_repeats(df: DataFrame, window: int = 50, digest: bool = False) -> Dat
     A kept word keeps the white space before it; a text that loses nothing stays as it is. With digest, kept_sha256 (of
     the kept words joined by one space) stands in for the text."""
     df = df.drop("n_words", "n_removed", *(["kept_sha256"] if digest else []))
-    spans = repeated_spans(df, window).withColumnRenamed("doc_id", "_id")
-    keyed = df.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(spans, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("row_key")), "left").drop("_id", "_key", "row_key")
+    spans = repeated_spans(df, window).toDF("__id", "__row", "__spans")
+    keyed = df.withColumn("__key", F.xxhash64("text"))
+    joined = keyed.join(spans, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__key") == F.col("__row")), "left").drop("__id", "__key", "__row")
     keep = [f for f in df.schema if not (digest and f.name == "text")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_words long, n_removed long"] + ["kept_sha256 string"] * digest)
 
@@ -187,7 +187,7 @@ def remove_repeats(df: DataFrame, window: int = 50, digest: bool = False) -> Dat
         for batch in batches:
             data, off = utf8(batch, "text")
             null = batch.column("text").is_null().to_pylist()
-            cuts = batch.column("spans")
+            cuts = batch.column("__spans")
             total, gone, text = [], [], []
             for a, b in row_ranges(off):
                 part = data[off[a] : off[b]]

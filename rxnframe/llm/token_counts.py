@@ -72,8 +72,8 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
     text = F.coalesce(F.col(column), F.lit(""))
-    keyed = df.drop("n_bytes", "n_tokens", "over_limit").withColumn("content_digest", F.sha2(text, 256))
-    misses = keyed.select("content_digest", text.alias("content")).groupBy("content_digest").agg(F.first("content").alias("content")).join(stored, "content_digest", "left_anti")
+    keyed = df.drop("n_bytes", "n_tokens", "over_limit").withColumn("__digest", F.sha2(text, 256))
+    misses = keyed.select(F.col("__digest").alias("content_digest"), text.alias("content")).groupBy("content_digest").agg(F.first("content").alias("content")).join(stored, "content_digest", "left_anti")
 
     def run(batches):
         for batch in batches:
@@ -83,4 +83,4 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
     misses.mapInArrow(run, CACHE).write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
     counted = keyed.withColumn("n_bytes", F.octet_length(text).cast("long"))
-    return counted.join(stored, "content_digest", "left").drop("content_digest").withColumn("over_limit", F.col("n_tokens") > limit)
+    return counted.join(stored.withColumnRenamed("content_digest", "__digest"), "__digest", "left").drop("__digest").withColumn("over_limit", F.col("n_tokens") > limit)
