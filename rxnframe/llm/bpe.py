@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rxnframe.llm.common import chunks
+from rxnframe.llm.common import chunks, lean
 from rxnframe.llm.pretokenise import pieces
 
 CACHE_PIECES = 600_000
@@ -121,7 +121,7 @@ def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
             offsets = [np.cumsum([0, *(len(vocab.tokens[i]) for i in x)])[:-1].tolist() if x else [] for x in ids]
             yield _add(batch, {"ids": pa.array(ids, pa.list_(pa.int32())), "offsets": pa.array(offsets, pa.list_(pa.int32()))})
 
-    return df.mapInArrow(run, _schema(df, "ids array<int>, offsets array<int>"))
+    return lean(df).mapInArrow(run, _schema(df, "ids array<int>, offsets array<int>"))
 
 
 def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
@@ -133,7 +133,7 @@ def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
             out = [None if ids is None else b"".join(map(token, ids)) for ids in batch.column(column).to_pylist()]
             yield _add(batch, {"decoded": pa.array(out, pa.binary())})
 
-    return df.mapInArrow(run, _schema(df, "decoded binary"))
+    return lean(df).mapInArrow(run, _schema(df, "decoded binary"))
 
 
 def round_trip(df: DataFrame, path: str, column: str = "text") -> DataFrame:
@@ -150,4 +150,4 @@ def round_trip(df: DataFrame, path: str, column: str = "text") -> DataFrame:
                 text_sha.append(sha(b"".join(map(token, ids))).hexdigest())
             yield _add(batch, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
 
-    return df.mapInArrow(run, _schema(df, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return lean(df).mapInArrow(run, _schema(df, "n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
+BATCH_BYTES = 8 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 
@@ -42,9 +42,10 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0))).first()[0]
 
 
-def spread(df: DataFrame, n: int) -> DataFrame:
-    """At least n tasks for a scan of few large files."""
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+def lean(df: DataFrame) -> DataFrame:
+    """df, with the bytes of a batch handed to Python bounded by more than a number of rows, whatever the texts' lengths."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
 
 
 def chunks(texts: list[str], limit: int = 1 << 20):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import chunks
+from rxnframe.llm.common import chunks, lean
 from rxnframe.llm.pretokenise import LETTER, classes
 
 SAMPLE, BUCKETS, SATURATE = 3000, 1 << 15, 40
@@ -127,4 +127,4 @@ def predict(df: DataFrame, model: Model, close: float = 0.2) -> DataFrame:
             cols = [batch.column(f.name) for f in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in keep] + list(names))
 
-    return df.mapInArrow(run, schema)
+    return lean(df).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import mix, rolling, row_ranges, table, utf8, words
+from rxnframe.llm.common import lean, mix, rolling, row_ranges, table, utf8, words
 from rxnframe.llm.components import components
 
 ROWS, BANDS, BATCH, MISS = 6, 20, 24, 1e-6
@@ -88,7 +88,7 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS) ->
                     names=["doc_id", "n_shingles", "digest", "bands", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return lean(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
 
 
 @cache
@@ -166,7 +166,7 @@ def compare_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
         if len(ids) > 1:
             yield done()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return lean(rows).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

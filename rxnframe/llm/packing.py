@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import table
+from rxnframe.llm.common import lean, table
 
 SHARD, AGAIN, FULL, QUANTUM = 4096, 256, 0.985, 64
 CACHE_WORDS = 400_000
@@ -140,7 +140,7 @@ def cut(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return lean(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 @cache

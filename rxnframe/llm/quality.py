@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import local_rows, row_ranges, utf8, words
+from rxnframe.llm.common import lean, local_rows, row_ranges, utf8, words
 
 POSITIVES, UNLABELLED, CUTOFF = 2500, 4500, 0.3
 _SHAPE = np.zeros(256, np.int64)
@@ -142,4 +142,4 @@ def score(df: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
             cols = [batch.column(f.name) for f in keep] + [pa.array(s, pa.float64()), pa.array((s >= cutoff).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in keep] + ["score", "predicted"])
 
-    return df.mapInArrow(run, schema)
+    return lean(df).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import local_rows, mix, rolling, row_ranges, text_bytes, utf8, words
+from rxnframe.llm.common import lean, local_rows, mix, rolling, row_ranges, text_bytes, utf8, words
 
 GROUP_BYTES = 6 << 20
 PRINT = 5  # bytes of a window's fingerprint beside its 64-bit edge
@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 got = list(_paths(data[off[a] : off[b]], off[a : b + 1] - off[a], doc[a:b], key[a:b], window, groups))
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["group", "blob"])
 
-    blobs = docs.mapInArrow(run, "group int, blob binary")
+    blobs = lean(docs).mapInArrow(run, "group int, blob binary")
     spans = blobs.groupBy("group").applyInPandas(_judge(window), "doc_id long, row_key long, first int, last int")
     return spans.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
@@ -217,4 +217,4 @@ def remove_repeats(df: DataFrame, window: int = 50, digest: bool = False) -> Dat
             new["kept_sha256" if digest else "text"] = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays([new.get(f.name, None) if f.name in new else batch.column(f.name) for f in keep] + [new[n] for n in new if n != "text"], names=[f.name for f in keep] + [n for n in new if n != "text"])
 
-    return joined.mapInArrow(run, schema)
+    return lean(joined).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import chunks, work_dir
+from rxnframe.llm.common import chunks, lean, work_dir
 from rxnframe.llm.pretokenise import pieces
 
 CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -80,7 +80,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
             counts = count_texts(batch.column("content").to_pylist(), tokenizer_path)
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
-    misses.mapInArrow(run, CACHE).write.mode("append").parquet(cache_path)
+    lean(misses).mapInArrow(run, CACHE).write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
     counted = keyed.withColumn("n_bytes", F.octet_length(text).cast("long"))
     return counted.join(stored.withColumnRenamed("content_digest", "__digest"), "__digest", "left").drop("__digest").withColumn("over_limit", F.col("n_tokens") > limit)
