@@ -4,8 +4,8 @@ Unit vectors are rotated and cut into blocks of WIDTH dimensions. Cosine >= t me
 at least one block the squared distance is within that block's proportional share of the budget. Each block is joined by
 range on a grid of its first two coordinates with cells as wide as the block's radius: a row is at home in its cell and
 probes half of the neighbouring cells, so a pair meets once. Candidates within the block's budget are verified exactly by
-cosine in double precision, in the first block that finds them. Crowded cells are split: rows at home are dealt
-to chunks and probes visit every chunk. A task returns link counts and one label for each row, never pairs.
+cosine in double precision, in the first block that finds them. Crowded cells are split into tiles: rows at
+home are dealt to chunks and probes to turns, and every chunk meets every turn. A task returns link counts and one label for each row, never pairs.
 
 Equal vectors collapse to their smallest id first and count with their number. Vectors that are null, empty, zero or
 hold null or non-finite components link with nothing: n_links 0, their own component. Only vectors of equal length are
@@ -25,7 +25,7 @@ from rxnframe.llm.common import table
 from rxnframe.llm.components import components
 from rxnframe.llm.top_k import valid_vectors
 
-WIDTH, CHUNK, SLICE = 16, 2048, 512
+WIDTH, CHUNK, PROBES, SLICE = 16, 2048, 4096, 512
 HALF = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 
 
@@ -128,11 +128,11 @@ def near_vectors(df: DataFrame, t: float = 0.95) -> DataFrame:
     vectors = good.join(sets, [good.digest == sets.digest, good.vec_id == sets.id]).select("id", "n", "vector").dropDuplicates(["id", "vector"])
     cells = table(_cells(vectors, t).select("id", "n", "vector", F.size("vector").alias("width"), F.explode("cells").alias("c")).select("id", "n", "vector", "width", "c.*"))
     key = ["width", "block", "x", "y"]
-    crowd = table(cells.filter("home").groupBy(*key).agg(F.ceil(F.count("*") / CHUNK).alias("chunks")))
+    crowd = table(cells.groupBy(*key).agg(F.ceil(F.count_if("home") / CHUNK).alias("chunks"), F.ceil(F.count("*") / PROBES).alias("turns")).filter("chunks > 0"))
     visits = cells.join(crowd, key)
-    homes = visits.filter("home").withColumn("chunk", F.expr("pmod(xxhash64(id), chunks)")).withColumn("side", F.lit(0))
-    probes = visits.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("side", F.lit(1))
-    key = [*key, "chunk"]
+    homes = visits.filter("home").withColumn("chunk", F.expr("pmod(xxhash64(id), chunks)")).withColumn("turn", F.explode(F.expr("sequence(0L, turns - 1)"))).withColumn("side", F.lit(0))
+    probes = visits.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("turn", F.expr("pmod(xxhash64(id, 5), turns)")).withColumn("side", F.lit(1))
+    key = [*key, "chunk", "turn"]
     meet = homes.select(*key, "side", "home", "id", "n", "vector").unionByName(probes.select(*key, "side", "home", "id", "n", "vector"))
 
     def run(batches):
