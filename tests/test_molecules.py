@@ -170,3 +170,40 @@ def test_fragment_count_is_atoms_minus_tree_edges(spark, small):
     edges = X.bonds(spark, small, "r").select("graph_id", "u", "v").distinct()
     per = parts.groupBy("graph_id").agg(F.count("*").alias("n"), F.countDistinct("component").alias("c")).join(edges.groupBy("graph_id").count(), "graph_id", "left").fillna(0)
     assert per.filter("n - count > c").count() == 0
+
+
+def brute_segments(a0, a1, b0, b1, n=60):
+    """Least distance over a grid of both segments' points, refined twice around the best one."""
+    import numpy as np
+
+    a0, a1, b0, b1 = (np.array(p, float) for p in (a0, a1, b0, b1))
+    s, t, w = 0.5, 0.5, 0.5
+    for _ in range(4):
+        p, q = np.clip(np.linspace(s - w, s + w, n), 0, 1), np.clip(np.linspace(t - w, t + w, n), 0, 1)
+        d = np.linalg.norm((a0 + p[:, None] * (a1 - a0))[:, None] - (b0 + q[:, None] * (b1 - b0))[None], axis=2)
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        s, t, w = p[i], q[j], w / 8
+    return d.min()
+
+
+def test_alignment_indicators_match_brute_force(spark, small):
+    got = {r.graph_id: r for r in M.alignment_indicators(X.coords(spark, small), X.bonds(spark, small, "r"), X.bonds(spark, small, "p"), X.elements(spark)).collect()}
+    at, element, sides = {}, {}, {"r": {}, "p": {}}
+    for c in X.coords(spark, small).collect():
+        at[c.graph_id, c.frame, c.node], element[c.graph_id, c.node] = (c.x, c.y, c.z), c.element
+    for side in "rp":
+        for b in X.bonds(spark, small, side).collect():
+            sides[side].setdefault(b.graph_id, set()).add((b.u, b.v))
+    checked = 0
+    for g in sorted(got)[:150]:
+        r, p = (sides[s].get(g, set()) for s in "rp")
+        least = {True: 2.0, False: 2.0}
+        seen = {True: [], False: []}
+        for change, frame, standing in [(b, 1, p) for b in r - p] + [(b, 0, r) for b in p - r]:
+            h = "H" in (element[g, change[0]], element[g, change[1]])
+            seen[h] += [brute_segments(*(at[g, frame, x] for x in (*change, *o))) for o in standing if not {*o} & {*change}]
+        for h, name in ((False, "min_cross"), (True, "min_h_cross")):
+            want = min(seen[h]) if seen[h] else least[h]
+            assert getattr(got[g], name) == pytest.approx(want, abs=2e-3)
+            checked += bool(seen[h])
+    assert checked > 20
