@@ -109,7 +109,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "rd": (("rb",), "select graph_id, u, v, ord from rb union all select graph_id, v, u, ord from rb"),
     "pd": (("pb",), "select graph_id, u, v, ord from pb union all select graph_id, v, u, ord from pb"),
     "eu": (("rb", "pb"), "select graph_id, u, v, coalesce(r.ord, 0) as r_order, coalesce(p.ord, 0) as p_order from rb r full join pb p using (graph_id, u, v)"),
-    "dim": ((), "select * from (values " + ", ".join("('%s', %d, %r, %r, %r, %d, %d, %s)" % (*d[:7], d[7] or "null") for d in DIMENSION) + ") t(element, number, mass, radius, electronegativity, valence, octet, most)"),
+    "dim": ((), "select * from (values " + ", ".join("('%s', %d, %r::double, %r::double, %r::double, %d, %d, %s)" % (*d[:7], d[7] or "null") for d in DIMENSION) + ") t(element, number, mass, radius, electronegativity, valence, octet, most)"),
     "co": (("n",), "select graph_id, f.frame, node, element, round(node::double + case when frame = 1 then l_discount::double else 0 end, 6) as x, (l_suppkey % 5)::double as y, round((l_partkey % 7) / 10.0, 6)::double as z from n, (values (0), (1)) f(frame)"),
     "rx": (("n",), f"select graph_id, r || '>>' || p as smiles, confidence from (select graph_id, string_agg(element || {_SIGN}, '.' order by node) filter (where node % 2 = 1) as r, string_agg(element || {_SIGN}, '.' order by node) filter (where node % 2 = 0) as p, max(case when node = 1 then l_discount::double * 10 end) as confidence from n group by graph_id) where r <> '' and p <> ''"),
     "rm": (("n",), "select graph_id, string_agg(md5(l_partkey::varchar), '.' order by node) filter (where node % 2 = 1) as r, string_agg(md5(l_partkey::varchar), '.' order by node) filter (where node % 2 = 0) as p from n group by graph_id"),
