@@ -109,8 +109,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """labelled (doc_id, text, lang); rows without text or lang teach nothing."""
     rows = labelled.filter("text is not null and lang is not null")
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    share = min(1.0, sample / max(1, rows.count()))
+    share = min(1.0, 0.9 * sample / max(1, rows.count()))  # so that the limit leaves the choice to the hash
     picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "lang").limit(sample).collect()
+    picked = sorted(picked, key=lambda r: (r[1], r[0]))
     return Model(langs, [r[0] for r in picked], [r[1] for r in picked])
 
 

@@ -3,7 +3,8 @@
 Trusted positives and unlabelled web text train a linear model on character-shape frequencies by the non-negative
 unbiased risk  pi E_p[l(z)] + max(0, E_u[l(-z)] - pi E_p[l(-z)])  with logistic loss. The class prior pi is
 estimated first: a positive-against-unlabelled model scores rows that it wasn't fitted on, and pi is the least ratio,
-over cutoffs, of the unlabelled share above to the positive share above, with a margin for small samples.
+over cutoffs, of the unlabelled share above to the positive share above, as the lower quartile of the cutoffs that differ from the
+least by no more than chance.
 
 Training takes at most `positives` and `unlabelled` rows, whole texts, chosen by a hash of the id: documented bounds.
 Null texts count as empty and get a score as well. Without positives all scores are 0.5. Repeated rows score alike; an
@@ -93,8 +94,10 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     above = lambda z: 1 - np.searchsorted(z, cut, "left") / len(z)
     slack = np.sqrt(np.log(20) / 2 / len(zp)) + np.sqrt(np.log(20) / 2 / len(zu))
     qp, qu = above(zp), above(zu)
+    ratio = qu / qp
     best = np.argmin((qu + slack) / qp)
-    return float(np.clip(qu[best] / qp[best], 0.05, 0.95))
+    alike = (np.abs(ratio - ratio[best]) <= slack) & (qp >= 0.2)  # as low as the best one, but for chance
+    return float(np.clip(np.quantile(ratio[alike], 0.25) if alike.any() else ratio[best], 0.05, 0.95))
 
 
 class Model:
@@ -104,7 +107,9 @@ class Model:
             self.prior, self.weights = 0.5, np.zeros(WIDTH + 1)
             return
         self.centre, self.scale = u.mean(0), u.std(0) + 0.02
-        p, u = ((x - self.centre) / self.scale for x in (p, u))
+        for x in (p, u):
+            x -= self.centre
+            x /= self.scale
         self.prior = estimate_prior(p, u)
         w = descend(p, u, self.prior, steps=400, rate=0.01, decay=1e-3)
         self.weights = np.append(w[:-1] / self.scale, w[-1] - (w[:-1] * self.centre / self.scale).sum())
@@ -114,18 +119,19 @@ class Model:
 
 
 def _sample(rows: DataFrame, bound: int, seed: int) -> list[str]:
-    share = min(1.0, bound / max(1, rows.count()))
+    """About nine tenths of `bound` texts, in an order of their own, so that a fit is the same each time; never more than `bound`."""
+    share = min(1.0, 0.9 * bound / max(1, rows.count()))
     picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return [r[0] or "" for r in picked.select("text").limit(bound).collect()]
+    return sorted(r[0] or "" for r in picked.select("text").limit(bound).collect())
 
 
 def fit(docs: DataFrame, trusted: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """docs (doc_id, text): unlabelled text; trusted (doc_id): ids of positives among them."""
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
     trusted = trusted.select("doc_id").filter("doc_id is not null").distinct()
-    share = min(1.0, positives / max(1, trusted.count()))
+    share = min(1.0, 0.9 * positives / max(1, trusted.count()))
     ids = trusted.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(positives)
-    known = [r[0] or "" for r in docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(positives).collect()]  # at most `positives` ids
+    known = sorted(r[0] or "" for r in docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(positives).collect())  # at most `positives` ids
     return Model(known, _sample(docs, unlabelled, 9))
 
 
