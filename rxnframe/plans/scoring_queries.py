@@ -77,7 +77,6 @@ def _labelled(spark, sf):
     return d.select("lang", "quality", "toxic", "n_chars", (1 / (1 + F.exp(-x))).alias("p"), F.array((n % 3).cast("double"), (n % 5) / F.lit(2.0), (n % 7) / F.lit(3.0)).alias("logits"), (F.col("quality") + F.col("toxic")).alias("k"), x.alias("x"))
 
 
-_CELL = "sum({} * w) as {}"
 _W = "select *, case when n_chars % 2 = 0 then 1.0::double else 0.5 end * (n_chars > 100)::int as w from l"
 
 
