@@ -26,7 +26,7 @@ def filter_class(df: DataFrame, column: str, choice) -> DataFrame:
 
 
 def select_split(df: DataFrame, name: str, column: str = "split", fold: int | None = None) -> DataFrame:
-    """Rows of a named union of splits, of one fold if given."""
+    """Rows of a named union of splits, of one fold if given."""
     if name not in SPLITS:
         raise ValueError(f"unknown split {name}")
     out = df.filter(F.col(column).isin(*SPLITS[name]))
@@ -127,6 +127,14 @@ def merge_datasets(first: DataFrame, *others: DataFrame, key: str | None = None,
     return first if key is None else keep_lowest(first, key, target, order)
 
 
+def union_ids(key: str, *frames: DataFrame) -> DataFrame:
+    """H2: the distinct ids of several id sets; null is no id. Partial distincts combine before the shuffle."""
+    out = frames[0].select(key)
+    for other in frames[1:]:
+        out = out.unionByName(other.select(key))
+    return out.filter(F.col(key).isNotNull()).distinct()
+
+
 def _three(bucket: Column, holdout: float) -> Column:
     """train below 1 - holdout of the bucket range, then val and test in equal halves."""
     a, b = int(TOP * (1 - holdout)), int(TOP * (1 - holdout / 2))

@@ -185,6 +185,12 @@ def h1(spark, sf):
     return S.merge_datasets(d.filter("lang = 'en'"), d.filter("lang in ('fr', 'de')").select("n_chars", "lang", "doc_id"), d.filter("lang not in ('en', 'fr', 'de')"))
 
 
+@query("h2_union_ids", f"with s as (select doc_id, {_three(_bucket('doc_id', 3), 0.3)} as split from documents) select doc_id from s where split = 'train' union select doc_id from s where split = 'val'")
+def h2(spark, sf):
+    d = S.random_split3(read(spark, sf, "documents"), "doc_id", 0.3, 3)
+    return S.union_ids("doc_id", S.select_split(d, "train"), S.select_split(d, "val"))
+
+
 @query("h3_fragment_sets", cte("rx", s=_SIDES) + "select graph_id, array_to_string(list_sort(list_distinct(list_filter(rf, lambda x: not list_contains(pf, x)))), '.') as only_r, array_to_string(list_sort(list_distinct(list_intersect(rf, pf))), '.') as shared from s")
 def h3(spark, sf):
     r, p = K.fragments(F.col("reactant")), K.fragments(F.col("product"))
