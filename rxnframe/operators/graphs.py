@@ -61,10 +61,11 @@ def components(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
         labels = new.drop("before")
 
 
-def find_rings(bonds: DataFrame, max_size: int = 8) -> DataFrame:
+def find_rings(bonds: DataFrame, max_size: int = 20) -> DataFrame:
     """Rings of up to max_size atoms that hold no smaller ring, as ordered walks from the smallest node towards its smaller ring neighbour.
 
-    Such rings are the chordless ones, so a path is dropped as soon as its new end touches an inner atom.
+    Such rings are the chordless ones, so a path is dropped as soon as its new end touches an inner atom. The rounds stop
+    once no path is left, so a large max_size costs nothing where molecules are small.
     """
     around = bonds.groupBy("graph_id", F.col("u").alias("v")).agg(F.collect_set("v").alias("near"))
     step = _placed(bonds.select("graph_id", "u", "v").distinct().join(around, ["graph_id", "v"]))

@@ -49,6 +49,22 @@ def test_aromatic_rings(spark, n, orders, kind):
         assert [(r.size, r.aromatic) for r in out] == [(n, kind)]
 
 
+@pytest.mark.parametrize("n", [7, 8, 20, 21])
+def test_large_rings(spark, monkeypatch, n):
+    from rxnframe.plans import iterative_queries as Q
+
+    edges = ring(spark, n, [1] * n)
+    b, a = E.directed(edges), atoms(spark, ["C"] * n)
+    monkeypatch.setattr(X, "directed", lambda *_: b)
+    monkeypatch.setattr(X, "bonds", lambda *_: edges)
+    monkeypatch.setattr(X, "atoms", lambda *_: a)
+    whole = [] if n > 20 else [("-".join(map(str, range(1, n + 1))), n)]
+    assert [(r.ring, r.size) for r in Q.e4(spark, None).collect()] == whole
+    assert [r.size for r in G.find_rings(b).collect()] == [size for _, size in whole]
+    assert {r.in_ring for r in Q.e4_flags(spark, None).collect()} == {n <= 20}
+    assert Q.e10(spark, None).count() == (0 if n <= 20 else n)
+
+
 def test_spiro_and_bridgehead(spark):
     spiro = E.directed(bonds(spark, [(1, 2, 1), (2, 3, 1), (1, 3, 1), (3, 4, 1), (4, 5, 1), (3, 5, 1)]))
     assert [(r.node, r.kind) for r in G.ring_junctions(G.find_rings(spiro)).collect()] == [(3, "spiro")]
