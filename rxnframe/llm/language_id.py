@@ -5,8 +5,9 @@ log odds of the languages whose bit is 1 against the others) gives a margin; dec
 least logistic loss, each bit weighted by its accuracy on the training rows, and flags a text as ambiguous when the
 runner-up is close.
 
-Training takes at most `sample` labelled rows, whole texts, chosen by a hash of the id: a documented bound. Texts that are
-null or hold no letter get `und` with score 0. With no labelled row everything is `und`. Repeated rows are
+Training takes at most `sample` labelled rows, whole texts: a documented bound, drawn for each language by a hash of the id. Rare
+languages give all their rows and the others equal numbers, so every language with labelled letters is learned; were there
+more languages than `sample`, each would give one row. Texts that are null or hold no letter get `und` with score 0. With no labelled row everything is `und`. Repeated rows are
 predicted alike; an empty table gives an empty result; extra columns stay, those named like an output are replaced.
 """
 
@@ -17,13 +18,14 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxnframe.llm.common import chunks, lean
 from rxnframe.llm.pretokenise import LETTER, classes
 
-SAMPLE, BUCKETS, SATURATE = 3000, 1 << 15, 40
+SAMPLE, BUCKETS, SATURATE, TOP = 3000, 1 << 15, 40, 1 << 40
+MAYBE_LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
 
 
 @cache
@@ -105,13 +107,29 @@ class Model:
         return lang, np.where(n > 0, top[:, -1], 0.0), (gap < close) & (n > 0)
 
 
+def quotas(sizes: dict[str, int], sample: int) -> dict[str, int]:
+    """Training rows of each language: all of the rare ones, equal numbers of the others, at least one each."""
+    out, left = {}, sample
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(sizes) - i)))
+        left -= out[lang]
+    return out
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled (doc_id, text, lang); rows without text or lang teach nothing."""
-    rows = labelled.filter("text is not null and lang is not null")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    share = min(1.0, 0.9 * sample / max(1, rows.count()))  # so that the limit leaves the choice to the hash
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "lang").limit(sample).collect()
+    """labelled (doc_id, text, lang); rows without letters in the text or without lang teach nothing."""
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(MAYBE_LETTER)).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(TOP)).alias("at"))
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("low")).collect()
+    want = quotas({r.lang: r.n for r in seen}, sample)
+    # A few rows more than wanted come under a language's bound, its least one in any case; the rank then takes the wanted number.
+    bounds = [(r.lang, max(r.low, int(TOP * min(1.0, (want[r.lang] + 8 * want[r.lang] ** 0.5 + 8) / r.n))), want[r.lang]) for r in seen]
+    near = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long, want long")), "lang").filter("at <= bound")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
+    picked = near.withColumn("rank", rank).filter("rank <= want").select("text", "lang").collect()
     picked = sorted(picked, key=lambda r: (r[1], r[0]))
+    letters = grams([r[0] for r in picked])[2] if picked else []
+    langs = sorted({r[1] for r, n in zip(picked, letters) if n})
+    picked = [r for r in picked if r[1] in langs]
     return Model(langs, [r[0] for r in picked], [r[1] for r in picked])
 
 

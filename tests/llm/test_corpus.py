@@ -185,6 +185,24 @@ def test_language_edges(spark, odd, none):
     assert language_id.predict(none, model).count() == 0
 
 
+def test_rare_language_is_learned(spark):
+    words = {"en": "the quick brown fox jumps over the lazy dog and then the other dog", "fr": "le renard brun saute par dessus le chien paresseux et puis un autre chien", "el": "η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί"}
+    lang = F.expr("case when id % 10000 = 77 then 'el' when id % 4 = 0 then 'fr' else 'en' end")
+    text = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])[F.col("lang")]
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), lang.alias("lang")).withColumn("text", F.concat(text, F.lit(" "), F.col("doc_id").cast("string")))
+    void = spark.createDataFrame([(-1, "zz", " 12 "), (-2, "zz", "")], "doc_id long, lang string, text string")
+    model = language_id.fit(docs.unionByName(void))
+    assert model.langs == ["el", "en", "fr"]
+    assert model.predict([words["el"], words["en"], words["fr"]], 0.2)[0] == ["el", "en", "fr"]
+
+
+def test_language_quotas():
+    assert language_id.quotas({"a": 10**9, "b": 3, "c": 10**6}, 3000) == {"b": 3, "c": 1498, "a": 1499}
+    assert language_id.quotas({"a": 5, "b": 3}, 3000) == {"a": 5, "b": 3}
+    assert set(language_id.quotas({str(i): 9 for i in range(50)}, 20).values()) == {1}
+    assert language_id.quotas({}, 3000) == {}
+
+
 def test_codewords_differ():
     for n in (2, 3, 5, 9, 40):
         code = language_id.codewords(n)
