@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rxnframe.functions.columns import dot, matrix_vector
 
 Matrix = list[list[float]]
+RANGE = 1 << 20
 
 
 def leaky(x: Column) -> Column:
@@ -159,10 +160,20 @@ def attention_rows(edges: DataFrame, selfs: DataFrame) -> DataFrame:
 
 
 def batch_graphs(graphs: DataFrame, size: int, drop_last: bool = False, buckets: int = 1) -> DataFrame:
-    """graphs (graph_id, n_nodes) -> batch_id and offset of the graph's nodes in the batch's disjoint union. Batches form within hash buckets, so that no window spans all graphs unless buckets is 1."""
-    bucket = F.pmod(F.col("graph_id"), F.lit(buckets))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("graph_id"))
-    x = graphs.withColumn("bucket", bucket).withColumn("slot", F.floor((place - 1) / size))
+    """graphs (graph_id, n_nodes) -> batch_id and offset of the graph's nodes in the batch's disjoint union, in the order of graph_id.
+
+    Graphs are numbered by a two-pass rank over ranges of ids, so no window spans all graphs. With buckets, batches form
+    within graph_id modulo buckets, and each bucket has a short batch of its own for drop_last to drop.
+    """
+    ranges = max(1, -(-graphs.count() // RANGE))
+    bounds = sorted(set(graphs.approxQuantile("graph_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("graph_id"))) if bounds else F.lit(0)
+    x = graphs.withColumn("bucket", F.pmod(F.col("graph_id"), F.lit(buckets))).withColumn("_own", F.coalesce("bucket", F.lit(-1))).withColumn("_part", part)
+    sizes = x.groupBy("_own", "_part").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("_own").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("_own", "_part", F.coalesce(earlier, F.lit(0)).alias("_before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_own", "_part").orderBy("graph_id")) + F.col("_before")
+    x = x.join(F.broadcast(before), ["_own", "_part"]).withColumn("slot", F.floor((place - 1) / size)).drop("_own", "_part", "_before")
     w = Window.partitionBy("bucket", "slot").orderBy("graph_id")
     x = x.withColumn("offset", F.coalesce(F.sum("n_nodes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if drop_last:

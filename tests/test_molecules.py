@@ -180,6 +180,53 @@ def test_batches_are_disjoint_unions(spark):
     assert A.batch_graphs(df, 5, drop_last=True).count() == 20
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_batches_over_ranges_of_ids(spark, monkeypatch, buckets):
+    df = spark.createDataFrame([(i * i, i % 4 + 1) for i in range(103)], "graph_id long, n_nodes long")
+    want = {}
+    for b in range(buckets):
+        for at, i in enumerate(i for i in range(103) if i * i % buckets == b):
+            want[i * i] = at // 5 * buckets + b
+    monkeypatch.setattr(A, "RANGE", 10)
+    out = A.batch_graphs(df, 5, buckets=buckets)
+    assert {r.graph_id: r.batch_id for r in out.collect()} == want
+    if buckets == 1:
+        assert A.batch_graphs(df, 5, drop_last=True).count() == 100
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_nearest_in_slices(metric):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    u, v = rng.integers(1, 40, (1500, 3)).astype(float), rng.integers(1, 40, (20_000, 3)).astype(float)
+    v[7], v[8] = 0, np.nan
+    a, b = np.arange(1500), rng.permutation(20_000)
+    tracemalloc.start()
+    ids, other, d = records.nearest(a, u, b, v, 4, metric)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 < 1500 * 20_000 * 8
+    assert ids.tolist() == np.repeat(a, 4).tolist() and np.isfinite(d).all() and not (ids == other).any()
+    if metric == "euclidean":
+        for i in range(0, 1500, 100):
+            far = np.sqrt(((v - u[i]) ** 2).sum(1))
+            far[(b == i) | np.isnan(far)] = np.inf
+            assert other[ids == i].tolist() == b[np.lexsort((b, far))[:4]].tolist()
+
+
+def test_knn_blocks_follow_rows(spark, monkeypatch):
+    assert records.knn_blocks(1000) == 16 and records.knn_blocks(1_000_000) == 123
+    df = spark.createDataFrame([(i, [float(i % 50), float(i % 7)]) for i in range(300)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, records.knn_join(df, 3, blocks=1).collect()))
+    monkeypatch.setattr(records, "BLOCK", 60)
+    assert sorted(map(tuple, records.knn_join(df, 3, blocks=1).collect())) == want and len(want) == 900
+
+
 def test_fragment_count_is_atoms_minus_tree_edges(spark, small):
     a, b = X.atoms(spark, small), X.directed(spark, small, "r")
     parts = G.components(b, a)
