@@ -12,12 +12,14 @@
 
 Null or wordless texts have no shingles and link with nothing. Rows with a null id are not compared and have a null
 component. Rows that repeat an id are one node. Extra columns are ignored, an empty table gives an empty result.
+
+Bands follow from the wanted similarity: a pair that just reaches it shares no band with probability LOST at most.
 """
 
 from __future__ import annotations
 
 from functools import cache
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from rxnframe.llm.common import lean, mix, rolling, row_ranges, table, utf8, wor
 from rxnframe.llm.components import components
 
 ROWS, BANDS, BATCH, MISS = 6, 20, 24, 1e-6
+LOST, MINIMA = 1e-4, 128
 BLOCK, PIVOTS = 112, 16
 
 
@@ -101,6 +104,18 @@ def least_matches(n: int, t: float, miss: float) -> int:
     return m
 
 
+@cache
+def banding(percent: int) -> tuple[int, int]:
+    """Rows and bands at which a pair of similarity percent / 100 shares no band with probability LOST at most: the longest bands that MINIMA minima allow, else bands of one."""
+    found = 1, 1
+    for rows in range(1, MINIMA + 1):
+        hit = (max(percent, 1) / 100) ** rows
+        bands = ceil(log(LOST) / log1p(-hit)) if hit < 1 else 1
+        if rows == 1 or rows * bands <= MINIMA:
+            found = rows, bands
+    return found
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -171,7 +186,7 @@ def compare_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text); linked if 100 * |A and B| >= percent * |A or B|."""
-    rows = table(sketch(docs, k))
+    rows = table(sketch(docs, k, *banding(percent)))
     some = rows.filter("doc_id is not null and digest is not null")
     sets = table(some.groupBy("digest").agg(F.min("doc_id").alias("id")))
     nodes = some.select("digest", F.col("doc_id").alias("id"), "bands", "signature").join(sets, ["digest", "id"]).dropDuplicates(["digest", "id"])

@@ -185,6 +185,25 @@ def test_language_edges(spark, odd, none):
     assert language_id.predict(none, model).count() == 0
 
 
+def test_bands_follow_percent(spark):
+    for percent in (50, 70, 80, 82, 85, 95, 100):
+        rows, bands = near_dedup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-4
+    assert near_dedup.banding(85) == (6, 20)
+    docs = spark.createDataFrame([(1, " ".join(map(str, range(60)))), (2, " ".join(map(str, range(3, 63))))], "doc_id long, text string")
+    links = [r.component_id for r in near_dedup.near_duplicates(docs, k=1, percent=80).orderBy("doc_id").collect()]
+    assert links == [1, 1]
+
+
+def test_pairs_at_threshold_share_a_band(spark):
+    # 3000 pairs at similarity 80 / 100; six of them would meet in no band of the banding for 85
+    both = F.expr("transform(sequence(1, 80), i -> concat(id, 'x', i))")
+    own = F.expr("transform(sequence(1, 10), i -> concat(id, 'y', side, 'z', i))")
+    docs = spark.range(3000).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select((F.col("id") * 2 + F.col("side")).alias("doc_id"), F.array_join(F.concat(both, own), " ").alias("text"))
+    out = near_dedup.near_duplicates(docs, k=1, percent=80)
+    assert out.filter("kept").count() <= 3001
+
+
 def test_rare_language_is_learned(spark):
     words = {"en": "the quick brown fox jumps over the lazy dog and then the other dog", "fr": "le renard brun saute par dessus le chien paresseux et puis un autre chien", "el": "η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί"}
     lang = F.expr("case when id % 10000 = 77 then 'el' when id % 4 = 0 then 'fr' else 'en' end")
