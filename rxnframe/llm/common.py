@@ -7,10 +7,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 
@@ -19,22 +20,67 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where all run in one machine and the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.rxnframe.workdir", None)
     if not root:
-        root = spark.conf.get("spark.rxnframe.workdir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="rxnframe-")
-            spark.conf.set("spark.rxnframe.workdir", root)
-    return f"{root.rstrip('/')}/rxnframe/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="rxnframe-")
+        spark.conf.set("spark.rxnframe.workdir", root)
+    return root.rstrip("/")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/rxnframe/{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and outlives lost executors."""
     spark, path = df.sparkSession, work_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rxnframe_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete work tables that nothing will read any more."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "rxnframe_path", None)):
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df bears them in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def adding(df: DataFrame, new: str) -> tuple[list[str], StructType]:
+    """Columns of df that stay beside the new ones (named by a schema string, and replacing any of that name in any case), and the schema of all."""
+    more = StructType.fromDDL(new)
+    mine = {f.name.lower() for f in more}
+    keep = [f for f in df.schema if f.name.lower() not in mine]
+    return [f.name for f in keep], StructType([*keep, *more])
+
+
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def assemble(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The kept columns of a batch and the new ones."""
+    return pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + list(new.values()), names=keep + list(new))
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
@@ -43,8 +89,10 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """df, with the bytes of a batch handed to Python bounded by more than a number of rows, whatever the texts' lengths."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """df, with the bytes of a batch handed to Python bounded and not only its rows; a bound that the session has set itself stays."""
+    spark = df.sparkSession
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     return df
 
 
@@ -127,20 +175,24 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False):
     return s, e, row_first, h
 
 
-def rolling(h: np.ndarray, k: int, mult: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
-    """Hashes of every k consecutive values (len(h) - k + 1 of them)."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    inv = pow(mult, -1, 1 << 64)
-    m = np.full(len(h), mult, np.uint64)
+def span_hashes(h: np.ndarray, s: np.ndarray, e: np.ndarray, mult: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
+    """Hashes of the values from s to e - 1, for many spans; they tell spans of one length apart."""
+    if not len(h):
+        return np.zeros(len(s), np.uint64)
+    m = np.full(len(h) + 1, mult, np.uint64)
     m[0] = 1
-    p = np.cumprod(m)
-    m[1:] = inv
+    p = np.cumprod(m[:-1])
+    m[1:] = pow(mult, -1, 1 << 64)
     q = np.cumprod(m)
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * p, out=total[1:])
-    return mix((total[k:] - total[:n]) * q[:n])
+    return mix((total[e] - total[s]) * q[s])
+
+
+def rolling(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k consecutive values (len(h) - k + 1 of them)."""
+    at = np.arange(max(0, len(h) - k + 1))
+    return span_hashes(h, at, at + k)
 
 
 def local_rows(row_first: np.ndarray) -> np.ndarray:
