@@ -96,9 +96,8 @@ def repeated_steps(records: DataFrame) -> DataFrame:
     shared = table(records.join(edges, "edge"))
     nodes = table(shared.groupBy("edge", "node").agg(F.min("doc").alias("src"), F.min_by("at", "doc").alias("src_at"), F.max("doc").alias("top")))
     several = table(nodes.groupBy("edge").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("edge", F.lit(True).alias("branches")))
-    nodes2 = table(nodes.join(several, "edge", "left").withColumn("branches", F.coalesce("branches", F.lit(False))))
-    out = table(shared.join(nodes2, ["edge", "node"]))
-    discard(edges, shared, nodes, several, nodes2)
+    out = table(shared.join(nodes, ["edge", "node"]).join(several, "edge", "left").withColumn("branches", F.coalesce("branches", F.lit(False))))
+    discard(edges, shared, nodes, several)
     return out
 
 
@@ -112,10 +111,12 @@ def paths(found: DataFrame) -> DataFrame:
     one_in = links.groupBy("b", "b_at").agg(F.count("*").alias("ways")).filter("ways = 1")
     jumps = table(one_out.join(one_in.select("b", "b_at"), ["b", "b_at"]).select(F.col("b").alias("src"), F.col("b_at").alias("src_at"), F.col("a_at").alias("head")))
     discard(links)
-    while True:  # each round takes four times as long jumps; source places only fall, so there is no cycle
+    while True:  # jumps grow fivefold in a round; source places only fall, so there is no cycle
         one = jumps.select("src", F.col("src_at").alias("head"), F.col("head").alias("next"))
-        two = jumps.join(one, ["src", "head"], "left").select("src", "src_at", F.col("head").alias("was"), F.coalesce("next", "head").alias("head"))
-        far = table(two.join(one, ["src", "head"], "left").select("src", "src_at", "was", F.coalesce("next", "head").alias("head")))
+        far = jumps.withColumn("was", F.col("head"))
+        for _ in range(4):
+            far = far.join(one, ["src", "head"], "left").select("src", "src_at", "was", F.coalesce("next", "head").alias("head"))
+        far = table(far)
         discard(jumps)
         jumps = far
         if far.filter("head <> was").isEmpty():
