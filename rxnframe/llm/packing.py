@@ -1,11 +1,12 @@
 """Packing of tokenised documents into sequences by length patterns.
 
 A document's ids (the tokenizer's, without special tokens, then `end`) are cut into pieces of at most `size` tokens.
-Pieces are dealt to shards of about SHARD pieces by a hash. In each shard a histogram of rounded-up lengths is fitted by
-non-negative least squares with the patterns of one to three lengths that nearly fill a sequence; the counts are rounded
-down and filled with pieces of a pattern's lengths, the last place and what room remains with the longest pieces that fit,
-and what is left goes best-fit, longest first, into the fullest sequence with room.
-Sequences that stay under FULL are taken apart and packed again together with those of other shards.
+Pieces are dealt to shards of about SHARD pieces by a hash. In each shard a histogram of lengths, in bins of QUANTUM tokens, is fitted by
+non-negative least squares with length patterns of up to PLACES documents. There are too many to list, so those that best match what the fit leaves
+over are enumerated as it goes, by a bounded knapsack over the bins. Repeat counts never use more of a bin than there is, are rounded down, and HELD of
+them are filled with pieces of the patterns' bins; the last places of a sequence choose pieces so that it gets full. What is left, pieces of every length,
+goes best-fit, longest first, into the fullest sequence with room. Sequences that stay under FULL are taken apart and packed again together
+with those of other shards. `placed_by` says how each piece came to its place.
 
 Null texts are empty: they hold only `end`. Rows that repeat an id, or have none, are packed each. An empty table gives no
 pieces. Extra columns are ignored.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from rxnframe.llm.common import lean, table
 
-SHARD, AGAIN, FULL, QUANTUM = 4096, 256, 0.985, 64
+SHARD, AGAIN, FULL, QUANTUM = 4096, 1024, 0.995, 64
+PLACES, GROWTH, ROUNDS, HELD, TRIES, LOOSE = 10, 12, 4, 0.9, 12, 6
 CACHE_WORDS = 400_000
 ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without letters, digits and the apostrophe
@@ -143,24 +145,37 @@ def cut(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame
     return lean(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-@cache
-def patterns(bins: int) -> np.ndarray:
-    """Multisets of one to three bins (bin b holds lengths up to (b + 1) quanta) that fill `bins` quanta up to one."""
-    out = [[bins - 1], [bins - 2]]
-    for total in (bins, bins - 1):
-        out += [[a - 1, total - a - 1] for a in range(1, total // 2 + 1)]
-        out += [[a - 1, b - 1, total - a - b - 1] for a in range(1, total // 3 + 1) for b in range(a, (total - a) // 2 + 1)]
-    m = np.zeros((bins, len(out)))
-    for j, p in enumerate(out):
-        np.add.at(m[:, j], p, 1)
-    return m
-
-
-def least_squares(m: np.ndarray, h: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Non-negative x that makes m x nearest to h: accelerated projected gradient."""
-    rate = 1 / np.linalg.norm(m @ m.T, 2)
-    x = y = np.zeros(m.shape[1])
-    t = 1.0
+def price(reward: np.ndarray, stock: np.ndarray, most: int) -> list[np.ndarray]:
+    """Patterns of 1 to `most` pieces that fill a sequence and whose bins' rewards sum up highest, the best one for each number of pieces.
+
+    A piece counts with the middle of its bin, 2 b + 1 half quanta. A pattern holds no more of a bin than there is."""
+    bins = len(reward)
+    size, full = 2 * np.arange(bins) + 1, 2 * bins
+    worth = np.where(stock > 0, reward, -np.inf)
+    back = np.arange(full + 1)[:, None] - size  # what a pattern of a total held before its last piece of a bin
+    best, picks, out = np.full(full + 1, -np.inf), [], []
+    best[0] = 0
+    for _ in range(most):
+        value = np.where(back >= 0, best[np.maximum(back, 0)], -np.inf) + worth
+        picks.append(value.argmax(1))
+        best = value.max(1)
+        at = full - int(best[full - 1 :][::-1].argmax())
+        if best[at] == -np.inf:  # no total is full: those down to LOOSE half quanta less
+            at = full - int(best[full - LOOSE :][::-1].argmax())
+        if best[at] > 0:
+            found = np.zeros(bins)
+            for pick in picks[::-1]:
+                found[pick[at]] += 1
+                at -= size[pick[at]]
+            if (found <= stock).all():
+                out.append(found)
+    return out
+
+
+def least_squares(m: np.ndarray, h: np.ndarray, x: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Non-negative x that makes m x nearest to h: accelerated projected gradient from a first guess."""
+    rate = 1 / np.linalg.norm(m.T @ m, 2)
+    y, t = x, 1.0
     for _ in range(steps):
         new = np.maximum(0, y - rate * (m.T @ (m @ y - h)))
         u = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -168,38 +183,111 @@ def least_squares(m: np.ndarray, h: np.ndarray, steps: int = 300) -> np.ndarray:
     return x
 
 
-def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece."""
+def fit(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (a column each) and whole repeat counts that use up a histogram of lengths, and never more of it than there is.
+
+    Patterns are enumerated as they are needed: those that best match what the fit leaves over join it, until none would help. Counts
+    shrink where a bin is overdrawn, are rounded down, and what is left is fitted again."""
+    left, ms, counts = h.astype(float), [], []
+    for _ in range(ROUNDS):
+        m, x = np.zeros((len(h), 0)), np.zeros(0)
+        for _ in range(GROWTH):
+            rest = left - m @ x
+            new = [p for p in price(rest, left, PLACES) if not (m.T == p).all(1).any()]
+            if not new:
+                break
+            m, x = np.column_stack([m, *new]), np.append(x, np.zeros(len(new)))
+            x = least_squares(m, left, x)
+            m, x = m[:, x > 1e-3], x[x > 1e-3]
+        if not len(x):
+            break
+        with np.errstate(divide="ignore", invalid="ignore"):
+            short = np.minimum(1, np.where(m @ x > 0, left / (m @ x), 1))
+        x *= np.where(m > 0, short[:, None], 1).min(0)
+        count = np.floor(x + 1e-6)
+        if not count.any():  # the one with most repeats, if there is stock for one
+            j = int(x.argmax())
+            count[j] = float((m[:, j] <= left).all() and x[j] > 0.5)
+        left = left - m @ count
+        if not count.any():
+            break
+        ms.append(m[:, count > 0])
+        counts.append(count[count > 0])
+    return (np.column_stack(ms), np.concatenate(counts).astype(int)) if ms else (np.zeros((len(h), 0)), np.zeros(0, int))
+
+
+PATTERN, FILLER, RESIDUAL = 0, 1, 2
+
+
+def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece, and by what it came there: a place of a pattern, room left in one, or the residual."""
     bins = -(-size // QUANTUM)
     order = np.argsort(-lengths, kind="stable")
     pools: list[list[tuple[int, int]]] = [[] for _ in range(bins)]
-    seq, offset, used = np.full(len(lengths), -1), np.zeros(len(lengths), np.int64), []
+    seq, offset, by, used = np.full(len(lengths), -1), np.zeros(len(lengths), np.int64), np.full(len(lengths), RESIDUAL), []
     for i in order[::-1].tolist():
         n = int(lengths[i])
-        pools[-(-n // QUANTUM) - 1].append((n, i))
+        pools[max(0, n - 1) // QUANTUM].append((n, i))
 
-    def largest(space: int) -> tuple[int, int] | None:
-        """The longest piece left that fits, taken out."""
-        b = -(-space // QUANTUM) - 1
+    def place_of(space: int) -> tuple[int, int] | None:
+        """Where the longest piece left that fits is."""
+        b = min(bins, -(-space // QUANTUM)) - 1
         if b >= 0 and (k := bisect_left(pools[b], (space + 1, -1))):
-            return pools[b].pop(k - 1)
+            return b, k - 1
         for b in range(b - 1, -1, -1):
             if pools[b]:
-                return pools[b].pop()
+                return b, len(pools[b]) - 1
         return None
 
-    m = patterns(bins)
-    count = np.floor(least_squares(m, np.array([len(p) for p in pools], float)) + 1e-6).astype(int)
-    for j in np.flatnonzero(count):
-        need = np.repeat(np.arange(bins), m[:, j].astype(int))[::-1].tolist()
-        for _ in range(count[j]):
-            if any(len(pools[b]) < need.count(b) for b in need):
+    def largest(space: int) -> tuple[int, int] | None:
+        """The longest piece left that fits, taken out."""
+        at = place_of(space)
+        return pools[at[0]].pop(at[1]) if at else None
+
+    def fitting(pool: list[tuple[int, int]], space: int) -> tuple[int, int] | None:
+        """A piece of a bin, taken out, after which the longest one that fits leaves least room."""
+        least, found = size + 1, -1
+        for k in sorted({i * (len(pool) - 1) // (TRIES - 1) for i in range(TRIES)}):
+            if pool[k][0] > space:
+                break
+            next_to = place_of(space - pool[k][0])
+            if next_to and pools[next_to[0]] is pool and next_to[1] >= k:
+                next_to = (next_to[0], next_to[1] - 1) if next_to[1] else None  # the piece itself
+            room = space - pool[k][0] - (pools[next_to[0]][next_to[1]][0] if next_to else 0)
+            if 0 <= room < least:
+                least, found = room, k
+            if not room:
                 break
-            got = [pools[b].pop() for b in need[:-1]]
-            at = sum(n for n, _ in got)
+        return pool.pop(found) if found >= 0 else None
+
+    m, count = fit(np.array([len(p) for p in pools], float))
+    # Repeats of all patterns take turns, so that pieces of every length stay for the residual, which fills up what the last ones leave open.
+    turns = np.concatenate([np.arange(c) + 0.5 for c in count] or [np.zeros(0)]) / np.repeat(np.maximum(1, count), count)
+    for j in np.repeat(np.arange(len(count)), count)[np.argsort(turns, kind="stable")][: int(HELD * count.sum())].tolist():
+        need = np.repeat(np.arange(bins), m[:, j].astype(int))[::-1].tolist()
+        if need:
+            got, at = [], 0
+            for place, b in enumerate(need):
+                pool = pools[b]
+                if place == len(need) - 1:  # the longest piece that fits, so that the lengths within bins don't add up to waste
+                    one = largest(size - at)
+                elif place == len(need) - 2 and pool:
+                    one = fitting(pool, size - at) or largest(size - at)
+                elif pool and pool[len(pool) // 2][0] <= size - at:  # the middle of the bin is what the pattern counts with
+                    one = pool.pop(len(pool) // 2)
+                else:
+                    one = largest(min((b + 1) * QUANTUM, size - at))
+                if not one:
+                    break
+                by[one[1]] = PATTERN if abs(max(0, one[0] - 1) // QUANTUM - b) <= 1 else FILLER
+                got.append(one)
+                at += one[0]
             while at < size and (one := largest(size - at)):
+                by[one[1]] = FILLER
                 got.append(one)
                 at += one[0]
+            if not got:
+                continue
             at = 0
             for n, i in got:
                 seq[i], offset[i] = len(used), at
@@ -218,29 +306,29 @@ def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         used[s] += n
         if left > n:
             insort(room, (left - n, s))
-    return seq, offset
+    return seq, offset, by
 
 
 def _packer(size: int, level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seq, offset = pack(pdf["length"].to_numpy(), size)
+        seq, offset, by = pack(pdf["length"].to_numpy(), size)
         fill = np.bincount(seq, pdf["length"], minlength=seq.max() + 1 if len(seq) else 0)
         shard = int(pdf["shard"].iloc[0])
-        return pdf.drop(columns="shard").assign(sequence_id=((2 * shard + level) << 24) + seq, offset=offset, full=fill[seq] >= FULL * size)
+        return pdf.drop(columns="shard").assign(sequence_id=((2 * shard + level) << 24) + seq, offset=offset, placed_by=by.astype(np.int32), full=fill[seq] >= FULL * size)
 
     return run
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, placed_by (0 a pattern, 1 room left in one, 2 the residual)."""
     pieces = table(cut(docs, path, size, end))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, full boolean"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, placed_by int, full boolean"
 
     def deal(rows: DataFrame, n: int) -> DataFrame:
         return rows.withColumn("shard", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {n}L)"))
 
     shards = max(1, -(-pieces.count() // SHARD))
     packed = table(deal(pieces, shards).groupBy("shard").applyInPandas(_packer(size, 0), schema))
-    rest = packed.filter("not full").drop("sequence_id", "offset", "full")
+    rest = packed.filter("not full").drop("sequence_id", "offset", "placed_by", "full")
     again = deal(rest, max(1, -(-rest.count() // AGAIN))).groupBy("shard").applyInPandas(_packer(size, 1), schema)
     return packed.filter("full").unionByName(again).drop("full")
