@@ -1,15 +1,19 @@
 """Exact top-k inner products by MaxScore.
 
-Components become integers, floor(1024 * x). A term is a dimension with a sign; its postings are the rows whose component
-has that sign, weighted by its size, so a query's terms only add and a mismatch of signs only takes away. In each
-shard a query's terms are split: while the bounds of the weakest ones together stay under the k-th best score known,
-they are non-essential. Postings of essential terms are traversed; rows whose partial score plus the open bounds still
-competes probe the others, strongest first; what survives is scored exactly. Shards merge by rank.
-
-Queries come in blocks and rows in shards of bounded size; each block meets each shard once. Vectors that are
-null, empty or hold null or non-finite components take no part; only vectors of equal length are compared. Ties go to
-the smaller vec_id. Rows that repeat an id are ranked each. An empty table gives an empty result; extra columns are
-ignored. Scores are exact below 2**53.
+Components become integers, floor(1024 * x). A dimension is a term: its posting list holds every row's component, and a query's
+term scores the product of both components. Every query first gets a floor, its k-th best exact score against a fixed
+sample of rows (`SEEDS` values at most), which is a lower bound of its k-th best score over all rows, and carries it along.
+In each shard its terms are split: the weakest ones are non-essential while together they cannot reach the threshold,
+by the smaller of the sum of their greatest scores and the product of norms. Postings of the essential terms are traversed;
+the best rows so far raise the threshold; rows whose partial score plus the open bound still competes (the bound is the
+row's own: the norm of what is left of it times that of the query) probe the other terms, strongest first, a few at a time, and drop
+out as soon as they no longer compete; what survives is scored exactly. Shards merge by rank.
+
+Rows come in shards and queries in blocks of at most `VALUES` components, as large as a task's memory allows, because each block meets
+each shard once; tables too small for that are cut into one shard for each core. Vectors that are null, empty or hold
+null or non-finite components take no part; only vectors of equal length are compared. Ties go to the smaller vec_id. Rows that
+repeat an id are ranked each, as candidates and as queries. An empty table gives an empty result; extra columns are ignored. Scores
+are exact below 2**53.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, BLOCK = 8192, 512
+from rxnframe.llm.common import table
+
+VALUES, SEEDS, LEAST, PROBES = 1 << 21, 1 << 17, 2048, 8
 
 
 def valid_vectors(df: DataFrame) -> DataFrame:
@@ -30,77 +36,106 @@ def valid_vectors(df: DataFrame) -> DataFrame:
 
 
 class Postings:
-    """Rows of a shard by dimension and sign."""
+    """Rows of a shard by dimension; `scored` and `seen` count exact scores and rows met, for reports."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        self.lists, self.most = {}, {}
-        for d in range(x.shape[1]):
-            col = self.x[:, d]
-            for sign in (1, -1):
-                rows = np.flatnonzero(col * sign > 0)
-                weight = col[rows] * sign
-                self.lists[d, sign] = rows, weight
-                self.most[d, sign] = weight.max() if len(weight) else 0.0
-
-    def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        terms = [(abs(q[d]) * self.most[d, s], d, s) for d in np.flatnonzero(q).tolist() for s in (1 if q[d] > 0 else -1,)]
-        terms = sorted(t for t in terms if t[0] > 0)
+        self.ids, self.x = ids, x
+        self.lists = np.ascontiguousarray(x.T)
+        self.squares = self.lists**2
+        self.norm = self.squares.sum(0)
+        self.longest = float(self.norm.max(initial=0.0)) ** 0.5
+        self.high, self.low = (f(self.lists, axis=1, initial=0.0) for f in (np.max, np.min))
+        self.scored = self.seen = 0
+
+    def top(self, own: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of another id than `own`, without those that score less than `floor`."""
+        most = np.maximum(q * self.high, q * self.low)
+        terms = np.argsort(np.maximum(most, np.abs(q) * self.longest / max(1, len(q)) ** 0.5), kind="stable")
+        summed, length = np.cumsum(most[terms]), np.sqrt(np.cumsum(q[terms] ** 2))
+        least = floor
+        split = int(np.searchsorted(np.minimum(summed, length * self.longest), least, "left")) if least > 0 else 0
+        essential = np.sort(terms[split:])
+        partial = q[essential] @ self.lists[essential]
+        rest = self.norm - self.squares[essential].sum(0) if split else np.zeros(len(self.ids))
+        open_sum, open_length = (summed[split - 1], length[split - 1]) if split else (0.0, 0.0)
         other = self.ids != own
-        seeds = np.flatnonzero(other)[:k]
-        if terms:
-            _, d, s = terms[-1]
-            rows, weight = self.lists[d, s]
-            rows = rows[np.argsort(-weight)[: 8 * k + 8]]
-            seeds = np.union1d(seeds, rows[other[rows]])
-        scores = self.x[seeds] @ q
-        if len(seeds) < k:
-            least = -np.inf
-        else:
-            least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        open_bound, essential = 0.0, 0
-        while essential < len(terms) and open_bound + terms[essential][0] < least:
-            open_bound += terms[essential][0]
-            essential += 1
-        partial = np.zeros(len(self.ids))
-        for _, d, s in terms[essential:]:
-            rows, weight = self.lists[d, s]
-            partial[rows] += abs(q[d]) * weight
-        rows = np.flatnonzero(other & (partial + open_bound >= least))
-        partial = partial[rows]
-        for bound, d, s in terms[:essential][::-1]:
-            open_bound -= bound
-            partial += np.maximum(0, self.x[rows, d] * s) * abs(q[d])
-            keep = partial + max(0.0, open_bound) + 1e-6 >= least
-            rows, partial = rows[keep], partial[keep]
-        scores = self.x[rows] @ q
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[best]], scores[best]
+        self.seen += len(other)
+        ceiling = partial + np.minimum(open_sum, open_length * np.sqrt(np.maximum(rest, 0)))
+        alive = np.flatnonzero(other & (ceiling >= least - 0.5))  # whole numbers: half of one is room for rounding
+        if len(alive) > 4 * k:  # the most promising rows raise the threshold
+            best = alive[np.argpartition(-ceiling[alive], k - 1)[: 2 * k]]
+            scores = self.x[best] @ q
+            self.scored += len(best)
+            least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
+            alive = alive[ceiling[alive] >= least - 0.5]
+        partial, rest = partial[alive], rest[alive]
+        while split and len(alive):
+            some = terms[max(0, split - PROBES) : split]
+            split = max(0, split - PROBES)
+            cells = self.x[alive[:, None], some]
+            partial, rest = partial + cells @ q[some], rest - (cells * cells).sum(1)
+            open_sum, open_length = (summed[split - 1], length[split - 1]) if split else (0.0, 0.0)
+            keep = partial + np.minimum(open_sum, open_length * np.sqrt(np.maximum(rest, 0))) >= least - 0.5
+            alive, partial, rest = alive[keep], partial[keep], rest[keep]
+        scores = self.x[alive] @ q
+        self.scored += len(alive)
+        best = np.lexsort((self.ids[alive], -scores))[:k]
+        return self.ids[alive[best]], scores[best]
+
+
+def _floors(seeds: list[tuple[int, list[float]]], k: int):
+    """Queries (key, vec_id, width, vector) with floor, the k-th best score among the seeds of other ids."""
+    by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in {len(v) for _, v in seeds}:
+        some = [(i, v) for i, v in seeds if len(v) == n]
+        by_width[n] = np.array([i for i, _ in some]), np.array([v for _, v in some])
+
+    def run(batches):
+        for pdf in batches:
+            floors = np.full(len(pdf), -np.inf)
+            for j, (own, v) in enumerate(zip(pdf["vec_id"], pdf["vector"])):
+                ids, x = by_width.get(len(v), (np.zeros(0, int), None))
+                other = ids != own
+                if other.sum() >= k:
+                    scores = x[other] @ np.asarray(v)
+                    floors[j] = np.partition(scores, len(scores) - k)[len(scores) - k]
+            yield pdf.assign(floor=floors)
+
+    return run
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """vectors, queries (vec_id, embedding) -> query_id, rank, vec_id, score; a query's own id is no candidate."""
+    spark = vectors.sparkSession
 
     def whole(df: DataFrame) -> DataFrame:
         return valid_vectors(df).select("vec_id", F.size("vector").alias("width"), F.transform("vector", lambda x: F.floor(x * 1024).cast("double")).alias("vector"))
 
-    vectors, queries = whole(vectors), whole(queries)
-    shards, blocks = max(1, -(-vectors.count() // SHARD)), max(1, -(-queries.count() // BLOCK))
-    place = lambda df, mine, n, other, m: df.withColumn(mine, F.expr(f"pmod(xxhash64(vec_id), {n}L)")).withColumn(other, F.explode(F.expr(f"sequence(0L, {m - 1}L)")))
+    vectors = whole(vectors)
+    size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max("width"), F.lit(1)).alias("width")).first()
+    most, cores = max(1, VALUES // size.width), spark.sparkContext.defaultParallelism
+    shards = max(1, -(-size.n // most), min(cores, -(-size.n // LEAST)))
+    n_seeds = max(k + 1, SEEDS // size.width)
+    seeds = [tuple(r) for r in vectors.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_seeds).collect()]  # a bounded sample: it sets thresholds, never results
+    asked = whole(queries).withColumn("key", F.monotonically_increasing_id()).select("key", "vec_id", "width", "vector")
+    asked = table(asked.mapInPandas(_floors(seeds, k), "key long, vec_id long, width int, vector array<double>, floor double"))
+    blocks = max(1, -(-asked.count() // most))
+    place = lambda df, mine, by, n, other, m: df.withColumn(mine, F.expr(f"pmod(xxhash64({by}), {n}L)")).withColumn(other, F.explode(F.expr(f"sequence(0L, {m - 1}L)")))
     keys = ["width", "shard", "block"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             rows = Postings(right["vec_id"].to_numpy(), np.stack(right["vector"].to_numpy()))
-            for own, q in zip(left["vec_id"], left["vector"]):
-                ids, scores = rows.top(own, np.asarray(q), k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-
-    found = place(queries, "block", blocks, "shard", shards).groupBy(*keys).cogroup(place(vectors, "shard", shards, "block", blocks).groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for key, own, q, floor in zip(left["key"], left["vec_id"], left["vector"], left["floor"]):
+                ids, scores = rows.top(own, np.asarray(q), k, floor)
+                out.append(pd.DataFrame({"key": key, "query_id": own, "vec_id": ids, "score": scores.astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"key": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+
+    left = place(asked, "block", "key", blocks, "shard", shards)
+    right = place(vectors, "shard", "vec_id, vector", shards, "block", blocks)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "key long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
