@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import chunks, lean
+from rxnframe.llm.common import adding, assemble, chunks, lean
 from rxnframe.llm.pretokenise import LETTER, classes
 
-SAMPLE, BUCKETS, SATURATE, TOP = 3000, 1 << 15, 40, 1 << 40
+SAMPLE, BUCKETS, SATURATE, TOP, SLICE = 3000, 1 << 15, 40, 1 << 40, 1 << 18
 MAYBE_LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
 
 
@@ -39,28 +39,44 @@ def _letters() -> np.ndarray:
     return out
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket pairs (bigram, trigram) at each position of texts laid end to end between spaces, text starts, and numbers of letters."""
-    code = np.frombuffer((" " + " ".join(texts) + "  ").encode("utf-32-le"), np.uint32)
-    low = _letters()[code]
-    start = np.cumsum([0] + [len(t) + 1 for t in texts])
+def _pairs(padded: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket pairs (bigram, trigram) at every place of a string but its last two, and its lower-case letters."""
+    low = _letters()[np.frombuffer(padded.encode("utf-32-le"), np.uint32)]
     a, b, c = low[:-2], low[1:-1], low[2:]
     two = (a * np.uint32(0x9E3779B1) ^ b) * np.uint32(0x85EBCA77)
     three = (two ^ c) * np.uint32(0xC2B2AE3D)
+    return np.stack([two >> np.uint32(17), (three >> np.uint32(17)) + np.uint32(BUCKETS)], 1), low
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket pairs at each place of texts laid end to end between spaces, text starts, and numbers of letters."""
+    pairs, low = _pairs(" " + " ".join(texts) + "  ")
+    start = np.cumsum([0] + [len(t) + 1 for t in texts])
     letter = np.concatenate([[0], np.cumsum(low != 32)])
     n = letter[start[1:]] - letter[start[:-1] + 1]
-    return np.stack([two >> np.uint32(17), (three >> np.uint32(17)) + np.uint32(BUCKETS)], 1)[: start[-1]], start, n
+    return pairs[: start[-1]], start, n
 
 
 def codewords(n: int) -> np.ndarray:
-    """n codewords of +-1: all distinct splits for up to 5 languages, else seeded random columns, 8 bits for each doubling."""
-    if not n:
-        return np.zeros((0, 0), np.float32)
-    if n <= 5:
-        cols = [c for c in product((1, -1), repeat=n) if c[0] == 1 and -1 in c]
-        return np.array(cols, np.float32).T if cols else np.zeros((n, 0), np.float32)
-    bits = 8 * int(np.ceil(np.log2(n)))
-    return np.random.default_rng(7).choice(np.array([1, -1], np.float32), (n, bits))
+    """n codewords of +-1. No column is constant, repeats another one or is its complement, so every bit splits the languages anew.
+
+    Up to 7 languages take every such split. More take 8 splits into halves for each doubling, drawn from a fixed seed until
+    any two codewords differ in a quarter of them."""
+    if n <= 1:
+        return np.zeros((n, 0), np.float32)
+    if n <= 7:
+        return np.array([c for c in product((1, -1), repeat=n) if c[0] == 1 and -1 in c], np.float32).T
+    bits, rng = 8 * int(np.ceil(np.log2(n))), np.random.default_rng(7)
+    halves = np.where(np.arange(n) < n // 2, np.float32(1), np.float32(-1))
+    while True:
+        code = np.zeros((n, 0), np.float32)
+        while code.shape[1] < bits:
+            column = rng.permutation(halves)
+            if (np.abs(column @ code) < n).all():
+                code = np.hstack([code, column[:, None]])
+        alike = code @ code.T - 2 * bits * np.eye(n, dtype=np.float32)
+        if (bits - alike.max()) / 2 >= bits / 4:
+            return code
 
 
 class Model:
@@ -83,7 +99,16 @@ class Model:
 
     def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         zs, ns = [], []
-        for a, b in chunks(texts, 1 << 18):
+        for a, b in chunks(texts, SLICE):
+            if len(texts[a]) > SLICE:  # alone in its range; summed slice by slice, so that memory doesn't follow its length
+                padded, total, n = f" {texts[a]}  ", np.zeros((1, self.code.shape[1])), 0
+                for i in range(0, len(padded) - 2, SLICE):
+                    g, low = _pairs(padded[i : i + SLICE + 2])
+                    total += (self.weights[g[:, 0]] + self.weights[g[:, 1]]).sum(0)
+                    n += int((low[:-2] != 32).sum())
+                zs.append(total / (1 + (len(padded) - 2) / SATURATE))
+                ns.append([n])
+                continue
             g, start, n = grams(texts[a:b])
             total = np.zeros((b - a, self.code.shape[1]))
             if self.code.size:
@@ -136,14 +161,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 def predict(df: DataFrame, model: Model, close: float = 0.2) -> DataFrame:
     """Adds lang_pred, score (0 to 1) and ambiguous."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = ("lang_pred", "score", "ambiguous")
-    keep = [f for f in df.schema if f.name not in names]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["lang_pred string, score double, ambiguous boolean"])
+    keep, schema = adding(df, "lang_pred string, score double, ambiguous boolean")
 
     def run(batches):
         for batch in batches:
             lang, score, unsure = shared.value.predict([t or "" for t in batch.column("text").to_pylist()], close)
-            cols = [batch.column(f.name) for f in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in keep] + list(names))
+            yield assemble(batch, keep, {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "ambiguous": pa.array(unsure, pa.bool_())})
 
     return lean(df).mapInArrow(run, schema)
