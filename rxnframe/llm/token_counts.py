@@ -1,22 +1,26 @@
 """Token counts through a digest cache.
 
 Content (null: empty) and tokenizer version are keyed by SHA-256. Stored counts are joined, only distinct texts
-without a stored count are encoded, and those are appended to the cache, a Parquet folder in a shared store with
-one writer at a time. Empty texts count 0 tokens. Repeated rows and equal texts share one encoding. An empty table gives an
-empty result. Columns named n_bytes, n_tokens or over_limit are replaced, others stay.
+without a stored count are encoded, and those are appended to the cache. The cache is a Parquet folder that driver and
+executors share: `cache_path`, else the session's spark.rxnframe.token_cache, else the folder token_cache beside the
+work tables in spark.checkpoint.dir, so that later calls find the counts of earlier ones. Each call appends a folder of
+its own, so writers don't disturb each other; what two of them stored counts once. Empty texts count 0 tokens. Repeated
+rows and equal texts share one encoding. An empty table gives an empty result. Columns named n_bytes, n_tokens or
+over_limit (in any case) are replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import chunks, lean, work_dir
+from rxnframe.llm.common import chunks, fresh, lean, quoted, shared_root
 from rxnframe.llm.pretokenise import pieces
 
 CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -64,23 +68,36 @@ def count_texts(texts: list[str], path: str) -> list[int]:
     return out
 
 
+def default_cache(spark: SparkSession) -> str:
+    return spark.conf.get("spark.rxnframe.token_cache", None) or f"{shared_root(spark)}/rxnframe/token_cache"
+
+
 def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 512, column: str = "text") -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit (n_tokens > limit)."""
     spark = df.sparkSession
-    cache_path = cache_path or work_dir(spark)
+    cache_path = cache_path or default_cache(spark)
     version = tokenizer_digest(tokenizer_path)
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
-    stored = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
-    text = F.coalesce(F.col(column), F.lit(""))
-    keyed = df.drop("n_bytes", "n_tokens", "over_limit").withColumn("__digest", F.sha2(text, 256))
-    misses = keyed.select(F.col("__digest").alias("content_digest"), text.alias("content")).groupBy("content_digest").agg(F.first("content").alias("content")).join(stored, "content_digest", "left_anti")
+
+    def append(rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{cache_path}/run={uuid.uuid4().hex}")
+
+    def stored() -> DataFrame:
+        rows = spark.read.schema(CACHE).option("basePath", cache_path).parquet(cache_path)
+        return rows.filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens").dropDuplicates(["content_digest"])
+
+    append(spark.createDataFrame([], CACHE))  # a cache that is new can be read as well
+    df = df.drop("n_bytes", "n_tokens", "over_limit")
+    (digest,) = fresh(df, "digest")
+    text = F.coalesce(quoted(column), F.lit(""))
+    keyed = df.withColumn(digest, F.sha2(text, 256))
+    misses = df.select(F.sha2(text, 256).alias("content_digest"), text.alias("content")).groupBy("content_digest").agg(F.first("content").alias("content")).join(stored(), "content_digest", "left_anti")
 
     def run(batches):
         for batch in batches:
             counts = count_texts(batch.column("content").to_pylist(), tokenizer_path)
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
-    lean(misses).mapInArrow(run, CACHE).write.mode("append").parquet(cache_path)
-    stored = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
-    counted = keyed.withColumn("n_bytes", F.octet_length(text).cast("long"))
-    return counted.join(stored.withColumnRenamed("content_digest", "__digest"), "__digest", "left").drop("__digest").withColumn("over_limit", F.col("n_tokens") > limit)
+    append(lean(misses).mapInArrow(run, CACHE))
+    known = stored().withColumnRenamed("content_digest", digest)
+    counted = keyed.withColumn("n_bytes", F.octet_length(text).cast("long")).join(known, digest, "left")
+    return counted.select(*map(quoted, df.columns), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
