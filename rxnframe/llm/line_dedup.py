@@ -6,8 +6,10 @@ more with at least `min_chars` characters is boilerplate: its first occurrence (
 every other one goes.
 
 Null texts have no lines and stay null. A null source counts as no site. Rows without an id neither keep a first
-occurrence nor lose lines. Rows that repeat an id are treated alike. Empty and short lines always stay. An empty table
-gives an empty result. Extra columns stay; n_lines and n_removed are replaced. Lines are told apart by 64-bit hashes.
+occurrence nor lose lines. Rows that repeat an id lose lines each by their own text; the places of a first occurrence are
+those of the smallest id, so such rows keep the line at the same position. Empty and short lines always stay. An empty
+table gives an empty result. Extra columns stay whatever their names; n_lines and n_removed are replaced. Lines are told
+apart by 64-bit hashes, written once and read from there. A text is cut in time linear in its lines.
 """
 
 from __future__ import annotations
@@ -15,48 +17,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import table
+from rxnframe.llm.common import discard, fresh, quoted, table
 
 SITES, BAND, LOG_K, MIN_CHARS = 8, 0.25, 11, 20
 
 
 def site_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, site, hash and position of each line that is long enough."""
-    parts = docs.filter("doc_id is not null").select(F.col("doc_id"), F.col("source").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return parts.filter(F.length("line") >= min_chars).select("doc_id", "site", "pos", F.xxhash64("line").alias("hash"))
+    """doc_id, row (a key of the text), site, hash and position of each line that is long enough."""
+    parts = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), F.col("source").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return parts.filter(F.length("line") >= min_chars).select("doc_id", "row", "site", "pos", F.xxhash64("line").alias("hash"))
 
 
-def boilerplate(docs: DataFrame, sites: int = SITES, band: float = BAND, min_chars: int = MIN_CHARS) -> DataFrame:
-    """hash, first_doc and first_pos of each boilerplate line."""
-    lines = site_lines(docs, min_chars)
+def boilerplate(lines: DataFrame, sites: int = SITES, band: float = BAND) -> DataFrame:
+    """lines (as from site_lines) -> hash, first_doc and first_pos of each boilerplate line."""
     seen = lines.groupBy("hash").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"))
     spread = table(seen.withColumn("estimate", F.hll_sketch_estimate("sketch")).filter(F.col("estimate") >= sites * (1 - band)).select("hash", "estimate", "first"))
     sure = spread.filter(F.col("estimate") > sites * (1 + band))
     near = spread.filter(F.col("estimate") <= sites * (1 + band))
     exact = lines.select("hash", "site").join(near.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.countDistinct("site").alias("n")).filter(F.col("n") >= sites)
-    wide = sure.select("hash", "first").unionByName(near.join(exact.select("hash"), "hash").select("hash", "first"))
+    wide = table(sure.select("hash", "first").unionByName(near.join(exact.select("hash"), "hash").select("hash", "first")))
+    discard(spread)
     return wide.select("hash", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES, band: float = BAND, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with boilerplate cut out of text, and n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    wide = table(boilerplate(docs, sites, band, min_chars))
-    hits = site_lines(docs, min_chars).select("doc_id", "hash", "pos").join(wide, "hash")
+    lines = table(site_lines(docs, min_chars))
+    hits = lines.select("doc_id", "row", "hash", "pos").join(boilerplate(lines, sites, band), "hash")
     gone = hits.filter((F.col("doc_id") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos")))
-    held = gone.groupBy("doc_id").agg(F.collect_set("hash").alias("__gone"))
-    firsts = wide.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct("hash", F.col("first_pos").alias("pos"))).alias("__first"))
-    marks = held.join(firsts, "doc_id", "left")
-    out = docs.join(marks, "doc_id", "left")
+    doc, row, cuts = fresh(docs, "doc", "row", "cuts")
+    marks = table(gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("cuts"))).toDF(doc, row, cuts)
+    discard(lines)
+    out = docs.join(marks, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(row)), "left")
     split = F.split("text", "\n")
-    stays = lambda line, pos: (
-        F.length(line) < min_chars
-    ) | ~F.array_contains("__gone", F.xxhash64(line)) | F.coalesce(F.array_contains("__first", F.struct(F.xxhash64(line).alias("hash"), pos.alias("pos"))), F.lit(False))
-    kept = F.when(F.col("__gone").isNull(), split).otherwise(F.filter(split, stays))
-    out = out.withColumn("__kept", kept)
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
-    return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))).drop("__gone", "__first", "__kept")
+    ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), cuts).alias("a"), F.concat(F.col(cuts), F.array(F.size(split))).alias("b"))
+    kept = F.flatten(F.transform(ends, lambda x: F.slice(split, x.a + 2, x.b - x.a - 1)))  # the lines between two cuts
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines")
+    n_removed = F.when(F.col(cuts).isNull(), 0).otherwise(F.size(cuts)).cast("long").alias("n_removed")
+    return out.select(*[text if c.lower() == "text" else quoted(c) for c in docs.columns], n_lines, n_removed)
 
 
 def sql(sites: int = SITES, min_chars: int = MIN_CHARS) -> str:
