@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rxnframe.llm.common import chunks, lean
+from rxnframe.llm.common import adding, assemble, chunks, lean
 from rxnframe.llm.pretokenise import pieces
 
 CACHE_PIECES = 600_000
@@ -97,48 +97,44 @@ def encode_texts(texts: list[str], vocab: Vocabulary):
             yield list(chain.from_iterable(map(get, found[i:j])))
 
 
-def _add(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
-    keep = [n for n in batch.schema.names if n not in new]
-    return pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + list(new.values()), names=keep + list(new))
-
-
 def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def _schema(df: DataFrame, new: str) -> str:
-    names = {x.split()[0] for x in new.split(", ")}
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in names] + [new])
-
-
 def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
     """Adds ids array<int> and offsets array<int>: the byte at which each token starts."""
 
+    keep, schema = adding(df, "ids array<int>, offsets array<int>")
+
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
             ids = list(encode_texts(_texts(batch, column), vocab))
             offsets = [np.cumsum([0, *(len(vocab.tokens[i]) for i in x)])[:-1].tolist() if x else [] for x in ids]
-            yield _add(batch, {"ids": pa.array(ids, pa.list_(pa.int32())), "offsets": pa.array(offsets, pa.list_(pa.int32()))})
+            yield assemble(batch, keep, {"ids": pa.array(ids, pa.list_(pa.int32())), "offsets": pa.array(offsets, pa.list_(pa.int32()))})
 
-    return lean(df).mapInArrow(run, _schema(df, "ids array<int>, offsets array<int>"))
+    return lean(df).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """Adds decoded binary: the bytes of an array of ids; null ids give null."""
 
+    keep, schema = adding(df, "decoded binary")
+
     def run(batches):
         token = vocabulary(path).tokens.__getitem__
         for batch in batches:
             out = [None if ids is None else b"".join(map(token, ids)) for ids in batch.column(column).to_pylist()]
-            yield _add(batch, {"decoded": pa.array(out, pa.binary())})
+            yield assemble(batch, keep, {"decoded": pa.array(out, pa.binary())})
 
-    return lean(df).mapInArrow(run, _schema(df, "decoded binary"))
+    return lean(df).mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, path: str, column: str = "text") -> DataFrame:
     """Encode and decode in one pass; adds n_tokens, ids_sha256 and decoded_sha256 instead of the ids themselves."""
 
+    keep, schema = adding(df, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
     def run(batches):
         vocab = vocabulary(path)
         token, name, sha = vocab.tokens.__getitem__, vocab.names.__getitem__, hashlib.sha256
@@ -148,6 +144,6 @@ def round_trip(df: DataFrame, path: str, column: str = "text") -> DataFrame:
                 n.append(len(ids))
                 ids_sha.append(sha(",".join(map(name, ids)).encode()).hexdigest())
                 text_sha.append(sha(b"".join(map(token, ids))).hexdigest())
-            yield _add(batch, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
+            yield assemble(batch, keep, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
 
-    return lean(df).mapInArrow(run, _schema(df, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return lean(df).mapInArrow(run, schema)

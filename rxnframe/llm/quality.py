@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import lean, local_rows, row_ranges, utf8, words
+from rxnframe.llm.common import adding, assemble, lean, local_rows, row_ranges, utf8, words
 
 POSITIVES, UNLABELLED, CUTOFF = 2500, 4500, 0.3
 _SHAPE = np.zeros(256, np.int64)
@@ -138,14 +138,12 @@ def fit(docs: DataFrame, trusted: DataFrame, positives: int = POSITIVES, unlabel
 def score(df: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= cutoff)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    keep = [f for f in df.schema if f.name not in ("score", "predicted")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["score double, predicted int"])
+    keep, schema = adding(df, "score double, predicted int")
 
     def run(batches):
         for batch in batches:
             data, off = utf8(batch, "text")
             s = np.concatenate([shared.value.score(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in row_ranges(off, 1 << 20)] or [np.zeros(0)])
-            cols = [batch.column(f.name) for f in keep] + [pa.array(s, pa.float64()), pa.array((s >= cutoff).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in keep] + ["score", "predicted"])
+            yield assemble(batch, keep, {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= cutoff).astype(np.int32), pa.int32())})
 
     return lean(df).mapInArrow(run, schema)
