@@ -49,12 +49,14 @@ def _pairs(padded: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket pairs at each place of texts laid end to end between spaces, text starts, and numbers of letters."""
-    pairs, low = _pairs(" " + " ".join(texts) + "  ")
-    start = np.cumsum([0] + [len(t) + 1 for t in texts])
+    """Bucket pairs at each place of texts, each between spaces of its own, text starts, and numbers of letters."""
+    pairs, low = _pairs(" " + "  ".join(texts) + "   ")
+    size = np.array(list(map(len, texts)), np.int64)
+    last = np.cumsum(size + 2) - 1  # the place after a text's own
+    own = np.ones(len(pairs), bool)
+    own[last] = False
     letter = np.concatenate([[0], np.cumsum(low != 32)])
-    n = letter[start[1:]] - letter[start[:-1] + 1]
-    return pairs[: start[-1]], start, n
+    return pairs[own], np.append(0, np.cumsum(size + 1)), letter[last] - letter[last - size]
 
 
 def codewords(n: int) -> np.ndarray:

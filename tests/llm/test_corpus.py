@@ -160,8 +160,17 @@ def test_packing_edges(odd, none):
 
 def test_packing_is_tight():
     n = np.random.default_rng(1).integers(1, 3000, 3000)
-    seq, offset = packing.pack(n, 4096)
+    seq, offset, by = packing.pack(n, 4096)
     assert np.bincount(seq, n).max() <= 4096 and seq.max() + 1 <= 1.01 * n.sum() / 4096 + 1
+    assert np.mean(by == packing.PATTERN) > 0.8
+
+
+def test_counts_never_overdraw_a_bin():
+    rng = np.random.default_rng(2)
+    for h in (rng.integers(0, 60, 64), np.eye(64)[15] * 999, np.eye(64)[63] * 5, np.zeros(64), rng.poisson(0.4, 64), np.full(16, 3)):
+        m, count = packing.fit(h.astype(float))
+        assert (count > 0).all() and (m @ count <= h).all()
+        assert (m.sum(0) <= packing.PLACES).all() and ((2 * np.arange(len(h)) + 1) @ m <= 2 * len(h)).all()
 
 
 # Classifiers
@@ -222,10 +231,65 @@ def test_language_quotas():
     assert language_id.quotas({}, 3000) == {}
 
 
-def test_codewords_differ():
-    for n in (2, 3, 5, 9, 40):
+def test_codewords():
+    for n in range(2, 61):
         code = language_id.codewords(n)
-        assert len({tuple(r) for r in code.tolist()}) == n
+        bits = code.shape[1]
+        assert len({tuple(r) for r in code.tolist()}) == n and (np.abs(code.sum(0)) < n).all()
+        columns = np.abs(code.T @ code) - n * np.eye(bits)
+        assert columns.max() < n
+        near = (bits - (code @ code.T - 2 * bits * np.eye(n)).max()) / 2
+        assert near >= max(1, bits // 4)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 6, 7, 8, 13])
+def test_decoding_matches_brute_force(n):
+    rnd = random.Random(n)
+    letters = [rnd.sample("abcdefghijklmnopqrstuvwxyzéäößñ", 9) for _ in range(n)]
+    say = lambda i: " ".join("".join(rnd.choice(letters[i]) for _ in range(rnd.randint(2, 7))) for _ in range(25))
+    langs = [f"l{i:02}" for i in range(n)]
+    labels = [i % n for i in range(12 * n)]
+    texts = [say(i) for i in labels]
+    model = language_id.Model(langs, texts, [langs[i] for i in labels])
+    assert np.isfinite(model.weights).all() and np.isfinite(model.trust).all()
+    some = [say(i % n) for i in range(3 * n)] + ["x", "12", "é" * 50]
+    got, scores, unsure = model.predict(some, 0.2)
+
+    def counts(text):
+        g = language_id.grams([text])[0]
+        return g[:, 0].tolist() + g[:, 1].tolist()
+
+    share = np.full((n, 2 * language_id.BUCKETS), 0.05)
+    for i, t in zip(labels, texts):
+        for b in counts(t):
+            share[i, b] += 1
+    share /= share.sum(1, keepdims=True)
+
+    def margin(text, k):
+        ones, zeros = ([i for i in range(n) if model.code[i, k] == s] for s in (1, -1))
+        odds = sum(np.log(np.mean([share[i, b] for i in ones])) - np.log(np.mean([share[i, b] for i in zeros])) for b in counts(text))
+        return odds / (1 + (len(text) + 1) / language_id.SATURATE)
+
+    for text, lang, score, flag in zip(some, got, scores, unsure):
+        if not any(c.isalpha() for c in text):
+            assert (lang, score, flag) == ("und", 0, False)
+            continue
+        zs = [margin(text, k) for k in range(model.code.shape[1])]
+        loss = [sum(w * np.log1p(np.exp(-z * c)) for w, z, c in zip(model.trust, zs, model.code[i])) for i in range(n)]
+        p = np.exp(min(loss) - np.array(loss))
+        p /= p.sum()
+        assert lang == langs[int(p.argmax())] and abs(score - p.max()) < 1e-3 and 0 <= score <= 1
+        two = sorted(p)[-2:] if n > 1 else [0, 1]
+        assert abs((two[1] - two[0]) - 0.2) < 1e-3 or flag == (two[1] - two[0] < 0.2)
+
+
+def test_long_text_in_slices(monkeypatch):
+    model = language_id.Model(["a", "b", "c"], ["hello world the", "bonjour le monde", "guten tag"], ["a", "b", "c"])
+    some = ["hello the bonjour 12 " * 400, "é ñ ü" * 100, "", "x" * 64, "tag " * 16]
+    whole = model.margins(some)
+    monkeypatch.setattr(language_id, "SLICE", 64)
+    cut = model.margins(some)
+    assert np.allclose(whole[0], cut[0], atol=1e-4) and list(whole[1]) == list(cut[1])
 
 
 def test_op6(spark):
