@@ -5,10 +5,12 @@ at least one block the squared distance is within that block's proportional shar
 range on a grid of its first two coordinates with cells as wide as the block's radius: a row is at home in its cell and
 probes half of the neighbouring cells, so a pair meets once. Candidates within the block's budget are verified exactly by
 cosine in double precision, in the first block that finds them. Crowded cells are split into tiles: rows at
-home are dealt to chunks and probes to turns, and every chunk meets every turn. A task returns link counts and one label for each row, never pairs.
+home are dealt to chunks and probes to turns, and every chunk meets every turn. Tiles hold a fixed share of all rows, so that work is even
+and a row is sent as often in a larger table, until a tile is as large as a task's memory allows (CHUNK components); beyond that, on vectors
+without structure, rows sent grow with a cell's size. A task returns link counts and one label for each row, never pairs.
 
 Equal vectors collapse to their smallest id first and count with their number. Vectors that are null, empty, zero or
-hold null or non-finite components link with nothing: n_links 0, their own component. Only vectors of equal length are
+hold null or non-finite components link with nothing: n_links 0, their own component; so do they where another row of their id has a vector. Only vectors of equal length are
 compared. Rows with a null id have a null component. An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -18,14 +20,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import table
+from rxnframe.llm.common import discard, table
 from rxnframe.llm.components import components
-from rxnframe.llm.top_k import valid_vectors
 
-WIDTH, CHUNK, PROBES, SLICE = 16, 2048, 4096, 512
+WIDTH, CHUNK, SHARE, LEAST, SLICE = 16, 1 << 19, 16, 512, 512
 HALF = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 
 
@@ -119,16 +120,25 @@ def _compare(block: int, t: float, home, probe):
     return [nodes, count, nodes[label]]
 
 
+def usable(column: str) -> Column:
+    """Whether an array<double> can have a direction: not null, empty or zero, and all of it finite."""
+    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(F.col(column).isNotNull() & ~bad & F.exists(column, lambda x: x != 0), F.lit(False))
+
+
 def near_vectors(df: DataFrame, t: float = 0.95) -> DataFrame:
     """df (vec_id, embedding) -> vec_id, n_links, component_id, kept for each row."""
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    good = valid_vectors(rows).filter(F.exists("vector", lambda x: x != 0)).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
-    good = table(good.withColumn("digest", F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), 256)))
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
+    digest = F.when(usable("vector") & F.col("vec_id").isNotNull(), F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), 256))
+    rows = table(rows.withColumn("digest", digest))
+    good = rows.filter("digest is not null")
     sets = table(good.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
     vectors = good.join(sets, [good.digest == sets.digest, good.vec_id == sets.id]).select("id", "n", "vector").dropDuplicates(["id", "vector"])
+    size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("width")).first()
+    chunk = max(1, min(CHUNK // size.width, max(LEAST, size.n // SHARE)))
     cells = table(_cells(vectors, t).select("id", "n", "vector", F.size("vector").alias("width"), F.explode("cells").alias("c")).select("id", "n", "vector", "width", "c.*"))
     key = ["width", "block", "x", "y"]
-    crowd = table(cells.groupBy(*key).agg(F.ceil(F.count_if("home") / CHUNK).alias("chunks"), F.ceil(F.count("*") / PROBES).alias("turns")).filter("chunks > 0"))
+    crowd = table(cells.groupBy(*key).agg(F.ceil(F.count_if("home") / chunk).alias("chunks"), F.ceil(F.count("*") / (2 * chunk)).alias("turns")).filter("chunks > 0"))
     visits = cells.join(crowd, key)
     homes = visits.filter("home").withColumn("chunk", F.expr("pmod(xxhash64(id), chunks)")).withColumn("turn", F.explode(F.expr("sequence(0L, turns - 1)"))).withColumn("side", F.lit(0))
     probes = visits.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("turn", F.expr("pmod(xxhash64(id, 5), turns)")).withColumn("side", F.lit(1))
@@ -166,7 +176,7 @@ def near_vectors(df: DataFrame, t: float = 0.95) -> DataFrame:
     classes = components(found.select(F.col("id").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "id")
     labels = table(sets.join(links, "id", "left").join(classes, "id", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     known = good.select("vec_id", "digest").join(labels, "digest").select("vec_id", "n_links", "component_id")
-    rest = rows.join(good.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rest = rows.filter("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
