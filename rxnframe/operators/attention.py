@@ -62,8 +62,8 @@ def edge_softmax_aggregate(nodes: DataFrame, edges: DataFrame, w_node: Matrix, w
         vector = F.array(*[F.lit(float(s)) for s in np.asarray(w_self).sum(0)])
         own = new.withColumn("logits", F.array(*[dot(F.slice("z", 1 + i * width, width), vector) for i in range(heads)]))
         rows = rows.unionByName(own.select("graph_id", "node", "logits", "z", F.lit(2.0).alias("times")))
-    top = [F.max(F.col("logits")[i]).alias(f"m{i}") for i in range(heads)]
-    rows = rows.join(rows.groupBy("graph_id", "node").agg(*top), ["graph_id", "node"])
+    around = Window.partitionBy("graph_id", "node")  # the sums below reuse its partitioning
+    rows = rows.withColumns({f"m{i}": F.max(F.col("logits")[i]).over(around) for i in range(heads)})
     weight = [F.exp(F.col("logits")[i] - F.col(f"m{i}")) for i in range(heads)]
     sums = [F.sum(w).alias(f"s{i}") for i, w in enumerate(weight)]
     sums += [F.sum(weight[i] * F.col("times") * F.col("z")[i * width + j]).alias(f"v{i}_{j}") for i in range(heads) for j in range(width)]
@@ -109,6 +109,16 @@ def pair_attention(nodes: DataFrame, pairs: DataFrame, width: int, clip: tuple[f
     return out.select("graph_id", "node", F.array(*[F.col(f"_v{j}") / F.col("_s") * scale for j in range(width)]).alias("h"))
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function, by its series of positive terms; beyond 6 it is 1 in double precision."""
+    a = np.minimum(np.abs(x), 6.0)
+    term = total = a.astype(float)
+    for n in range(1, 120):
+        term = term * 2 * a * a / (2 * n + 1)
+        total = total + term
+    return np.sign(x) * 2 / math.sqrt(math.pi) * np.exp(-a * a) * total
+
+
 def dense(df: DataFrame, column: str, weights: Matrix, bias: list[float], activation: str | None = "leaky_relu", name: str = "out") -> DataFrame:
     """Fixed dense layer with leaky ReLU, GELU or nothing. GELU runs vectorised in Python (Spark SQL has no erf); the others are built-in expressions."""
     if activation in (None, "leaky_relu"):
@@ -117,8 +127,6 @@ def dense(df: DataFrame, column: str, weights: Matrix, bias: list[float], activa
     if activation != "gelu":
         raise ValueError(f"unknown activation {activation}")
     w, b = np.asarray(weights, float), np.asarray(bias, float)
-    erf = np.vectorize(math.erf, otypes=[float])
-
     @F.pandas_udf("array<double>")
     def layer(x: pd.Series) -> pd.Series:
         z = (np.stack(x.to_numpy()) @ w.T + b) if len(x) else np.zeros((0, len(b)))

@@ -28,7 +28,7 @@ def pairs(coords: DataFrame, keys=("graph_id", "frame")) -> DataFrame:
 def perceive_bonds(coords: DataFrame, elements: DataFrame, scale: float = 1.2, hydrogen_scale: float = 1.5) -> tuple[DataFrame, DataFrame]:
     """Bonds (graph_id, frame, u < v, d) of atoms nearer than scale * (r_i + r_j), and frames (graph_id, frame) rejected because an atom exceeds its most bonds."""
     dim = elements.select("element", "radius", "most")
-    known = coords.join(F.broadcast(dim), "element")
+    known = coords.join(dim, "element")
     p = pairs(known)
     near = F.when((F.col("element_i") == "H") & (F.col("element_j") == "H"), F.lit(max(scale, hydrogen_scale))).otherwise(F.lit(scale))
     b = p.filter((F.col("d") > 0) & (F.col("d") < near * (F.col("radius_i") + F.col("radius_j"))))
@@ -125,7 +125,7 @@ def geometry_deviation(coords: DataFrame, elements: DataFrame, bonds: DataFrame
     c = coords.select("graph_id", "frame", "node", "element", *XYZ)
     a, b = (c.filter(F.col("frame") == k).drop("frame") for k in (0, 1))
     both = _moved(a, "i", ["graph_id", "node", "element"]).join(_moved(b.drop("element"), "j", ["graph_id", "node"]), ["graph_id", "node"])
-    both = both.join(F.broadcast(elements.select("element", "mass")), "element")
+    both = both.join(elements.select("element", "mass"), "element")
     d2 = distance("i", "j") ** 2
     out = both.groupBy("graph_id").agg(F.sqrt(F.avg(d2)).alias("rmsd"), F.sqrt(F.sum(F.col("mass") * d2) / F.sum("mass")).alias("mass_rmsd"))
     if bonds is None:
@@ -142,7 +142,7 @@ def geometry_deviation(coords: DataFrame, elements: DataFrame, bonds: DataFrame
 def motion_indicators(coords: DataFrame, modes: DataFrame, elements: DataFrame, targets: DataFrame, scale: float = 1.8, step: float = 0.5) -> DataFrame:
     """along a mode (mx, my, mz per atom), pairs within scale * (r_i + r_j) rank by how much their distance changes (to 9 digits, ties by node). Per graph: mean and least change of the target pairs (0 for one out of range), the sum of non-target changes ranked above the worst target, and the longest target pair."""
     keys = ["graph_id"]
-    at = coords.join(modes, ["graph_id", "node"]).join(F.broadcast(elements.select("element", "radius")), "element")
+    at = coords.join(modes, ["graph_id", "node"]).join(elements.select("element", "radius"), "element")
     p = _moved(at.select("graph_id", "node", "radius", *XYZ, "mx", "my", "mz"), "i", keys).join(_moved(at.select("graph_id", "node", "radius", *XYZ, "mx", "my", "mz"), "j", keys), keys).filter("node_i < node_j")
     gap = lambda s: F.sqrt(sum(((F.col(f"{c}_i") + s * F.col(f"m{c}_i") - F.col(f"{c}_j") - s * F.col(f"m{c}_j")) ** 2 for c in XYZ), F.lit(0.0)))
     p = p.withColumns({"d": gap(0.0), "change": F.round(F.abs(gap(step) - gap(-step)), 9)})

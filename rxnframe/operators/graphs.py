@@ -6,8 +6,12 @@ reuse that partitioning (see session.SETTINGS), and each round ends in a reliabl
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rxnframe.session import checkpoint
 
@@ -48,17 +52,69 @@ def distance_to_set(bonds: DataFrame, atoms: DataFrame, seeds: DataFrame, unreac
     return atoms.select("graph_id", "node").join(near, ["graph_id", "node"], "left").fillna(unreachable, ["hops"])
 
 
-def components(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Each atom's fragment, named by its smallest node; isolated atoms are their own."""
-    step = _placed(bonds.select("graph_id", F.col("u").alias("node"), "v").distinct())
-    labels = _placed(atoms.select("graph_id", "node", F.col("node").alias("component")))
+def _fragments(graph: np.ndarray, node: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For rows (graph, node, near or -1), numbered from 0 upwards in each batch: the smallest node reachable. Links to nodes without a row of their own are ignored."""
+    own = near < 0
+    width = int(max(node.max(), near.max())) + 1
+    known, at = np.unique(graph[own] * width + node[own], return_inverse=True)
+    a, b = graph[~own] * width + node[~own], graph[~own] * width + near[~own]
+    i, j = (np.minimum(np.searchsorted(known, x), max(0, len(known) - 1)) for x in (a, b))
+    there = (known[i] == a) & (known[j] == b) if len(known) else np.zeros(len(a), bool)
+    i, j = i[there], j[there]
+    label = np.arange(len(known))
     while True:
-        far = labels.select("graph_id", F.col("node").alias("v"), F.col("component").alias("seen"))
-        low = step.join(far, ["graph_id", "v"]).groupBy("graph_id", "node").agg(F.min("seen").alias("low"))
-        new = checkpoint(labels.join(low, ["graph_id", "node"], "left").select("graph_id", "node", F.col("component").alias("before"), F.least("component", F.coalesce("low", "component")).alias("component")))
-        if new.filter("before > component").isEmpty():
-            return new.drop("before")
-        labels = new.drop("before")
+        low, new = np.minimum(label[i], label[j]), label.copy()
+        for side in (i, j):
+            np.minimum.at(new, label[side], low)
+            np.minimum.at(new, side, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return known[label[at]] % width
+        label = new
+
+
+def components(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Each atom's fragment, named by its smallest node; isolated atoms are their own, and so are atoms without a graph.
+
+    One shuffle by graph_id, then one pass over each partition: whole graphs of a batch are labelled together, a graph that a batch
+    cuts waits for the next one. Ids may be of any type that sorts; a task holds one batch and one graph."""
+    types = {f.name: f.dataType for f in atoms.select("graph_id", "node").schema}
+    named = F.col("graph_id").isNotNull() & F.col("node").isNotNull()
+    rows = atoms.filter(named).select("graph_id", "node", F.lit(None).cast(types["node"]).alias("near"))
+    rows = rows.unionByName(bonds.filter("graph_id is not null and u is not null and v is not null").select("graph_id", F.col("u").cast(types["node"]).alias("node"), F.col("v").cast(types["node"]).alias("near")))
+    rows = rows.repartition("graph_id").sortWithinPartitions("graph_id")
+    schema = T.StructType([T.StructField("graph_id", types["graph_id"]), T.StructField("node", types["node"]), T.StructField("component", types["node"])])
+
+    def label(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        graph = pc.rank(t["graph_id"], tiebreaker="dense").to_numpy().astype(np.int64)
+        names = pa.chunked_array([*t["node"].chunks, *t["near"].chunks]).combine_chunks().unique().drop_null()
+        names = names.take(pc.sort_indices(names))
+        node = pc.index_in(t["node"], names).to_numpy().astype(np.int64)
+        near = pc.fill_null(pc.index_in(t["near"], names), -1).to_numpy().astype(np.int64)
+        low = _fragments(graph, node, near)
+        own = pa.array(near < 0)
+        cols = [t["graph_id"].filter(own).combine_chunks(), t["node"].filter(own).combine_chunks(), names.take(pa.array(low))]
+        return pa.RecordBatch.from_arrays(cols, names=["graph_id", "node", "component"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, t]) if held is not None else t
+            last = held["graph_id"][len(held) - 1]
+            n = pc.index(held["graph_id"], last).as_py()  # sorted: where the last graph begins
+            if n:
+                yield label(held.slice(0, n))
+                held = held.slice(n)
+        if held is not None and len(held):
+            yield label(held)
+
+    out = rows.mapInArrow(run, schema)
+    return out.unionByName(atoms.filter(~named).select("graph_id", "node", F.col("node").alias("component")))
 
 
 def find_rings(bonds: DataFrame, max_size: int = 20) -> DataFrame:
@@ -159,7 +215,7 @@ def electron_counts(bonds: DataFrame, atoms: DataFrame, elements: DataFrame, key
     """Electrons, deficiency, excess and formal charge of each atom. atoms: element and own (unbound electrons); key tells structures apart."""
     key = [*key, "node"]
     used = bonds.withColumnRenamed("u", "node").groupBy(*key).agg(F.sum("ord").alias("bonded"))
-    x = atoms.join(used, key, "left").fillna(0, ["bonded"]).join(F.broadcast(elements.select("element", "octet", "valence", "electronegativity")), "element")
+    x = atoms.join(used, key, "left").fillna(0, ["bonded"]).join(elements.select("element", "octet", "valence", "electronegativity"), "element")
     e = F.col("own") + 2 * F.col("bonded")
     return x.withColumns({"electrons": e, "deficiency": F.least(e - F.col("octet"), F.lit(0)), "excess": F.greatest(e - F.col("octet"), F.lit(0)), "formal": F.col("valence") - F.col("own") - F.col("bonded")})
 

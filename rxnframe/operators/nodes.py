@@ -35,17 +35,17 @@ def check_balance(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def check_vocabulary(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """Atoms whose element the dimension table lacks."""
-    return atoms.join(F.broadcast(elements.select("element").distinct()), "element", "left_anti")
+    return atoms.join(elements.select("element").distinct(), "element", "left_anti")
 
 
 def element_features(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """Atoms with the element table's number and mass; null for unknown elements."""
-    return atoms.join(F.broadcast(elements.select("element", "number", "mass")), "element", "left")
+    return atoms.join(elements.select("element", "number", "mass"), "element", "left")
 
 
 def bond_polarity(bonds: DataFrame, atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """Absolute difference of the ends' electronegativity, an unknown one counting 0."""
-    value = atoms.join(F.broadcast(elements.select("element", "electronegativity")), "element", "left").select("graph_id", "node", F.coalesce("electronegativity", F.lit(0.0)).alias("en"))
+    value = atoms.join(elements.select("element", "electronegativity"), "element", "left").select("graph_id", "node", F.coalesce("electronegativity", F.lit(0.0)).alias("en"))
     for end in "uv":
         bonds = bonds.join(value.select("graph_id", F.col("node").alias(end), F.col("en").alias(f"en_{end}")), ["graph_id", end])
     return bonds.withColumn("polarity", F.abs(F.col("en_u") - F.col("en_v")))

@@ -53,10 +53,13 @@ def filter_confidence(df: DataFrame, threshold: float = 0.10, column: str = "con
     return df.filter(F.col(column) >= threshold)
 
 
-def dummy_encode(df: DataFrame, column: str, values=None) -> DataFrame:
-    """is_<value> columns of 0 and 1; nulls of other numeric columns become 0. Without values, one pass finds them."""
+def dummy_encode(df: DataFrame, column: str, values=None, most: int = 1000) -> DataFrame:
+    """is_<value> columns of 0 and 1; nulls of other numeric columns become 0. Without values, one pass finds them; more than `most` distinct ones raise, as each becomes a column."""
     if values is None:
-        values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+        values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+        if len(values) > most:
+            raise ValueError(f"{column} has more than {most} distinct values")
+        values.sort()
     return df.withColumns({f"is_{v}": F.when(F.col(column) == v, 1).otherwise(0) for v in values}).fillna(0)
 
 

@@ -26,14 +26,18 @@ _ATTN = [sum(c) for c in zip(*W_ATTN)]
 _SELF = [sum(c) for c in zip(*W_SELF)]
 
 
-def _nodes(spark, sf):
+def _shared(spark, sf):
+    return X.shared_nodes(spark, sf, "l_quantity", "l_discount", "l_tax")
+
+
+def _nodes(spark, sf, n=None):
     d = lambda c: F.col(c).cast("double")
-    return X.nodes(spark, sf).select("graph_id", "node", F.array(d("l_quantity") / 50, d("l_discount"), d("l_tax")).alias("h"), (F.col("l_partkey") % 2).cast("double").alias("w"))
+    return (X.nodes(spark, sf) if n is None else n).select("graph_id", "node", F.array(d("l_quantity") / 50, d("l_discount"), d("l_tax")).alias("h"), (F.col("l_partkey") % 2).cast("double").alias("w"))
 
 
-def _edges(spark, sf, side="r"):
-    tail = _nodes(spark, sf).select("graph_id", F.col("node").alias("v"), "w")
-    return X.directed(spark, sf, side).join(tail, ["graph_id", "v"]).select("graph_id", "u", "v", F.array(F.col("ord").cast("double"), "w").alias("f"))
+def _edges(spark, sf, side="r", n=None):
+    tail = _nodes(spark, sf, n).select("graph_id", F.col("node").alias("v"), "w")
+    return X.directed(spark, sf, side, n).join(tail, ["graph_id", "v"]).select("graph_id", "u", "v", F.array(F.col("ord").cast("double"), "w").alias("f"))
 
 
 def _wide(df, column, width, keep=("graph_id", "node")):
@@ -61,7 +65,8 @@ _BASE = dict(nd=_ND, ed=_ED, fo=_FO, sc=_SC, z=_Z)
 
 @query("d13_edge_softmax_aggregate", cte("rd", **_BASE, r="select sc.graph_id, sc.v as node, l0, l1, 1.0 as t, z0, z1, z2, z3 from sc join z on sc.graph_id = z.graph_id and sc.u = z.node") + _AG)
 def d13(spark, sf):
-    return _wide(A.edge_softmax_aggregate(_nodes(spark, sf), _edges(spark, sf), W_NODE, W_EDGE, W_ATTN, HEADS, H), "h", 4)
+    n = _shared(spark, sf)
+    return _wide(A.edge_softmax_aggregate(_nodes(spark, sf, n), _edges(spark, sf, n=n), W_NODE, W_EDGE, W_ATTN, HEADS, H), "h", 4)
 
 
 _ZL = "select graph_id, node, " + ", ".join(f"{_leaky(f'z{i}')} as z{i}" for i in range(4)) + " from z"
@@ -70,7 +75,8 @@ _OWN = "select graph_id, node, " + ", ".join(f"{_lin(_SELF, [f'z{2 * i}', f'z{2
 
 @query("d14_self_attention", cte("rd", **_BASE, zl=_ZL, r=f"select sc.graph_id, sc.v as node, l0, l1, 1.0 as t, z0, z1, z2, z3 from sc join zl on sc.graph_id = zl.graph_id and sc.u = zl.node union all {_OWN}") + _AG)
 def d14(spark, sf):
-    return _wide(A.edge_softmax_aggregate(_nodes(spark, sf), _edges(spark, sf), W_NODE, W_EDGE, W_ATTN, HEADS, H, True, W_SELF), "h", 4)
+    n = _shared(spark, sf)
+    return _wide(A.edge_softmax_aggregate(_nodes(spark, sf, n), _edges(spark, sf, n=n), W_NODE, W_EDGE, W_ATTN, HEADS, H, True, W_SELF), "h", 4)
 
 
 _NEWP = [_lin(W_NEW[i], ["z0", "z1", "z2", "z3"]) for i in range(4)]

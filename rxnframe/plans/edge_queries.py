@@ -35,7 +35,7 @@ def c2_schemes(spark, sf):
     return E.classify_bond_change(four, "three").select("graph_id", "u", "v", "four", F.col("r_class").alias("three"))
 
 
-@query("c3_connection_changes", cte("rb", "pb") + "select graph_id, u, v, 'broken' as change from rb anti join pb using (graph_id, u, v) union all select graph_id, u, v, 'formed' from pb anti join rb using (graph_id, u, v)")
+@query("c3_connection_changes", cte("eu") + "select graph_id, u, v, case when p_order = 0 then 'broken' else 'formed' end as change from eu where (r_order = 0) <> (p_order = 0)")
 def c3(spark, sf):
     return E.connection_changes(X.bonds(spark, sf, "r"), X.bonds(spark, sf, "p"))
 

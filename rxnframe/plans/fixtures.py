@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rxnframe.operators import edges as E
-from rxnframe.session import tune
+from rxnframe.session import checkpoint, tune
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"]
 ELEMENTS = ["H", "C", "N", "O", "C", "H", "S", "F"]
@@ -47,17 +47,23 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select("graph_id", "node", "element", "charge")
 
 
-def bonds(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """side r or p; u < v."""
-    n = nodes(spark, sf_dir)
+def shared_nodes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Nodes with these columns and those that bonds need, numbered once and kept partitioned by graph_id, for queries that read them many times."""
+    need = dict.fromkeys(["graph_id", "node", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", *columns])
+    return checkpoint(nodes(spark, sf_dir).select(*need))
+
+
+def bonds(spark: SparkSession, sf_dir: str, side: str, n: DataFrame | None = None) -> DataFrame:
+    """side r or p; u < v. n: nodes as from shared_nodes."""
+    n = nodes(spark, sf_dir) if n is None else n
     flags, order, chord = (("A", "R"), "l_linenumber", (0,)) if side == "r" else (("A", "N"), "l_partkey", (0, 1))
     chain = F.when((F.col("node") >= 2) & F.col("l_returnflag").isin(*flags), F.struct((F.col("node") - 1).alias("u"), F.col("node").alias("v"), (1 + F.col(order) % 3).cast("long").alias("ord")))
     jump = F.when((F.col("node") >= 3) & (F.col("l_suppkey") % 4).isin(*chord), F.struct((F.col("node") - 2).alias("u"), F.col("node").alias("v"), F.lit(1).cast("long").alias("ord")))
     return n.select("graph_id", F.explode(F.array_compact(F.array(chain, jump))).alias("b")).select("graph_id", "b.*")
 
 
-def directed(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    return E.directed(bonds(spark, sf_dir, side))
+def directed(spark: SparkSession, sf_dir: str, side: str, n: DataFrame | None = None) -> DataFrame:
+    return E.directed(bonds(spark, sf_dir, side, n))
 
 
 def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +123,10 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: Views that several others read: computed once in a query.
+SHARED = ("n", "rb", "pb", "co")
+
+
 def cte(*names: str, recursive: bool = False, **more: str) -> str:
     """`with` clause of the named views, what they need, and further ones given as SQL."""
     order: dict[str, str] = {}
@@ -128,4 +138,4 @@ def cte(*names: str, recursive: bool = False, **more: str) -> str:
 
     for name in names:
         add(name)
-    return ("with recursive " if recursive else "with ") + ", ".join(f"{k} as ({v})" for k, v in (order | more).items()) + " "
+    return ("with recursive " if recursive else "with ") + ", ".join(f"{k} as {'materialized ' * (k in SHARED)}({v})" for k, v in (order | more).items()) + " "

@@ -42,7 +42,7 @@ def e3(spark, sf):
     return G.components(X.directed(spark, sf, "r"), X.atoms(spark, sf))
 
 
-_RING_SIZE = 6  # of the SQL only: the reactant side of the tables has no larger ring; the queries find rings of up to 20 atoms
+_RING_SIZE = 20
 _NEAR = "select graph_id, u as v, list(v) as near from rd group by all"
 _PATHS = f"""select graph_id, [u, v] as path, false as closed from rd where u < v union all
  select p.graph_id, list_append(p.path, d.v), list_contains(a.near, p.path[1]) from p join rd d on p.graph_id = d.graph_id and p.path[-1] = d.u join near a on d.graph_id = a.graph_id and d.v = a.v

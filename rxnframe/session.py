@@ -17,8 +17,11 @@ SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Sets what the session has not set itself."""
+    own = spark.conf.getAll
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if key not in own:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -27,9 +30,11 @@ def session(name: str = "rxnframe", **conf: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; one of our own only where the session names none."""
+    """A new path in the folder that driver and executors share; one of our own only where all run in one machine and the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.rxnframe.workdir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="rxnframe-")
         spark.conf.set("spark.rxnframe.workdir", root)
     return f"{root.rstrip('/')}/rxnframe/{uuid.uuid4().hex}"
