@@ -2,13 +2,16 @@
 
 1. One pass makes each document's distinct shingle hashes, a digest of that set and a MinHash signature.
    Equal sets collapse to the smallest id before anything else.
-2. Signature bands give buckets; each bucket links its members to its smallest one, and the components of those
-   stars are candidate families: two documents that share a band are in one family.
-3. A family is compared in blocks of BLOCK members. Inside a block, signatures are compared batch by batch; a pair
-   is dropped as soon as the posterior probability of the wanted similarity falls under MISS, and a survivor is
-   verified on full shingle sets. Pairs already connected need no check.
-4. A family of several blocks shares pivots between them. What then stays apart from the family's largest class is
-   compared with every block, so no link between classes is lost. No task holds more than two blocks and the pivots.
+2. Signature bands give buckets. Every member of a bucket is a candidate with the bucket's smallest id; each document is first
+   compared with the one of these with which it shares most bands, then with the others that are not yet in its class.
+3. What candidates are left shares a bucket, but no class. In each bucket with several classes the members outside its largest
+   one meet all members, as ids and signatures in tiles of TILE members, so a bucket of near copies costs its own size.
+4. Signatures are compared batch by batch; a pair is dropped as soon as the posterior probability of the wanted
+   similarity falls under MISS. Only survivors fetch texts: they meet in blocks of BLOCK documents of a side and are verified on full
+   shingle sets, unless links of the same block connect them already. No link between classes is lost.
+
+A bucket without a large class still compares its members outside it with all of them by signature, so that work grows with
+the square of a bucket of documents that resemble each other without being near-duplicates; rows sent grow with 1 / TILE of it.
 
 Null or wordless texts have no shingles and link with nothing. Rows with a null id are not compared and have a null
 component. Rows that repeat an id are one node. Extra columns are ignored, an empty table gives an empty result.
@@ -26,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import lean, mix, rolling, row_ranges, table, utf8, words
+from rxnframe.llm.common import discard, lean, mix, rolling, row_ranges, table, utf8, words
 from rxnframe.llm.components import components
 
 ROWS, BANDS, BATCH, MISS = 6, 20, 24, 1e-6
 LOST, MINIMA = 1e-4, 128
-BLOCK, PIVOTS = 112, 16
+BLOCK, TILE = 64, 2048
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -116,72 +119,138 @@ def banding(percent: int) -> tuple[int, int]:
     return found
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.up[self.find(i)] = self.find(j)
-
-
-def linked(ids: list[int], sets: list[np.ndarray], sig: np.ndarray, probe: np.ndarray, percent: int):
-    """A spanning forest of the links in one block; pairs without a probe are not compared."""
-    forest, size, n = Forest(len(ids)), np.array(list(map(len, sets))), sig.shape[1]
-    for i in range(len(ids)):
-        js = np.arange(i + 1, len(ids))
-        if not probe[i]:
-            js = js[probe[js]]
-        js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-        same = np.zeros(len(js), np.int64)
-        for a in range(0, n, BATCH):
-            same += (sig[js, a : a + BATCH] == sig[i, a : a + BATCH]).sum(1)
-            keep = same >= least_matches(min(n, a + BATCH), percent / 100, MISS)
-            js, same = js[keep], same[keep]
-        for j in js[np.argsort(-same, kind="stable")].tolist():
-            if forest.find(i) == forest.find(j):
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                forest.join(i, j)
-                if ids[i] != ids[j]:
-                    yield ids[i], ids[j]
+def surviving(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Of pairs of signatures (a row each), the numbers of those that stay likely after every batch."""
+    at, n = np.arange(len(x)), x.shape[1]
+    same = np.zeros(len(x), np.int64)
+    for a in range(0, n, BATCH):
+        same += (x[at, a : a + BATCH] == (y[at, a : a + BATCH] if len(y) > 1 else y[:, a : a + BATCH])).sum(1)
+        keep = same >= least_matches(min(n, a + BATCH), percent / 100, MISS)
+        at, same = at[keep], same[keep]
+    return at
+
+
+def near_size(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
 
 
-def compare_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """rows (family, block, chunk, id, probe, signature, text) -> verified links (a, b)."""
-    keys = ["family", "block", "chunk"]
+def prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, crowd) that survive their signatures."""
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
 
     def run(batches):
-        key, ids, sets, sigs, probe = None, [], [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            some = np.flatnonzero(near_size(n, m, percent))
+            x, y = (_matrix(batch.column(c).take(pa.array(some))) for c in ("s_a", "s_b")) if len(some) else (np.zeros((0, BATCH), np.uint32),) * 2
+            yield batch.select(["a", "b", "crowd"]).take(pa.array(some[surviving(x, y, percent)] if len(some) else some))
+
+    out = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "crowd", "n_a", "n_b", "s_a", "s_b")
+    return lean(out).mapInArrow(run, "a long, b long, crowd long")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among pairs (a, b, crowd), on full shingle sets. The two sides of a crowd's pairs meet in blocks, to which a text comes once."""
+    pairs = table(pairs)
+    crowds = table(pairs.groupBy("crowd").agg(*[F.ceil(F.approx_count_distinct(c) / BLOCK).alias(f"n_{c}") for c in "ab"]))
+    placed = pairs.join(crowds, "crowd").select("crowd", F.expr("pmod(xxhash64(a), n_a)").alias("x"), F.expr("pmod(xxhash64(b), n_b)").alias("y"), "a", "b")
+    placed = table(placed)
+    key = ["crowd", "x", "y"]
+    bases = placed.select(*key, F.col("b").alias("id"), F.lit(None).cast("array<long>").alias("partners")).distinct()
+    probes = placed.groupBy(*key, F.col("a").alias("id")).agg(F.collect_set("b").alias("partners"))
+    rows = table(bases.unionByName(probes)).join(texts, "id").withColumn("side", F.col("partners").isNotNull())
 
-        def done():
-            found = list(linked(ids, sets, np.stack(sigs), np.array(probe), percent)) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    def run(batches):
+        at, sets, up = None, {}, {}
+
+        def find(i):
+            while up.setdefault(i, i) != i:
+                up[i] = i = up[up[i]]
+            return i
 
         for batch in batches:
             data, off = utf8(batch, "text")
-            at = list(zip(*(batch.column(c).to_pylist() for c in keys)))
-            node, flag, sig = (batch.column(c).to_pylist() for c in ("id", "probe", "signature"))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key)))
+            ids, partners = batch.column("id").to_pylist(), batch.column("partners").to_pylist()
+            links = []
             for a, b in row_ranges(off):
-                for i, s in zip(range(a, b), shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)):
-                    if at[i] != key:
-                        if len(ids) > 1:
-                            yield done()
-                        key, ids, sets, sigs, probe = at[i], [], [], [], []
-                    if len(s):
-                        ids.append(node[i])
-                        sets.append(s)
-                        sigs.append(np.frombuffer(sig[i], np.uint32))
-                        probe.append(flag[i])
-        if len(ids) > 1:
-            yield done()
-
-    return lean(rows).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+                for i, own in zip(range(a, b), shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)):
+                    if keys[i] != at:
+                        at, sets, up = keys[i], {}, {}
+                    if partners[i] is None:
+                        sets.setdefault(ids[i], []).append(own)
+                        continue
+                    for j in partners[i]:
+                        if find(ids[i]) == find(j):
+                            continue
+                        for other in sets.get(j, ()):
+                            both = len(np.intersect1d(own, other, assume_unique=True)) if near_size(len(own), len(other), percent) else 0
+                            if both and 100 * both >= percent * (len(own) + len(other) - both):
+                                up[find(ids[i])] = find(j)
+                                links.append((ids[i], j))
+                                break
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    out = table(lean(rows.repartition(*key).sortWithinPartitions(*key, "side")).mapInArrow(run, "a long, b long"))
+    discard(pairs, crowds, placed)
+    return out
+
+
+def bucket_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """members (id, band) of buckets -> surviving pairs (a, b, crowd) of different classes, each at least once."""
+    own = members.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    own = table(own)
+    counts = table(own.groupBy("band", "class").agg(F.count("*").alias("n")))
+    mixed = table(counts.groupBy("band").agg(F.max_by("class", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most"))
+    tiles = mixed.select("band", "main", F.ceil(F.col("all") / TILE).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / TILE).alias("chunks"))
+    rows = own.join(tiles, "band").join(nodes.select("id", "n", "signature"), "id")
+    rows = table(rows.withColumn("block", F.expr("pmod(xxhash64(id), blocks)")).withColumn("chunk", F.expr("pmod(xxhash64(id, 3), chunks)")))
+    key = ["band", "block", "chunk"]
+    homes = rows.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("probe", F.lit(False))
+    probes = rows.filter("class <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("probe", F.lit(True))
+    meet = homes.unionByName(probes).select(*key, "probe", "id", "class", (F.col("class") == F.col("main")).alias("inner"), "n", "signature")
+
+    def run(batches):
+        at, home, probe = None, [], []
+
+        def done():
+            if not home or not probe:
+                return
+            ids, kind, inner, n = (np.concatenate([x[c] for x in home]) for c in range(4))
+            sig = np.concatenate([x[4] for x in home])
+            for some in probe:
+                for i, c, m, s in zip(some[0].tolist(), some[1].tolist(), some[3].tolist(), some[4]):
+                    near = np.flatnonzero((kind != c) & (inner | (ids > i)) & near_size(n, np.int64(m), percent))  # of two outside the largest class once
+                    got = near[surviving(sig[near], s[None], percent)]
+                    if len(got):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), i)), pa.array(ids[got]), pa.array(kind[got])], names=["a", "b", "crowd"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*key, "probe")], 1)
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "class", "inner", "n")]
+            cols[2] = cols[2].astype(bool)
+            sig = _matrix(batch.column("signature"))
+            cut = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))).tolist()
+            for a, b in zip(cut, [*cut[1:], len(keys)]):
+                if at != (now := tuple(keys[a, :3].tolist())):
+                    yield from done()
+                    at, home, probe = now, [], []
+                (probe if keys[a, 3] else home).append([*(c[a:b] for c in cols), sig[a:b]])
+        yield from done()
+
+    found = lean(meet.repartition(*key).sortWithinPartitions(*key, "probe")).mapInArrow(run, "a long, b long, crowd long")
+    out = table(found.groupBy("a", "b").agg(F.min("crowd").alias("crowd")))
+    discard(own, counts, mixed, rows)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -189,38 +258,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = table(sketch(docs, k, *banding(percent)))
     some = rows.filter("doc_id is not null and digest is not null")
     sets = table(some.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    nodes = some.select("digest", F.col("doc_id").alias("id"), "bands", "signature").join(sets, ["digest", "id"]).dropDuplicates(["digest", "id"])
-    nodes = table(nodes.select("id", "bands", "signature"))
+    nodes = some.select("digest", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "signature").join(sets, ["digest", "id"]).dropDuplicates(["digest", "id"])
+    nodes = table(nodes.select("id", "n", "bands", "signature"))
     member = nodes.select("id", F.explode("bands").alias("band"))
-    stars = table(member.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("band", "low"))
-    family = components(member.join(stars, "band").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    sizes = table(family.groupBy("component").agg(F.count("*").alias("n")))
-    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    placed = family.join(sizes, "component").select(F.col("component").alias("family"), F.col("node").alias("id"), F.ceil(F.col("n") / BLOCK).alias("blocks"), "n")
-    placed = placed.withColumn("home", F.expr(f"pmod(xxhash64(id, 7), blocks)")).withColumn("pivot", (F.col("blocks") > 1) & (hashed % F.ceil(F.col("n") / PIVOTS) == 0))
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    placed = table(placed.join(nodes.select("id", "signature"), "id").join(text, "id"))
-    spread = placed.withColumn("block", F.explode(F.when(F.col("pivot"), F.expr("sequence(0L, blocks - 1)")).otherwise(F.array(F.col("home").cast("long")))))
-    links = table(compare_blocks(spread.select("family", "block", F.lit(0).alias("chunk"), "id", F.lit(True).alias("probe"), "signature", "text"), k, percent))
+    buckets = table(member.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("band", "low"))
+    members = table(member.join(buckets, "band"))
+    stars = table(members.filter("id <> low").groupBy(F.col("id").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("bands")))
+    wanted = members.select("id").distinct()
+    texts = table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id"))
+    nodes = table(nodes.select("id", "n", "signature").join(wanted, "id"))
+
+    first = table(stars.groupBy("a").agg(F.max_by("b", "bands").alias("b")))
+    links = verify(prune(first.withColumn("crowd", F.col("b")), nodes, percent), texts, k, percent)
     classes = components(links)
-    large = placed.filter("blocks > 1")
-    if not large.isEmpty():
-        own = large.select("family", "id", "blocks", "home").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        own = table(own)
-        main = own.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", "n").alias("main"))
-        rest = own.join(table(main), "family").filter("component <> main")
-        chunks = table(rest.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("chunks")))
-        if not chunks.isEmpty():
-            rest = table(rest.select("family", "id")).join(chunks, "family").withColumn("chunk", F.expr("pmod(xxhash64(id, 11), chunks)"))
-            full = large.select("family", "id", "blocks", "home", "signature", "text")
-            probes = full.join(rest.drop("family"), "id").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-            base = full.join(chunks, "family").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("block", F.col("home").cast("long"))
-            base = base.join(rest.select("id", F.col("chunk")), ["id", "chunk"], "left_anti")
-            pick = lambda x, probe: x.select("family", "block", "chunk", "id", F.lit(probe).alias("probe"), "signature", "text")
-            more = compare_blocks(pick(probes, True).unionByName(pick(base, False)), k, percent)
-            classes = components(links.unionByName(table(more)))
-    classes = classes.withColumnRenamed("node", "id")
-    labels = table(sets.join(classes, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
+    label = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    apart = stars.join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").filter("coalesce(of_a, a) <> coalesce(of_b, b)")
+    apart = table(apart.select("a", "b", F.col("b").alias("crowd")))
+    if not apart.isEmpty():
+        links = table(links.unionByName(verify(prune(apart, nodes, percent), texts, k, percent)))
+        classes = components(links)
+    tested = first.unionByName(apart.select("a", "b"))
+    tested = table(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    more = table(bucket_pairs(members.select("id", "band"), nodes, classes, percent).join(tested, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = table(links.unionByName(verify(more, texts, k, percent)))
+        classes = components(links)
+    discard(buckets, members, stars, texts, nodes, first, apart, tested, more)
+    labels = table(sets.join(classes.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
     keyed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     out = keyed.join(labels, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
