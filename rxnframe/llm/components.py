@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import table
+from rxnframe.llm.common import discard, table
 
 
 def _relabel(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
@@ -29,12 +29,22 @@ def components(edges: DataFrame) -> DataFrame:
         near = edges.join(low, "b").groupBy("a").agg(F.min("low").alias("low"))
         parents = table(near.join(low.withColumnRenamed("b", "a").withColumnRenamed("low", "own"), "a").select(F.col("a").alias("node"), F.least("low", "own").alias("parent")))
         while True:
-            jumped = table(_relabel(parents.withColumn("before", F.col("parent")), "parent", parents))
+            far = parents
+            for _ in range(3):
+                far = _relabel(far.withColumn("before", F.col("parent")), "parent", parents)
+            jumped = table(far)
+            discard(parents)
             parents = jumped.select("node", "parent")
+            parents.rxnframe_path = jumped.rxnframe_path
             if jumped.filter("before <> parent").isEmpty():
                 break
-        labels = parents if labels is None else table(_relabel(labels, "parent", parents))
-        edges = table(_relabel(_relabel(edges, "a", parents), "b", parents).filter("a <> b").distinct())
+        if labels is None:
+            labels = parents
+        else:
+            before, labels = labels, table(_relabel(labels, "parent", parents))
+            discard(before)
+        before, edges = edges, table(_relabel(_relabel(edges, "a", parents), "b", parents).filter("a <> b").distinct())
+        discard(before, low)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.select("node", F.col("parent").alias("component"))

@@ -2,8 +2,8 @@
 
 1. One pass makes each document's distinct shingle hashes, a digest of that set and a MinHash signature.
    Equal sets collapse to the smallest id before anything else.
-2. Signature bands give buckets. Every member of a bucket is a candidate with the bucket's smallest id; each document is first
-   compared with the one of these with which it shares most bands, then with the others that are not yet in its class.
+2. Signature bands give buckets. Every member of a bucket is first compared with the bucket's smallest id, which links near copies
+   to classes in linear time.
 3. What candidates are left shares a bucket, but no class. In each bucket with several classes the members outside its largest
    one meet all members, as ids and signatures in tiles of TILE members, so a bucket of near copies costs its own size.
 4. Signatures are compared batch by batch; a pair is dropped as soon as the posterior probability of the wanted
@@ -160,12 +160,10 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     """Links (a, b) among pairs (a, b, crowd), on full shingle sets. The two sides of a crowd's pairs meet in blocks, to which a text comes once."""
     pairs = table(pairs)
     crowds = table(pairs.groupBy("crowd").agg(*[F.ceil(F.approx_count_distinct(c) / BLOCK).alias(f"n_{c}") for c in "ab"]))
-    placed = pairs.join(crowds, "crowd").select("crowd", F.expr("pmod(xxhash64(a), n_a)").alias("x"), F.expr("pmod(xxhash64(b), n_b)").alias("y"), "a", "b")
-    placed = table(placed)
     key = ["crowd", "x", "y"]
-    bases = placed.select(*key, F.col("b").alias("id"), F.lit(None).cast("array<long>").alias("partners")).distinct()
-    probes = placed.groupBy(*key, F.col("a").alias("id")).agg(F.collect_set("b").alias("partners"))
-    rows = table(bases.unionByName(probes)).join(texts, "id").withColumn("side", F.col("partners").isNotNull())
+    placed = pairs.join(crowds, "crowd").select("crowd", F.expr("pmod(xxhash64(a), n_a)").alias("x"), F.expr("pmod(xxhash64(b), n_b)").alias("y"), "a", "b")
+    both = placed.select(*key, F.inline(F.expr("array(struct(a as id, b as partner), struct(b as id, cast(null as bigint) as partner))")))
+    rows = both.groupBy(*key, "id", F.col("partner").isNotNull().alias("side")).agg(F.collect_set("partner").alias("partners")).join(texts, "id")
 
     def run(batches):
         at, sets, up = None, {}, {}
@@ -178,13 +176,13 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
         for batch in batches:
             data, off = utf8(batch, "text")
             keys = list(zip(*(batch.column(c).to_pylist() for c in key)))
-            ids, partners = batch.column("id").to_pylist(), batch.column("partners").to_pylist()
+            ids, partners, probe = (batch.column(c).to_pylist() for c in ("id", "partners", "side"))
             links = []
             for a, b in row_ranges(off):
                 for i, own in zip(range(a, b), shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)):
                     if keys[i] != at:
                         at, sets, up = keys[i], {}, {}
-                    if partners[i] is None:
+                    if not probe[i]:
                         sets.setdefault(ids[i], []).append(own)
                         continue
                     for j in partners[i]:
@@ -199,7 +197,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     out = table(lean(rows.repartition(*key).sortWithinPartitions(*key, "side")).mapInArrow(run, "a long, b long"))
-    discard(pairs, crowds, placed)
+    discard(pairs, crowds)
     return out
 
 
@@ -207,15 +205,16 @@ def bucket_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame, perce
     """members (id, band) of buckets -> surviving pairs (a, b, crowd) of different classes, each at least once."""
     own = members.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     own = table(own)
-    counts = table(own.groupBy("band", "class").agg(F.count("*").alias("n")))
-    mixed = table(counts.groupBy("band").agg(F.max_by("class", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most"))
-    tiles = mixed.select("band", "main", F.ceil(F.col("all") / TILE).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / TILE).alias("chunks"))
+    counts = own.groupBy("band", "class").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("band").agg(F.max_by("class", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most")
+    tiles = table(mixed.select("band", "main", F.ceil(F.col("all") / TILE).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / TILE).alias("chunks")))
     rows = own.join(tiles, "band").join(nodes.select("id", "n", "signature"), "id")
-    rows = table(rows.withColumn("block", F.expr("pmod(xxhash64(id), blocks)")).withColumn("chunk", F.expr("pmod(xxhash64(id, 3), chunks)")))
+    rows = rows.withColumn("block", F.expr("pmod(xxhash64(id), blocks)")).withColumn("chunk", F.expr("pmod(xxhash64(id, 3), chunks)"))
+    # A member is at home in its block for every chunk of probes; one outside the largest class probes every block.
+    home = F.expr("transform(sequence(0L, chunks - 1), c -> struct(block as block, c as chunk, false as probe))")
+    probe = F.when(F.col("class") != F.col("main"), F.expr("transform(sequence(0L, blocks - 1), b -> struct(b as block, chunk as chunk, true as probe))"))
     key = ["band", "block", "chunk"]
-    homes = rows.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("probe", F.lit(False))
-    probes = rows.filter("class <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("probe", F.lit(True))
-    meet = homes.unionByName(probes).select(*key, "probe", "id", "class", (F.col("class") == F.col("main")).alias("inner"), "n", "signature")
+    meet = rows.select("band", "id", "class", (F.col("class") == F.col("main")).alias("inner"), "n", "signature", F.inline(F.concat(home, F.coalesce(probe, F.filter(home, lambda _: F.lit(False))))))
 
     def run(batches):
         at, home, probe = None, [], []
@@ -249,7 +248,7 @@ def bucket_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame, perce
 
     found = lean(meet.repartition(*key).sortWithinPartitions(*key, "probe")).mapInArrow(run, "a long, b long, crowd long")
     out = table(found.groupBy("a", "b").agg(F.min("crowd").alias("crowd")))
-    discard(own, counts, mixed, rows)
+    discard(own, tiles)
     return out
 
 
@@ -263,27 +262,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     member = nodes.select("id", F.explode("bands").alias("band"))
     buckets = table(member.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("band", "low"))
     members = table(member.join(buckets, "band"))
-    stars = table(members.filter("id <> low").groupBy(F.col("id").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("bands")))
+    stars = members.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     wanted = members.select("id").distinct()
     texts = table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id"))
-    nodes = table(nodes.select("id", "n", "signature").join(wanted, "id"))
-
-    first = table(stars.groupBy("a").agg(F.max_by("b", "bands").alias("b")))
-    links = verify(prune(first.withColumn("crowd", F.col("b")), nodes, percent), texts, k, percent)
+    some = table(nodes.select("id", "n", "signature").join(wanted, "id"))
+    links = verify(prune(stars.withColumn("crowd", F.col("b")), some, percent), texts, k, percent)
     classes = components(links)
-    label = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart = stars.join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").filter("coalesce(of_a, a) <> coalesce(of_b, b)")
-    apart = table(apart.select("a", "b", F.col("b").alias("crowd")))
-    if not apart.isEmpty():
-        links = table(links.unionByName(verify(prune(apart, nodes, percent), texts, k, percent)))
-        classes = components(links)
-    tested = first.unionByName(apart.select("a", "b"))
-    tested = table(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    more = table(bucket_pairs(members.select("id", "band"), nodes, classes, percent).join(tested, ["a", "b"], "left_anti"))
+    tested = stars.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
+    more = bucket_pairs(members.select("id", "band"), some, classes, percent).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+    more = table(more.join(tested, ["low", "high"], "left_anti").select("a", "b", "crowd"))
     if not more.isEmpty():
-        links = table(links.unionByName(verify(more, texts, k, percent)))
-        classes = components(links)
-    discard(buckets, members, stars, texts, nodes, first, apart, tested, more)
+        classes = components(links.unionByName(verify(more, texts, k, percent)))
+    discard(nodes, buckets, members, texts, some, more)
     labels = table(sets.join(classes.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
     keyed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     out = keyed.join(labels, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
