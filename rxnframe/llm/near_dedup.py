@@ -5,10 +5,12 @@
 2. Signature bands give buckets. Every member of a bucket is first compared with the bucket's smallest id, which links near copies
    to classes in linear time.
 3. What candidates are left shares a bucket, but no class. In each bucket with several classes the members outside its largest
-   one meet all members, as ids and signatures in tiles of TILE members, so a bucket of near copies costs its own size.
+   one meet all members, as ids and signatures in tiles of TILE members, so a bucket of near copies costs its own size. A
+   pair counts in the first band that it shares.
 4. Signatures are compared batch by batch; a pair is dropped as soon as the posterior probability of the wanted
-   similarity falls under MISS. Only survivors fetch texts: they meet in blocks of BLOCK documents of a side and are verified on full
-   shingle sets, unless links of the same block connect them already. No link between classes is lost.
+   similarity falls under MISS. Only documents with a survivor in a tile fetch their texts, once for a part of the tile, and are
+   verified on full shingle sets, the likeliest pairs first, unless links of that part connect their classes already. Pairs are
+   never sent, and no link between classes is lost.
 
 A bucket without a large class still compares its members outside it with all of them by signature, so that work grows with
 the square of a bucket of documents that resemble each other without being near-duplicates; rows sent grow with 1 / TILE of it.
@@ -34,7 +36,7 @@ from rxnframe.llm.components import components
 
 ROWS, BANDS, BATCH, MISS = 6, 20, 24, 1e-6
 LOST, MINIMA = 1e-4, 128
-BLOCK, TILE = 64, 2048
+BLOCK, TILE, PART = 64, 512, 128
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -119,15 +121,15 @@ def banding(percent: int) -> tuple[int, int]:
     return found
 
 
-def surviving(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Of pairs of signatures (a row each), the numbers of those that stay likely after every batch."""
+def surviving(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of signatures x, each with its own one or the only one of y: the numbers of those that stay likely after every batch, and their equal minima."""
     at, n = np.arange(len(x)), x.shape[1]
     same = np.zeros(len(x), np.int64)
     for a in range(0, n, BATCH):
         same += (x[at, a : a + BATCH] == (y[at, a : a + BATCH] if len(y) > 1 else y[:, a : a + BATCH])).sum(1)
         keep = same >= least_matches(min(n, a + BATCH), percent / 100, MISS)
         at, same = at[keep], same[keep]
-    return at
+    return at, same
 
 
 def near_size(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -140,7 +142,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, crowd) that survive their signatures."""
+    """Pairs (a, b) that survive their signatures."""
     side = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
 
     def run(batches):
@@ -150,20 +152,14 @@ def prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             some = np.flatnonzero(near_size(n, m, percent))
             x, y = (_matrix(batch.column(c).take(pa.array(some))) for c in ("s_a", "s_b")) if len(some) else (np.zeros((0, BATCH), np.uint32),) * 2
-            yield batch.select(["a", "b", "crowd"]).take(pa.array(some[surviving(x, y, percent)] if len(some) else some))
+            yield batch.select(["a", "b"]).take(pa.array(some[surviving(x, y, percent)[0]] if len(some) else some))
 
-    out = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "crowd", "n_a", "n_b", "s_a", "s_b")
-    return lean(out).mapInArrow(run, "a long, b long, crowd long")
+    out = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return lean(out).mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among pairs (a, b, crowd), on full shingle sets. The two sides of a crowd's pairs meet in blocks, to which a text comes once."""
-    pairs = table(pairs)
-    crowds = table(pairs.groupBy("crowd").agg(*[F.ceil(F.approx_count_distinct(c) / BLOCK).alias(f"n_{c}") for c in "ab"]))
-    key = ["crowd", "x", "y"]
-    placed = pairs.join(crowds, "crowd").select("crowd", F.expr("pmod(xxhash64(a), n_a)").alias("x"), F.expr("pmod(xxhash64(b), n_b)").alias("y"), "a", "b")
-    both = placed.select(*key, F.inline(F.expr("array(struct(a as id, b as partner), struct(b as id, cast(null as bigint) as partner))")))
-    rows = both.groupBy(*key, "id", F.col("partner").isNotNull().alias("side")).agg(F.collect_set("partner").alias("partners")).join(texts, "id")
+def meet_texts(rows: DataFrame, key: list[str], k: int, percent: int) -> DataFrame:
+    """Links (a, b) of rows (key, id, class, probe, partners, text) that share a key: probes with those of their partners that are not in their class yet, on full shingle sets. A task holds the other side of one key."""
 
     def run(batches):
         at, sets, up = None, {}, {}
@@ -176,33 +172,46 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
         for batch in batches:
             data, off = utf8(batch, "text")
             keys = list(zip(*(batch.column(c).to_pylist() for c in key)))
-            ids, partners, probe = (batch.column(c).to_pylist() for c in ("id", "partners", "side"))
+            ids, kind, probe, partners = (batch.column(c).to_pylist() for c in ("id", "class", "probe", "partners"))
             links = []
             for a, b in row_ranges(off):
                 for i, own in zip(range(a, b), shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)):
                     if keys[i] != at:
                         at, sets, up = keys[i], {}, {}
                     if not probe[i]:
-                        sets.setdefault(ids[i], []).append(own)
+                        sets.setdefault(ids[i], []).append((kind[i], own))
                         continue
                     for j in partners[i]:
-                        if find(ids[i]) == find(j):
-                            continue
-                        for other in sets.get(j, ()):
+                        for other_kind, other in sets.get(j, ()):
+                            if find(kind[i]) == find(other_kind):
+                                continue
                             both = len(np.intersect1d(own, other, assume_unique=True)) if near_size(len(own), len(other), percent) else 0
                             if both and 100 * both >= percent * (len(own) + len(other) - both):
-                                up[find(ids[i])] = find(j)
+                                up[find(kind[i])] = find(other_kind)
                                 links.append((ids[i], j))
-                                break
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    out = table(lean(rows.repartition(*key).sortWithinPartitions(*key, "side")).mapInArrow(run, "a long, b long"))
+    return lean(rows.repartition(*key).sortWithinPartitions(*key, "probe")).mapInArrow(run, "a long, b long")
+
+
+def star_links(stars: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among pairs (a, b) of a document and a bucket's smallest id. A hot b meets its partners in blocks."""
+    pairs = table(prune(stars, nodes, percent))
+    crowds = table(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    placed = pairs.join(crowds, "b").select("b", F.expr("pmod(xxhash64(a), blocks)").alias("block"), "a")
+    both = F.inline(F.expr("array(struct(a as id, b as partner), struct(b as id, cast(null as bigint) as partner))"))
+    rows = placed.select(F.col("b").alias("crowd"), "block", both).groupBy("crowd", "block", "id", F.col("partner").isNotNull().alias("probe")).agg(F.collect_set("partner").alias("partners"))
+    rows = rows.withColumn("class", F.col("id")).join(texts, "id")
+    out = table(meet_texts(rows, ["crowd", "block"], k, percent))
     discard(pairs, crowds)
     return out
 
 
-def bucket_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """members (id, band) of buckets -> surviving pairs (a, b, crowd) of different classes, each at least once."""
+PARTS = "band long, block long, chunk long, part int, id long, class long, probe boolean, partners array<long>"
+
+
+def bucket_links(members: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes. members (id, band, which): buckets, and which of the bands they belong to; a pair counts in the first band that it shares."""
     own = members.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     own = table(own)
     counts = own.groupBy("band", "class").agg(F.count("*").alias("n"))
@@ -214,29 +223,41 @@ def bucket_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame, perce
     home = F.expr("transform(sequence(0L, chunks - 1), c -> struct(block as block, c as chunk, false as probe))")
     probe = F.when(F.col("class") != F.col("main"), F.expr("transform(sequence(0L, blocks - 1), b -> struct(b as block, chunk as chunk, true as probe))"))
     key = ["band", "block", "chunk"]
-    meet = rows.select("band", "id", "class", (F.col("class") == F.col("main")).alias("inner"), "n", "signature", F.inline(F.concat(home, F.coalesce(probe, F.filter(home, lambda _: F.lit(False))))))
+    inner = (F.col("class") == F.col("main")).alias("inner")
+    meet = rows.select("band", "which", "id", "class", inner, "n", "signature", F.inline(F.concat(home, F.coalesce(probe, F.filter(home, lambda _: F.lit(False))))))
+    shape = banding(percent)[::-1]
 
-    def run(batches):
+    def candidates(batches):
         at, home, probe = None, [], []
+        schema = pa.schema([(c, pa.int64()) for c in key] + [("part", pa.int32()), ("id", pa.int64()), ("class", pa.int64()), ("probe", pa.bool_()), ("partners", pa.list_(pa.int64()))])
 
         def done():
             if not home or not probe:
                 return
-            ids, kind, inner, n = (np.concatenate([x[c] for x in home]) for c in range(4))
-            sig = np.concatenate([x[4] for x in home])
+            which, ids, kind, inner, n = (np.concatenate([x[c] for x in home]) for c in range(5))
+            sig = np.concatenate([x[5] for x in home])
+            used, out = np.zeros(len(ids), bool), []
             for some in probe:
-                for i, c, m, s in zip(some[0].tolist(), some[1].tolist(), some[3].tolist(), some[4]):
+                for i, c, m, s in zip(some[1].tolist(), some[2].tolist(), some[4].tolist(), some[5]):
                     near = np.flatnonzero((kind != c) & (inner | (ids > i)) & near_size(n, np.int64(m), percent))  # of two outside the largest class once
-                    got = near[surviving(sig[near], s[None], percent)]
-                    if len(got):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), i)), pa.array(ids[got]), pa.array(kind[got])], names=["a", "b", "crowd"])
+                    got, same = surviving(sig[near], s[None], percent)
+                    equal = (sig[near[got]].reshape(-1, *shape) == s.reshape(shape)).all(2)
+                    first = (equal.argmax(1) == which[0]) | ~equal.any(1)
+                    got = near[got[first]][np.argsort(-same[first], kind="stable")]
+                    used[got] = True
+                    for part in np.unique(got // PART).tolist():
+                        out.append((part, i, c, True, ids[got[got // PART == part]].tolist()))
+            out += [(j // PART, int(ids[j]), int(kind[j]), False, None) for j in np.flatnonzero(used).tolist()]
+            if out:
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(out), pa.int64()) for x in at), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[3:]))], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*key, "probe")], 1)
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "class", "inner", "n")]
-            cols[2] = cols[2].astype(bool)
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("which", "id", "class", "inner", "n")]
+            cols[3] = cols[3].astype(bool)
             sig = _matrix(batch.column("signature"))
             cut = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))).tolist()
             for a, b in zip(cut, [*cut[1:], len(keys)]):
@@ -246,9 +267,10 @@ def bucket_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame, perce
                 (probe if keys[a, 3] else home).append([*(c[a:b] for c in cols), sig[a:b]])
         yield from done()
 
-    found = lean(meet.repartition(*key).sortWithinPartitions(*key, "probe")).mapInArrow(run, "a long, b long, crowd long")
-    out = table(found.groupBy("a", "b").agg(F.min("crowd").alias("crowd")))
-    discard(own, tiles)
+    parts = table(lean(meet.repartition(*key).sortWithinPartitions(*key, "probe")).mapInArrow(candidates, PARTS))
+    key = [*key, "part"]
+    out = table(meet_texts(parts.join(texts, "id"), key, k, percent))
+    discard(own, tiles, parts)
     return out
 
 
@@ -259,21 +281,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = table(some.groupBy("digest").agg(F.min("doc_id").alias("id")))
     nodes = some.select("digest", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "signature").join(sets, ["digest", "id"]).dropDuplicates(["digest", "id"])
     nodes = table(nodes.select("id", "n", "bands", "signature"))
-    member = nodes.select("id", F.explode("bands").alias("band"))
+    member = nodes.select("id", F.posexplode("bands").alias("which", "band"))
     buckets = table(member.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("band", "low"))
     members = table(member.join(buckets, "band"))
     stars = members.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     wanted = members.select("id").distinct()
     texts = table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id"))
     some = table(nodes.select("id", "n", "signature").join(wanted, "id"))
-    links = verify(prune(stars.withColumn("crowd", F.col("b")), some, percent), texts, k, percent)
-    classes = components(links)
-    tested = stars.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
-    more = bucket_pairs(members.select("id", "band"), some, classes, percent).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
-    more = table(more.join(tested, ["low", "high"], "left_anti").select("a", "b", "crowd"))
-    if not more.isEmpty():
-        classes = components(links.unionByName(verify(more, texts, k, percent)))
-    discard(nodes, buckets, members, texts, some, more)
+    links = star_links(stars, some, texts, k, percent)
+    more = bucket_links(members.select("id", "which", "band"), some, components(links), texts, k, percent)
+    classes = components(links.unionByName(more))
+    discard(nodes, buckets, members, texts, some)
     labels = table(sets.join(classes.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
     keyed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     out = keyed.join(labels, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
