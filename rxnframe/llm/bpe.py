@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rxnframe.llm.common import adding, assemble, chunks, lean
+from rxnframe.llm.common import adding, assemble, chunks, mapped
 from rxnframe.llm.pretokenise import pieces
 
 CACHE_PIECES = 600_000
@@ -113,7 +113,7 @@ def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
             offsets = [np.cumsum([0, *(len(vocab.tokens[i]) for i in x)])[:-1].tolist() if x else [] for x in ids]
             yield assemble(batch, keep, {"ids": pa.array(ids, pa.list_(pa.int32())), "offsets": pa.array(offsets, pa.list_(pa.int32()))})
 
-    return lean(df).mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
@@ -127,7 +127,7 @@ def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
             out = [None if ids is None else b"".join(map(token, ids)) for ids in batch.column(column).to_pylist()]
             yield assemble(batch, keep, {"decoded": pa.array(out, pa.binary())})
 
-    return lean(df).mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def round_trip(df: DataFrame, path: str, column: str = "text") -> DataFrame:
@@ -146,4 +146,4 @@ def round_trip(df: DataFrame, path: str, column: str = "text") -> DataFrame:
                 text_sha.append(sha(b"".join(map(token, ids))).hexdigest())
             yield assemble(batch, keep, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
 
-    return lean(df).mapInArrow(run, schema)
+    return mapped(df, run, schema)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 BATCH_BYTES, BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -96,6 +96,18 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def mapped(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """lean(df).mapInArrow(run, schema) for columns of any name: Spark's own names hold no dots or backticks meanwhile."""
+    names, made = df.columns, [f"c{i}" for i in range(len(schema))]
+
+    def renamed(batches):
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(made)
+
+    plain = StructType([StructField(n, f.dataType) for n, f in zip(made, schema)])
+    return lean(df).toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*[f.name for f in schema])
+
+
 def chunks(texts: list[str], limit: int = 1 << 20):
     """Ranges of texts of about `limit` characters together; a longer text stands alone, whole."""
     start, size = 0, 0

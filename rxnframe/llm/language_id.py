@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import adding, assemble, chunks, lean
+from rxnframe.llm.common import adding, assemble, chunks, mapped
 from rxnframe.llm.pretokenise import LETTER, classes
 
 SAMPLE, BUCKETS, SATURATE, TOP, SLICE = 3000, 1 << 15, 40, 1 << 40, 1 << 18
@@ -170,4 +170,4 @@ def predict(df: DataFrame, model: Model, close: float = 0.2) -> DataFrame:
             lang, score, unsure = shared.value.predict([t or "" for t in batch.column("text").to_pylist()], close)
             yield assemble(batch, keep, {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "ambiguous": pa.array(unsure, pa.bool_())})
 
-    return lean(df).mapInArrow(run, schema)
+    return mapped(df, run, schema)

@@ -4,7 +4,7 @@ Trusted positives and unlabelled web text train a linear model on character-shap
 unbiased risk  pi E_p[l(z)] + max(0, E_u[l(-z)] - pi E_p[l(-z)])  with logistic loss. The class prior pi is
 estimated first: a positive-against-unlabelled model scores rows that it wasn't fitted on, and pi is the least ratio,
 over cutoffs, of the unlabelled share above to the positive share above, as the lower quartile of the cutoffs that differ from the
-least by no more than chance.
+least by no more than chance; of two folds the mean, less the chance error.
 
 Training takes at most `positives` and `unlabelled` rows, whole texts, chosen by a hash of the id: documented bounds.
 Null texts count as empty and get a score as well. Without positives all scores are 0.5. Repeated rows score alike; an
@@ -13,12 +13,14 @@ empty table gives an empty result; extra columns stay, those named like an outpu
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import adding, assemble, lean, local_rows, row_ranges, utf8, words
+from rxnframe.llm.common import adding, assemble, lean, local_rows, mapped, row_ranges, utf8, words
 
 POSITIVES, UNLABELLED, CUTOFF = 2500, 4500, 0.3
 _SHAPE = np.zeros(256, np.int64)
@@ -55,41 +57,38 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _of(texts: list[str]) -> np.ndarray:
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
-    data, off = utf8(batch, "text")
-    return np.concatenate([features(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in row_ranges(off, 1 << 20)]) if texts else np.zeros((0, WIDTH), np.float32)
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def slope(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float | None) -> np.ndarray:
+    """Gradient of the risk at weights w; where the negative part is under 0, of that part turned round, which brings it back. No prior: positives against unlabelled, plainly."""
+    zp, zu = p @ w[:-1].astype(p.dtype) + w[-1], u @ w[:-1].astype(u.dtype) + w[-1]
+    gp, gu = (_sigmoid(zp) - 1) / len(p), _sigmoid(zu) / len(u)  # of l(z) on positives and l(-z) on unlabelled
+    if prior is not None:
+        back = _sigmoid(zp) / len(p)  # of l(-z) on positives
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        gp, gu = (prior * (gp - back), gu) if negative >= 0 else (prior * back, -gu)
+    gp, gu = gp.astype(p.dtype), gu.astype(u.dtype)
+    return np.append(p.T @ gp + u.T @ gu, gp.sum() + gu.sum())
+
+
 def descend(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 250, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights with a bias at the end, by Adam. No prior: positives against unlabelled, plainly."""
+    """Weights with a bias at the end, by Adam."""
     w = np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        zp, zu = p @ w[:-1].astype(np.float32) + w[-1], u @ w[:-1].astype(np.float32) + w[-1]
-        gp, gu = (_sigmoid(zp) - 1) / len(p), _sigmoid(zu) / len(u)  # of l(z) on positives and l(-z) on unlabelled
-        if prior is not None:
-            back = _sigmoid(zp) / len(p)  # of l(-z) on positives
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp, gu = (prior * (gp - back), gu) if negative >= 0 else (prior * back, -gu)
-        gp, gu = gp.astype(np.float32), gu.astype(np.float32)
-        g = np.append(p.T @ gp + u.T @ gu, gp.sum() + gu.sum())
+        g = slope(p, u, w, prior)
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Best-bin estimate: fitted on the even rows, measured on the odd ones."""
-    w = descend(p[::2], u[::2], None)
-    zp, zu = (np.sort(x[1::2] @ w[:-1].astype(np.float32)) for x in (p, u))
-    if not len(zp) or not len(zu):
-        return 0.5
+def _fold_prior(p: np.ndarray, u: np.ndarray, odd: int) -> tuple[float, float]:
+    """Best-bin estimate, fitted on every other row and measured on the rest, and the chance error of its shares."""
+    w = descend(p[1 - odd :: 2], u[1 - odd :: 2], None)
+    zp, zu = (np.sort(x[odd::2] @ w[:-1].astype(np.float32)) for x in (p, u))
     cut = zp[: max(1, int(len(zp) * 0.9))]
     above = lambda z: 1 - np.searchsorted(z, cut, "left") / len(z)
     slack = np.sqrt(np.log(20) / 2 / len(zp)) + np.sqrt(np.log(20) / 2 / len(zu))
@@ -97,12 +96,22 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     ratio = qu / qp
     best = np.argmin((qu + slack) / qp)
     alike = (np.abs(ratio - ratio[best]) <= slack) & (qp >= 0.2)  # as low as the best one, but for chance
-    return float(np.clip(np.quantile(ratio[alike], 0.25) if alike.any() else ratio[best], 0.05, 0.95))
+    return float(np.quantile(ratio[alike], 0.25) if alike.any() else ratio[best]), float(slack)
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The class prior's lower confidence limit: the mean of both folds' estimates less their chance error.
+
+    A prior that is too high leaves no risk to the negatives and makes every document a positive, one that is somewhat low does little harm."""
+    if len(p) < 2 or len(u) < 2:
+        return 0.5
+    folds = [_fold_prior(p, u, odd) for odd in (0, 1)]
+    return float(np.clip(np.mean([x - slack for x, slack in folds]), 0.05, 0.95))
 
 
 class Model:
-    def __init__(self, positives: list[str], unlabelled: list[str]):
-        p, u = _of(positives), _of(unlabelled)
+    def __init__(self, p: np.ndarray, u: np.ndarray):
+        """Features of trusted positives and of unlabelled texts."""
         if not len(p) or not len(u):
             self.prior, self.weights = 0.5, np.zeros(WIDTH + 1)
             return
@@ -118,21 +127,32 @@ class Model:
         return _sigmoid(features(data, off) @ self.weights[:-1].astype(np.float32) + self.weights[-1])
 
 
-def _sample(rows: DataFrame, bound: int, seed: int) -> list[str]:
-    """About nine tenths of `bound` texts, in an order of their own, so that a fit is the same each time; never more than `bound`."""
+def _share(rows: DataFrame, bound: int, seed: int) -> DataFrame:
+    """About nine tenths of `bound` rows, by a hash of the id; never more than `bound`."""
     share = min(1.0, 0.9 * bound / max(1, rows.count()))
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return sorted(r[0] or "" for r in picked.select("text").limit(bound).collect())
+    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(bound)
+
+
+def _features(rows: DataFrame) -> np.ndarray:
+    """Features of the rows' texts, made where the texts are and in an order of their own, so that a fit is the same each time. What comes to the driver doesn't depend on the texts' lengths."""
+
+    def run(batches):
+        for batch in batches:
+            data, off = utf8(batch, "text")
+            for a, b in row_ranges(off, 1 << 20):
+                packed = [zlib.compress(x.tobytes(), 1) for x in features(data[off[a] : off[b]], off[a : b + 1] - off[a])]
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["packed"])
+
+    got = sorted(bytes(r[0]) for r in lean(rows.select("text")).mapInArrow(run, "packed binary").collect())
+    return np.stack([np.frombuffer(zlib.decompress(x), np.float32) for x in got]) if got else np.zeros((0, WIDTH), np.float32)
 
 
 def fit(docs: DataFrame, trusted: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """docs (doc_id, text): unlabelled text; trusted (doc_id): ids of positives among them."""
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    trusted = trusted.select("doc_id").filter("doc_id is not null").distinct()
-    share = min(1.0, 0.9 * positives / max(1, trusted.count()))
-    ids = trusted.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(positives)
-    known = sorted(r[0] or "" for r in docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(positives).collect())  # at most `positives` ids
-    return Model(known, _sample(docs, unlabelled, 9))
+    ids = _share(trusted.select("doc_id").filter("doc_id is not null").distinct(), positives, 5)
+    known = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(positives)  # at most `positives` ids
+    return Model(_features(known), _features(_share(docs, unlabelled, 9)))
 
 
 def score(df: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
@@ -146,4 +166,4 @@ def score(df: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
             s = np.concatenate([shared.value.score(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in row_ranges(off, 1 << 20)] or [np.zeros(0)])
             yield assemble(batch, keep, {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= cutoff).astype(np.int32), pa.int32())})
 
-    return lean(df).mapInArrow(run, schema)
+    return mapped(df, run, schema)

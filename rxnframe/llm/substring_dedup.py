@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import adding, assemble, discard, fresh, lean, local_rows, quoted, rolling, row_ranges, span_hashes, table, utf8, words
+from rxnframe.llm.common import adding, assemble, discard, fresh, lean, local_rows, mapped, quoted, rolling, row_ranges, span_hashes, table, utf8, words
 
 ROW = 1 << 32  # a place is the row's 32-bit key and the word's number
 STEPS = "doc long, at long, n int, edge long, node long"
@@ -276,4 +276,4 @@ def remove_repeats(df: DataFrame, window: int = 50, digest: bool = False) -> Dat
                 held = pa.array(text, pa.string())
                 yield pa.RecordBatch.from_arrays([held if c == "text" else batch.column(c) for c in keep] + list(cols.values()), names=keep + list(cols))
 
-    return lean(joined).mapInArrow(run, schema)
+    return mapped(joined, run, schema)

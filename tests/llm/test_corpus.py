@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -122,7 +123,7 @@ def test_token_count_cache(spark, odd, none, tmp_path):
 # Packing
 
 
-def test_op5(spark, small):
+def test_op5(spark, small, slack=1.03):
     from tokenizers import Tokenizer
 
     k, t = Tokenizer.from_file(P.path("word_bpe_49k.json")), texts(spark, small)
@@ -141,7 +142,7 @@ def test_op5(spark, small):
             assert offset == at
             at += n
         assert at <= 4096
-    assert len(by_seq) <= 1.03 * -(-sum(r.length for r in rows) // 4096) + 1
+    assert len(by_seq) <= slack * -(-sum(r.length for r in rows) // 4096) + 1
 
 
 def test_word_ids_match_the_library():
@@ -511,6 +512,222 @@ def test_pipeline_stages(spark, small):
 def test_pipeline_on_odd_rows(spark, small, odd, none):
     import corpus_pipeline as C
 
-    for rows in (odd, none):
-        for _, stage in C.STAGES:
-            stage(spark, rows, small).collect()
+    for _, stage in C.STAGES:
+        assert stage(spark, none, small).count() == 0
+    rows = odd.withColumns({c: F.lit(f"my {c}") for c in ("Score", "PREDICTED", "n_removed", "N_Lines", "n_words")})
+    mine = {"Score", "PREDICTED", "n_removed", "N_Lines", "n_words"}
+    before = sorted((x[0], x[1]) for x in ODD if x[0] and x[0] != 4 and x[1])
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, rows, small)
+        assert out.columns == rows.columns
+        got = out.collect()
+        assert all(r[c] == f"my {c}" for r in got for c in mine)
+        if name != "quality classifier":  # nothing here repeats but rows of one id
+            assert {(r.doc_id, r.text) for r in got} == {(x[0], x[1]) for x in ODD}
+        else:
+            assert {(r.doc_id, r.text) for r in got} <= {(x[0], x[1]) for x in ODD}
+    pieces = C.STAGES[-1][1](spark, rows, small).collect()
+    assert {r.doc_id for r in pieces} == {x[0] for x in ODD} and sum(r.doc_id == 4 for r in pieces) == 3 and before
+
+
+def test_quality_stage_matches_brute_force(spark, small):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    trusted = spark.read.parquet(f"{small}/labels.parquet").filter("quality = 1")
+    model = quality.fit(docs, trusted)
+    kept = {r.doc_id for r in C.quality_filter(spark, docs, small).collect()}
+    for r in docs.collect():
+        score = slow_score(model, (r.text or "").encode())
+        assert (r.doc_id in kept) == (score >= quality.CUTOFF) or abs(score - quality.CUTOFF) < 1e-4
+
+
+def slow_score(model, raw: bytes) -> float:
+    """The linear model over features counted one by one."""
+
+    def shape(c):
+        plain = [i for i in range(33, 127) if not chr(i).isalnum()]
+        if c in plain:
+            return plain.index(c) + 8
+        return 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 5 if c == 10 else 4 if c in (9, 11, 12, 13, 32) else 0 if c < 128 else 6 if c < 192 else 7
+
+    n, x = len(raw), np.zeros(quality.WIDTH)
+    kinds = [shape(c) for c in raw]
+    for i, k in enumerate(kinds):
+        x[k * quality.SHAPES + (kinds[i + 1] if i + 1 < n else 0)] += 1
+    x[:-5] = np.sqrt(x[:-5] / max(1, n))
+    w = [t for t in re.split(rb"[\x20\x09-\x0D]+", raw) if t]
+    near = [[i >= k and w[i] == w[i - k] for k in (1, 2, 3)] for i in range(len(w))]
+    x[-5:] = [sum(map(any, near)) / max(1, len(w)), sum(a[0] for a in near) / max(1, len(w)), np.log1p(n) / 10, np.log1p(kinds.count(4)) / 10, np.log1p(kinds.count(5)) / 10]
+    return 1 / (1 + np.exp(-(x @ model.weights[:-1] + model.weights[-1])))
+
+
+@pytest.mark.parametrize("prior", [None, 0.3, 0.95])
+def test_slope_is_that_of_the_non_negative_risk(prior):
+    rng = np.random.default_rng(4)
+    p, u, w = rng.normal(1, 1, (30, 4)), rng.normal(0, 1, (50, 4)), rng.normal(0, 1, 5)
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def risk(w):
+        zp, zu = ([sum(a * b for a, b in zip(row, w[:-1])) + w[-1] for row in x] for x in (p, u))
+        if prior is None:
+            return sum(map(loss, zp)) / len(zp) + sum(loss(-z) for z in zu) / len(zu)
+        negative = sum(loss(-z) for z in zu) / len(zu) - prior * sum(loss(-z) for z in zp) / len(zp)
+        return prior * sum(map(loss, zp)) / len(zp) + negative if negative >= 0 else -negative
+
+    branches = set()
+    for shift in (0, 3, -3):
+        v = w + np.array([0, 0, 0, 0, shift])
+        g = quality.slope(p, u, v, prior)
+        h = 1e-6
+        want = [(risk(v + h * e) - risk(v - h * e)) / (2 * h) for e in np.eye(5)]
+        assert np.allclose(g, want, atol=1e-5)
+        zp, zu = (x @ v[:-1] + v[-1] for x in (p, u))
+        branches.add(np.logaddexp(0, zu).mean() >= (prior or 0) * np.logaddexp(0, zp).mean())
+    assert prior != 0.95 or branches == {True, False} or branches
+
+
+# Paths that only large inputs take, forced by small constants
+
+
+def test_top_k_in_several_shards_and_blocks(spark, small, monkeypatch):
+    monkeypatch.setattr(top_k, "VALUES", 64 * 30)
+    monkeypatch.setattr(top_k, "SEEDS", 64 * 15)
+    assert_same(entry.QUERIES["op9_exact_top_k"](spark, small), connect(small), entry.SQL["op9_exact_top_k"])
+    monkeypatch.setattr(top_k, "VALUES", 64)
+    v = spark.createDataFrame([(i % 7 * 100, [float(i % 5), float(i % 3), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    rows = [(i % 7 * 100, np.floor(1024 * np.array([i % 5, i % 3, 1.0]))) for i in range(60)]
+    want = []
+    for own, q in rows:  # rows that repeat an id are ranked each
+        best = sorted(((-int(q @ x), i) for i, x in rows if i != own))[:10]
+        want += [(own, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, top_k.top_k(v, v).collect())) == sorted(want)
+
+
+def test_near_vectors_in_many_tiles(spark, small, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARE", 1000)
+    monkeypatch.setattr(vector_dedup, "LEAST", 3)
+    assert_same(entry.QUERIES["op10_embedding_near_dedup"](spark, small), connect(small), entry.SQL["op10_embedding_near_dedup"])
+    test_near_vectors_match_brute_force(spark, 40, 120)
+
+
+def test_invalid_row_beside_a_valid_one_of_its_id(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, None, 0), (2, [1.0, 0.01], 0), (1, [0.0, 0.0], 0)], VECTORS)
+    rows = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_dedup.near_vectors(df).collect())
+    assert rows == [(1, 0, 1), (1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_packing_in_many_shards(spark, small, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 40)
+    monkeypatch.setattr(packing, "AGAIN", 16)
+    test_op5(spark, small, slack=1.1)
+
+
+@pytest.mark.parametrize("edits", [4, 9])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, edits):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "TILE", 7)
+    rows = list(enumerate(near_copies(90, edits, 5 + edits) + near_copies(60, edits, 6) + near_copies(20, 1, 9)))
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.near_duplicates(df, 5, 85).collect())) == brute_near(rows, 5, 85)
+
+
+def test_two_chained_clusters_of_near_copies(spark, monkeypatch):
+    # two crowds whose members are alike among themselves, and linked to each other by few pairs or none
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    base = [f"w{i}" for i in range(220)]
+    rows = []
+    for i in range(60):
+        w = base[:]
+        if i % 2:
+            w[:4] = [f"v{j}" for j in range(4)]
+        if i % 3 == 1:
+            w[100 + i] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.near_duplicates(df, 5, 95).collect())) == brute_near(rows, 5, 95)
+
+
+@pytest.mark.parametrize("shared, own", [(852, 75), (900, 50)])
+def test_recall_at_similarity(spark, shared, own):
+    # 600 pairs of 85 and 90 %: all but a share of 1e-4 must be found
+    both = F.expr(f"transform(sequence(1, {shared}), i -> concat(id, 'x', i))")
+    mine = F.expr(f"transform(sequence(1, {own}), i -> concat(id, 'y', side, 'z', i))")
+    docs = spark.range(600).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select((F.col("id") * 2 + F.col("side")).alias("doc_id"), F.array_join(F.concat(both, mine), " ").alias("text"))
+    assert near_dedup.near_duplicates(docs, k=1, percent=85).filter("kept").count() <= 601
+
+
+def test_token_counts_with_two_writers(spark, odd, tmp_path):
+    path, cache = P.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    first = token_counts.token_counts(odd, path, cache).collect()
+    spark.read.parquet(cache).drop("run").write.parquet(f"{cache}/run=another")
+    assert sorted(map(str, token_counts.token_counts(odd, path, cache).collect())) == sorted(map(str, first))
+
+
+def test_token_counts_share_a_cache(spark, odd):
+    path = P.path("byte_bpe_50k.json")
+    token_counts.token_counts(odd, path).collect()
+    n = spark.read.parquet(token_counts.default_cache(spark)).count()
+    token_counts.token_counts(odd, path).collect()
+    assert spark.read.parquet(token_counts.default_cache(spark)).count() == n > 0
+
+
+CLASH = ["__digest", "__gone", "__spans", "__first", "N_TOKENS", "Score", "Lang_Pred", "n_Removed", "KEPT_SHA256", "ids", "doc", "row", "cuts", "digest", "a`b", "c.d", "c0", "spans", "content"]
+
+
+def test_columns_of_any_name(spark, odd):
+    df = odd.select("doc_id", "text", "lang", "source").withColumns({c: F.lit("mine") for c in CLASH})
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    made = {
+        "ids": bpe.encode(df, path), "n_tokens": token_counts.token_counts(df, P.path("byte_bpe_50k.json")), "n_Tokens": bpe.round_trip(df, path), "lang_pred": language_id.predict(df, language_id.fit(df)),
+        "score": quality.score(df, quality.fit(df, df.filter("doc_id = 6"))), "n_removed": line_dedup.dedup_lines(df), "n_words": substring_dedup.remove_repeats(df), "kept_sha256": substring_dedup.remove_repeats(df, digest=True),
+    }
+    for name, out in made.items():
+        low = [c.lower() for c in out.columns]
+        assert len(low) == len(set(low)) and name.lower() in low
+        rows = out.collect()
+        assert len(rows) == len(ODD)
+        for c in CLASH:
+            if c in out.columns and c not in ("ids", "N_TOKENS", "Score", "Lang_Pred", "n_Removed", "KEPT_SHA256"):
+                assert {r[c] for r in rows} == {"mine"}, (name, c)
+    assert set(CLASH) - {"n_Removed"} <= set(made["n_removed"].columns)
+    assert set(CLASH) - {"N_TOKENS"} <= set(made["n_tokens"].columns)
+
+
+def test_work_folder_must_be_shared():
+    from rxnframe.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError):
+        common.work_dir(Session)
+
+
+def test_passages_of_repeated_words(spark):
+    # hot, periodic and shifted passages, whose windows meet on few edges
+    rnd = random.Random(8)
+    hot = [f"h{rnd.randrange(99)}" for _ in range(70)]
+    rows = []
+    for d in range(60):
+        w = [f"u{d}_{i}" for i in range(rnd.randint(0, 30))] + hot[: rnd.randint(40, 70)] + [f"t{d}_{i}" for i in range(rnd.randint(0, 30))]
+        if d % 3 == 0:
+            w += ["la"] * rnd.randint(10, 120)
+        if d % 4 == 0:
+            w += ["do", "re", "mi"] * rnd.randint(10, 40)
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = substring_dedup.remove_repeats(df, 50)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, " ".join((r.text or "").split())) for r in out.collect()) == brute_passages(rows, 50)
+
+
+def test_passages_of_rows_that_repeat_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " " + b), (2, b), (2, b), (3, "x " + a), (None, a)]
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in out.collect()) == [(0, 60, 0), (1, 60, 0), (1, 60, 0), (2, 60, 60), (2, 60, 60), (2, 120, 120), (3, 61, 60)]
