@@ -71,6 +71,19 @@ def edge_softmax_aggregate(nodes: DataFrame, edges: DataFrame, w_node: Matrix, w
     return out.select("graph_id", "node", F.array(*[F.col(f"v{i}_{j}") / F.col(f"s{i}") for i in range(heads) for j in range(width)]).alias("h"))
 
 
+def reduce_messages(messages: DataFrame, width: int, how: str = "sum") -> DataFrame:
+    """Messages (graph_id, node, m array of `width`, and for softmax_sum logit) brought together at their node: sum, mean, max, or softmax_sum, in which each counts with its softmax weight."""
+    key, part = ["graph_id", "node"], lambda j: F.col("m")[j]
+    if how in ("sum", "mean", "max"):
+        out = messages.groupBy(*key).agg(*[{"sum": F.sum, "mean": F.avg, "max": F.max}[how](part(j)).alias(f"_{j}") for j in range(width)])
+        return out.select(*key, F.array(*[F.col(f"_{j}") for j in range(width)]).alias("h"))
+    if how != "softmax_sum":
+        raise ValueError(f"unknown reduce {how}")
+    x = messages.withColumn("_w", F.exp(F.col("logit") - F.max("logit").over(Window.partitionBy(*key))))
+    out = x.groupBy(*key).agg(F.sum("_w").alias("_s"), *[F.sum(F.col("_w") * part(j)).alias(f"_{j}") for j in range(width)])
+    return out.select(*key, F.array(*[F.col(f"_{j}") / F.col("_s") for j in range(width)]).alias("h"))
+
+
 def edge_weights(scored: DataFrame, heads: int) -> DataFrame:
     """Softmax weights of scored edges (graph_id, u, v, logits) over each target's incoming edges."""
     w = Window.partitionBy("graph_id", "v")

@@ -69,6 +69,21 @@ def d13(spark, sf):
     return _wide(A.edge_softmax_aggregate(_nodes(spark, sf, n), _edges(spark, sf, n=n), W_NODE, W_EDGE, W_ATTN, HEADS, H), "h", 4)
 
 
+_HOW = {"sum": "sum({0})", "mean": "avg({0})", "max": "max({0})", "softmax_sum": "sum(exp(l - top) * {0}) / sum(exp(l - top))"}
+_MS = "select graph_id, v as node, p * sa as m0, p * sb as m1, p * sc as m2, q - p as l, max(q - p) over (partition by graph_id, v) as top from ed"
+
+
+@query("d13_reduce_messages", cte("rd", nd=_ND, ed=_ED, ms=_MS) + " union all ".join(f"select '{how}' as how, graph_id, node, " + ", ".join(f"round({x.format(f'm{j}')}, 6) as x{j}" for j in range(3)) + " from ms group by graph_id, node" for how, x in _HOW.items()))
+def d13_reduce(spark, sf):
+    n = _shared(spark, sf)
+    source = _nodes(spark, sf, n).select("graph_id", F.col("node").alias("u"), "h")
+    x = _edges(spark, sf, n=n).join(source, ["graph_id", "u"])
+    order, kind = F.col("f")[0], F.col("f")[1]
+    messages = x.select("graph_id", F.col("v").alias("node"), F.transform("h", lambda c: c * order).alias("m"), (kind - order).alias("logit"))
+    parts = [_wide(A.reduce_messages(messages, 3, how), "h", 3).withColumn("how", F.lit(how)) for how in _HOW]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 _ZL = "select graph_id, node, " + ", ".join(f"{_leaky(f'z{i}')} as z{i}" for i in range(4)) + " from z"
 _OWN = "select graph_id, node, " + ", ".join(f"{_lin(_SELF, [f'z{2 * i}', f'z{2 * i + 1}'])} as l{i}" for i in range(HEADS)) + ", 2.0 as t, z0, z1, z2, z3 from zl"
 

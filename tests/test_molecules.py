@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +271,79 @@ def test_alignment_indicators_match_brute_force(spark, small):
             assert getattr(got[g], name) == pytest.approx(want, abs=2e-3)
             checked += bool(seen[h])
     assert checked > 20
+
+
+def test_gelu_layer_matches_brute_force(spark):
+    import math
+
+    rng = np.random.default_rng(1)
+    w, b, x = rng.normal(size=(3, 4)), rng.normal(size=3), rng.normal(size=(20, 4)) * 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, h array<double>")
+    for r in A.dense(df, "h", w.tolist(), b.tolist(), "gelu").collect():
+        for got, row, bias in zip(r.out, w, b):
+            z = sum(p * q for p, q in zip(row, r.h)) + bias
+            assert abs(got - z * 0.5 * (1 + math.erf(z / math.sqrt(2)))) < 1e-12
+
+
+def test_dirichlet_divergence_matches_brute_force(spark):
+    import math
+
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.random(4) * rng.choice([0.2, 3, 60]) + 0.05).tolist(), int(rng.integers(4))) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, alphas array<double>, target int")
+
+    def digamma(x, h=1e-5):
+        return (math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h)
+
+    plain = {r.id: r.loss for r in L.dirichlet_loss(df, "alphas", "target").collect()}
+    for r in L.dirichlet_loss(df, "alphas", "target", lam=0.5).collect():
+        s = sum(r.alphas)
+        base = sum(((k == r.target) - a / s) ** 2 + a / s * (1 - a / s) / (s + 1) for k, a in enumerate(r.alphas))
+        m = [1.0 if k == r.target else a for k, a in enumerate(r.alphas)]
+        far = math.lgamma(sum(m)) - math.lgamma(len(m)) - sum(map(math.lgamma, m)) + sum((a - 1) * (digamma(a) - digamma(sum(m))) for a in m)
+        assert abs(plain[r.id] - base) < 1e-9 and abs(r.loss - base - 0.5 * far) < 1e-4 * max(1, far)
+
+
+def test_cluster_split_keeps_clusters_whole(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"m{i}", (10 * np.eye(5)[i % 5] + rng.normal(size=5) * 0.1).tolist()) for i in range(200)]
+    out = S.cluster_split(spark.createDataFrame(rows, "id string, v array<double>"), "id", "v", 5).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(int(r.id[1:]) % 5, set()).add((r.cluster, r.split))
+    assert len(out) == 200 and all(len(g) == 1 for g in groups.values()) and len({c for g in groups.values() for c, _ in g}) == 5
+    named = {r.id: r.split for r in S.group_split(spark.createDataFrame([(r.id, r.cluster) for r in out], "id string, cluster int"), "id", "cluster").collect()}
+    assert named == {r.id: r.split for r in out}
+
+
+def test_fragments(spark):
+    import random
+
+    rnd = random.Random(4)
+    atoms, bonds, want = [], [], {}
+    for g in range(40):
+        n = rnd.choice([1, 2, 7, 40])
+        ids = rnd.sample(range(1000), n)
+        links = [(rnd.choice(ids), rnd.choice(ids)) for _ in range(rnd.randint(0, n))] if g else list(zip(ids, ids[1:]))
+        label = {i: i for i in ids}
+        for _ in ids:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        atoms += [(f"g{g}", i) for i in ids]
+        bonds += [(f"g{g}", *x) for a, b in links for x in ((a, b), (b, a))]
+        want |= {(f"g{g}", i): label[i] for i in ids}
+    bonds += [("g1", 5000, atoms[0][1]), (None, 1, 2), ("nowhere", 1, 2)]
+    a = spark.createDataFrame([*atoms, (None, 7)], "graph_id string, node long")
+    b = spark.createDataFrame(bonds, "graph_id string, u long, v long")
+    got = {(r.graph_id, r.node): r.component for r in G.components(b, a).collect()}
+    assert got == want | {(None, 7): 7}
+    assert G.components(b.limit(0), a.limit(0)).count() == 0
+    named = G.components(b.withColumns({c: F.format_string("%05d", c) for c in "uv"}), a.withColumn("node", F.format_string("%05d", "node")))
+    assert {(r.graph_id, int(r.node)): int(r.component) for r in named.collect()} == got
+
+
+def test_dummy_columns_are_bounded(spark):
+    df = spark.range(30).select((F.col("id") % 7).alias("kind"))
+    assert len(S.dummy_encode(df, "kind").columns) == 8
+    with pytest.raises(ValueError):
+        S.dummy_encode(df, "kind", most=6)
