@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import adding, assemble, chunks, mapped
+from rxnframe.llm.common import adding, assemble, chunks, lean, mapped
 from rxnframe.llm.pretokenise import LETTER, classes
 
 SAMPLE, BUCKETS, SATURATE, TOP, SLICE = 3000, 1 << 15, 40, 1 << 40, 1 << 18
@@ -81,23 +81,32 @@ def codewords(n: int) -> np.ndarray:
             return code
 
 
+def tally(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Places and letters of a text, its buckets and how often each occurs; of a size that doesn't follow the text's length."""
+    padded, total, letters = f" {text}  ", np.zeros(2 * BUCKETS, np.int64), 0
+    for i in range(0, len(padded) - 2, SLICE):
+        g, low = _pairs(padded[i : i + SLICE + 2])
+        total += np.bincount(g.ravel(), minlength=2 * BUCKETS)
+        letters += int((low[:-2] != 32).sum())
+    found = np.flatnonzero(total)
+    return len(padded) - 2, letters, found, total[found]
+
+
 class Model:
-    def __init__(self, langs: list[str], texts: list[str], labels: list[str]):
+    def __init__(self, langs: list[str], rows: list[tuple[int, int, np.ndarray, np.ndarray]], labels: list[str]):
+        """rows: as from tally, with the language of each."""
         self.langs, self.code = langs, codewords(len(langs))
         counts = np.zeros((len(langs), 2 * BUCKETS))
-        row = np.array([langs.index(x) for x in labels])
-        for a, b in chunks(texts):
-            g, start, _ = grams(texts[a:b])
-            which = np.repeat(row[a:b], np.diff(start))
-            for i in range(len(langs)):
-                counts[i] += np.bincount(g[which == i].ravel(), minlength=2 * BUCKETS)
+        row = np.array([langs.index(x) for x in labels], int)
+        for i, (_, _, bucket, n) in zip(row, rows):
+            counts[i, bucket] += n
         counts = (counts + 0.05) / (counts + 0.05).sum(1, keepdims=True)
         one = self.code > 0
         self.weights = np.stack([np.log(counts[o].mean(0)) - np.log(counts[~o].mean(0)) for o in one.T], 1).astype(np.float32) if self.code.size else np.zeros((2 * BUCKETS, 0), np.float32)
-        self.trust = np.ones(self.code.shape[1])
-        z, _ = self.margins(texts)
-        right = ((z > 0) == one[row]).mean(0) if len(texts) else self.trust
-        self.trust = np.maximum(right - 0.5, 0.01)
+        right = np.zeros(self.code.shape[1])
+        for i, (places, _, bucket, n) in zip(row, rows):
+            right += (n @ self.weights[bucket] > 0) == one[i]
+        self.trust = np.maximum(right / max(1, len(rows)) - 0.5, 0.01) if rows else np.ones(self.code.shape[1])
 
     def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         zs, ns = [], []
@@ -152,12 +161,19 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     bounds = [(r.lang, max(r.low, int(TOP * min(1.0, (want[r.lang] + 8 * want[r.lang] ** 0.5 + 8) / r.n))), want[r.lang]) for r in seen]
     near = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long, want long")), "lang").filter("at <= bound")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
-    picked = near.withColumn("rank", rank).filter("rank <= want").select("text", "lang").collect()
-    picked = sorted(picked, key=lambda r: (r[1], r[0]))
-    letters = grams([r[0] for r in picked])[2] if picked else []
-    langs = sorted({r[1] for r, n in zip(picked, letters) if n})
-    picked = [r for r in picked if r[1] in langs]
-    return Model(langs, [r[0] for r in picked], [r[1] for r in picked])
+    picked = near.withColumn("rank", rank).filter("rank <= want").select("text", "lang")
+
+    def run(batches):
+        for batch in batches:
+            rows = [tally(t) for t in batch.column("text").to_pylist()]
+            cols = [pa.array([r[c] for r in rows], pa.int64()) for c in (0, 1)] + [pa.array([r[c].astype(np.uint32).tobytes() for r in rows], pa.binary()) for c in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), *cols], names=["lang", "places", "letters", "buckets", "counts"])
+
+    # What comes to the driver is counts of grams, not texts.
+    found = sorted(lean(picked).mapInArrow(run, "lang string, places long, letters long, buckets binary, counts binary").collect(), key=lambda r: r.lang)
+    langs = sorted({r.lang for r in found if r.letters})
+    found = [r for r in found if r.lang in langs]
+    return Model(langs, [(r.places, r.letters, np.frombuffer(r.buckets, np.uint32), np.frombuffer(r.counts, np.uint32)) for r in found], [r.lang for r in found])
 
 
 def predict(df: DataFrame, model: Model, close: float = 0.2) -> DataFrame:

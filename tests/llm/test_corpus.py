@@ -251,7 +251,7 @@ def test_decoding_matches_brute_force(n):
     langs = [f"l{i:02}" for i in range(n)]
     labels = [i % n for i in range(12 * n)]
     texts = [say(i) for i in labels]
-    model = language_id.Model(langs, texts, [langs[i] for i in labels])
+    model = language_id.Model(langs, list(map(language_id.tally, texts)), [langs[i] for i in labels])
     assert np.isfinite(model.weights).all() and np.isfinite(model.trust).all()
     some = [say(i % n) for i in range(3 * n)] + ["x", "12", "é" * 50]
     got, scores, unsure = model.predict(some, 0.2)
@@ -285,11 +285,15 @@ def test_decoding_matches_brute_force(n):
 
 
 def test_long_text_in_slices(monkeypatch):
-    model = language_id.Model(["a", "b", "c"], ["hello world the", "bonjour le monde", "guten tag"], ["a", "b", "c"])
+    model = language_id.Model(["a", "b", "c"], list(map(language_id.tally, ["hello world the", "bonjour le monde", "guten tag"])), ["a", "b", "c"])
     some = ["hello the bonjour 12 " * 400, "é ñ ü" * 100, "", "x" * 64, "tag " * 16]
     whole = model.margins(some)
     monkeypatch.setattr(language_id, "SLICE", 64)
     cut = model.margins(some)
+    for t in some:
+        places, letters, bucket, n = language_id.tally(t)
+        g, _, (many,) = language_id.grams([t])
+        assert (places, letters) == (len(t) + 1, many) and np.array_equal(np.bincount(g.ravel(), minlength=bucket.max() + 1)[bucket], n) and n.sum() == g.size
     assert np.allclose(whole[0], cut[0], atol=1e-4) and list(whole[1]) == list(cut[1])
 
 
