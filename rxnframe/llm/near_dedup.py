@@ -236,18 +236,19 @@ def bucket_links(members: DataFrame, nodes: DataFrame, classes: DataFrame, texts
                 return
             which, ids, kind, inner, n = (np.concatenate([x[c] for x in home]) for c in range(5))
             sig = np.concatenate([x[5] for x in home])
-            used, out = np.zeros(len(ids), bool), []
-            for some in probe:
-                for i, c, m, s in zip(some[1].tolist(), some[2].tolist(), some[4].tolist(), some[5]):
-                    near = np.flatnonzero((kind != c) & (inner | (ids > i)) & near_size(n, np.int64(m), percent))  # of two outside the largest class once
-                    got, same = surviving(sig[near], s[None], percent)
-                    equal = (sig[near[got]].reshape(-1, *shape) == s.reshape(shape)).all(2)
-                    first = (equal.argmax(1) == which[0]) | ~equal.any(1)
-                    got = near[got[first]][np.argsort(-same[first], kind="stable")]
-                    used[got] = True
-                    for part in np.unique(got // PART).tolist():
-                        out.append((part, i, c, True, ids[got[got // PART == part]].tolist()))
-            out += [(j // PART, int(ids[j]), int(kind[j]), False, None) for j in np.flatnonzero(used).tolist()]
+            out: list[tuple] = []
+            used: dict[int, set[int]] = {}
+            for turn, (i, c, m, s) in enumerate(row for some in probe for row in zip(some[1].tolist(), some[2].tolist(), some[4].tolist(), some[5])):
+                near = np.flatnonzero((kind != c) & (inner | (ids > i)) & near_size(n, np.int64(m), percent))  # of two outside the largest class once
+                got, same = surviving(sig[near], s[None], percent)
+                equal = (sig[near[got]].reshape(-1, *shape) == s.reshape(shape)).all(2)
+                first = (equal.argmax(1) == which[0]) | ~equal.any(1)
+                got = near[got[first]][np.argsort(-same[first], kind="stable")]
+                for base in np.unique(got // PART).tolist():
+                    some, part = got[got // PART == base], base * TILE + turn // PART
+                    used.setdefault(part, set()).update(some.tolist())
+                    out.append((part, i, c, True, ids[some].tolist()))
+            out += [(part, int(ids[j]), int(kind[j]), False, None) for part, js in used.items() for j in sorted(js)]
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(out), pa.int64()) for x in at), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[3:]))], schema=schema)
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = table(member.join(buckets, "band"))
     stars = members.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     wanted = members.select("id").distinct()
-    texts = table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id"))
+    texts = table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("merge"), "id"))  # the same way at every size
     some = table(nodes.select("id", "n", "signature").join(wanted, "id"))
     links = star_links(stars, some, texts, k, percent)
     more = bucket_links(members.select("id", "which", "band"), some, components(links), texts, k, percent)
