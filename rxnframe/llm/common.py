@@ -132,7 +132,7 @@ def utf8(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def row_ranges(off: np.ndarray, limit: int = 4 << 20):
+def row_ranges(off: np.ndarray, limit: int = 1 << 20):
     """Consecutive row ranges of about `limit` bytes."""
     n, start = len(off) - 1, 0
     while start < n:
