@@ -2,8 +2,8 @@
 
 1. One pass makes each document's distinct shingle hashes, a digest of that set and a MinHash signature.
    Equal sets collapse to the smallest id before anything else.
-2. Signature bands give buckets. Every member of a bucket is first compared with the bucket's smallest id, which links near copies
-   to classes in linear time.
+2. Signature bands give buckets. Every document is first compared with one of its buckets' smallest ids, that with which it shares most
+   bands, which links near copies to classes in linear time.
 3. What candidates are left shares a bucket, but no class. In each bucket with several classes the members outside its largest
    one meet all members, as ids and signatures in tiles of TILE members, so a bucket of near copies costs its own size. A
    pair counts in the first band that it shares.
@@ -280,15 +280,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = table(sketch(docs, k, *banding(percent)))
     some = rows.filter("doc_id is not null and digest is not null")
     sets = table(some.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    nodes = some.select("digest", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "signature").join(sets, ["digest", "id"]).dropDuplicates(["digest", "id"])
-    nodes = table(nodes.select("id", "n", "bands", "signature"))
+    nodes = some.select("digest", F.col("doc_id").alias("id"), "bands").join(sets, ["digest", "id"]).dropDuplicates(["digest", "id"])
+    nodes = table(nodes.select("id", "bands"))
     member = nodes.select("id", F.posexplode("bands").alias("which", "band"))
     buckets = table(member.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("band", "low"))
     members = table(member.join(buckets, "band"))
-    stars = members.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    shared = members.filter("id <> low").groupBy(F.col("id").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("bands"))
+    stars = shared.groupBy("a").agg(F.max_by("b", "bands").alias("b"))
     wanted = members.select("id").distinct()
     texts = table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("merge"), "id"))  # the same way at every size
-    some = table(nodes.select("id", "n", "signature").join(wanted, "id"))
+    some = table(some.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature").join(wanted, "id"))
     links = star_links(stars, some, texts, k, percent)
     more = bucket_links(members.select("id", "which", "band"), some, components(links), texts, k, percent)
     classes = components(links.unionByName(more))
