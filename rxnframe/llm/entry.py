@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxnframe.llm import bpe, language_id, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, top_k, vector_dedup
+from rxnframe.llm import bpe, conversation_trie, language_id, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, top_k, vector_dedup, whitening
 from rxnframe.llm.common import read
 
 
@@ -74,11 +74,23 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), t=0.95)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    head = (F.crc32(c.cast("string").cast("binary")) % 6).cast("int")
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(read(spark, sf_dir, "conversations"), c - c % 100, head))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_token_counts, op3_language_id, op4_line_dedup, op5_best_fit_packing, op6_quality,
         op7_byte_bpe, op8_minhash_near_dedup, op9_exact_top_k, op10_embedding_near_dedup,
+        op11_conversation_trie, op13_embedding_whitening,
     )
 }
 
@@ -109,4 +121,5 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.component, d
 from documents d left join n on d.doc_id = n.doc_id left join c on d.doc_id = c.node""",
     "op9_exact_top_k": top_k.sql(),
     "op10_embedding_near_dedup": vector_dedup.sql(),
+    "op11_conversation_trie": conversation_trie.sql(),
 }
