@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxnframe.llm import bpe, conversation_trie, language_id, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, top_k, vector_dedup, whitening
+from rxnframe.llm import bpe, conversation_trie, language_id, line_dedup, near_dedup, packing, pii, quality, substring_dedup, token_counts, top_k, vector_dedup, whitening
 from rxnframe.llm.common import read
 
 
@@ -80,6 +80,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(conversation_trie.rebuilt(read(spark, sf_dir, "conversations"), c - c % 100, head))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8)
     return out.withColumn("deviation", F.col("deviation").cast("long"))
@@ -90,7 +94,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup, op2_token_counts, op3_language_id, op4_line_dedup, op5_best_fit_packing, op6_quality,
         op7_byte_bpe, op8_minhash_near_dedup, op9_exact_top_k, op10_embedding_near_dedup,
-        op11_conversation_trie, op13_embedding_whitening,
+        op11_conversation_trie, op12_pii, op13_embedding_whitening,
     )
 }
 
