@@ -214,12 +214,13 @@ def whiten(df: DataFrame, k: int = 8, key: str = "vec_id", vector: str = "embedd
             off = model.n * x - model.sums
             if len(off) and int(np.abs(off).max()) ** 2 * width >= 1 << 63:
                 off = off.astype(object)
-            dev = (off * off).sum(1)
+            dev = np.repeat((off * off).sum(1), k)
+            dev = pa.array([Decimal(int(v)) for v in dev], pa.decimal128(38, 0)) if dev.dtype == object else pa.array(dev, pa.int64()).cast(pa.decimal128(38, 0))
             ids = batch.column("key").take(pa.array(np.repeat(at, k)))
             m = len(at) * k
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(at))), pa.array(np.full(m, model.n)), pa.array([Decimal(int(v)) for v in np.repeat(dev, k)], pa.decimal128(38, 0)),
+                    ids, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(at))), pa.array(np.full(m, model.n)), dev,
                     pa.array(y.ravel()), pa.array(np.tile(model.values[:k] / model.trace, len(at))), pa.array(np.full(m, error)),
                 ],
                 names=["key", *names[1:]],
