@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxnframe.functions.columns import hash_bucket
+from rxnframe.operators.tolerance import dedupe_greedy
 
 SPLITS = {
     "train": ("train",), "val": ("val",), "test": ("test",), "trainval": ("train", "val"),
@@ -84,29 +84,16 @@ def distinct_arrays(df: DataFrame, keys: list[str], array: str, index: str) -> D
 def dedupe_within(df: DataFrame, key: str, value: str, order: str, eps: float = 1e-5, mode: str = "greedy") -> DataFrame:
     """Rows of a key whose value is farther than eps from each one kept before.
 
-    greedy follows `order` (order-dependent, a group in one task); gap sorts by value and keeps a row more than eps above the one below."""
-    if mode == "gap":
-        window = Window.partitionBy(key).orderBy(value, order)
-        before = F.lag(value).over(window)
-        return df.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col(value) - F.col("_before") > eps)).drop("_before")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        from bisect import bisect_left, insort
-
-        kept, rows = [], []
-        for i, x in enumerate(pdf.sort_values(order)[value].tolist()):
-            at = bisect_left(kept, x)
-            if all(abs(x - y) > eps for y in kept[max(0, at - 1) : at + 1]):
-                insort(kept, x)
-                rows.append(i)
-        return pdf.sort_values(order).iloc[rows]
-
-    return df.groupBy(key).applyInPandas(keep, df.schema)
+    greedy follows `order`, whatever the size of a key (see tolerance.dedupe_greedy); gap sorts by value and keeps a row more than eps above the one below, kept or not."""
+    if mode == "greedy":
+        return dedupe_greedy(df, key, value, order, eps)
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(value, order))
+    return df.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col(value) - F.col("_before") > eps)).drop("_before")
 
 
 def build_registry(df: DataFrame, eps: float = 5 / 627.5) -> DataFrame:
-    """Df (reaction_index, rtype, source, energy, arrival) -> one record per reaction: type (intended wins) and its transition states, numbered from 0 by arrival, after gap dedup of energies."""
-    kept = dedupe_within(df, "reaction_index", "energy", "arrival", eps, "gap")
+    """Df (reaction_index, rtype, source, energy, arrival) -> one record per reaction: type (intended wins) and its transition states, numbered from 0 by arrival, whose energies are farther than eps from those of all earlier ones."""
+    kept = dedupe_greedy(df, "reaction_index", "energy", "arrival", eps)
     states = F.array_sort(F.collect_list(F.struct("arrival", "source", "energy")))
     out = kept.groupBy("reaction_index").agg(F.bool_or(F.col("rtype") == "intended").alias("_in"), states.alias("_ts"))
     numbered = F.transform("_ts", lambda x, i: F.struct(i.alias("ts_ind"), x.source.alias("source"), x.energy.alias("energy")))

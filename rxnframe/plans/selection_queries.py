@@ -149,12 +149,16 @@ def d5(spark, sf):
     return S.dedupe_within(X.targets(spark, sf).select("key", "graph_id", "DE"), "key", "DE", "graph_id", 250.0, "gap")
 
 
-@query("d5_dedupe_within_greedy")
+#: Graphs kept of each key, in order of arrival: a fold over the key's graphs that takes one whose DE is farther than 250 from all taken before.
+_GREEDY = """select key, list_reduce(list([struct_pack(g := graph_id, e := "DE")] order by graph_id), lambda kept, x: case when list_min(list_transform(kept, lambda y: abs(y.e - x[1].e))) > 250 then list_concat(kept, x) else kept end) as kept from tg group by key"""
+
+
+@query("d5_dedupe_within_greedy", cte("tg", k=_GREEDY) + 'select key, s.g as graph_id, s.e as "DE" from (select key, unnest(kept) as s from k)')
 def d5_greedy(spark, sf):
     return S.dedupe_within(X.targets(spark, sf).select("key", "graph_id", "DE"), "key", "DE", "graph_id", 250.0)
 
 
-@query("d6_build_registry", cte("tg", k='select key, graph_id, "DE", graph_id % 3 = 0 as intended, lag("DE") over (partition by key order by "DE", graph_id) as b from tg') + """select key as reaction_index, case when bool_or(intended) then 'intended' else 'unintended' end as rtype, count(*)::int as n_states, string_agg(graph_id, ',' order by graph_id) as sources from k where b is null or "DE" - b > 250 group by key""")
+@query("d6_build_registry", cte("tg", k=_GREEDY) + """select key as reaction_index, case when len(list_filter(kept, lambda s: s.g % 3 = 0)) > 0 then 'intended' else 'unintended' end as rtype, len(kept)::int as n_states, array_to_string(list_transform(kept, lambda s: s.g), ',') as sources from k""")
 def d6(spark, sf):
     t = X.targets(spark, sf).select(F.col("key").alias("reaction_index"), F.when(F.col("graph_id") % 3 == 0, "intended").otherwise("unintended").alias("rtype"), F.col("graph_id").cast("string").alias("source"), F.col("DE").alias("energy"), F.col("graph_id").alias("arrival"))
     out = S.build_registry(t, 250.0)
