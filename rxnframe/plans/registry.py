@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("edge_queries", "node_queries", "selection_queries", "iterative_queries", "scoring_queries", "attention_queries", "geometry_queries", "source_queries")
+MODULES = ("edge_queries", "node_queries", "selection_queries", "iterative_queries", "scoring_queries", "attention_queries", "geometry_queries", "source_queries", "structure_queries")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
