@@ -1,7 +1,6 @@
-"""Graph-iterative operators: one loop over the union of all graphs, never one per graph.
+"""Operators on whole graphs: fragments, ring flags and junctions, canonical order, electron bookkeeping and descriptors. Distances are in hops, rings and walk sums in rings.
 
-Bonds are directed (both orientations). Everything is partitioned by graph_id once; joins and groupings of the rounds
-reuse that partitioning (see session.SETTINGS), and each round ends in a reliable checkpoint.
+Bonds are directed (both orientations). A graph's rows meet once, by graph_id; there are no rounds of joins.
 """
 
 from __future__ import annotations
@@ -13,43 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rxnframe.session import checkpoint
-
-FAR = 100
-
-
-def _placed(df: DataFrame) -> DataFrame:
-    return checkpoint(df.repartition("graph_id"))
-
-
-def reach(bonds: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """Breadth first from seeds (graph_id, source, node): hops to every node a source reaches."""
-    key = ["graph_id", "source", "node"]
-    step = _placed(bonds.select("graph_id", F.col("u").alias("node"), "v").distinct())
-    frontier = _placed(seeds.select(*key).distinct().withColumn("hops", F.lit(0)))
-    seen = frontier
-    hops = 0
-    while (max_hops is None or hops < max_hops) and not frontier.isEmpty():
-        hops += 1
-        new = frontier.join(step, ["graph_id", "node"]).select("graph_id", "source", F.col("v").alias("node")).distinct()
-        frontier = checkpoint(new.join(seen, key, "left_anti").withColumn("hops", F.lit(hops)))
-        seen = checkpoint(seen.unionByName(frontier)).repartition("graph_id") if hops % 8 == 0 else seen.unionByName(frontier)
-    return seen
-
-
-def graph_distances(bonds: DataFrame, atoms: DataFrame, max_hops: int | None = None, unreachable: int = FAR) -> DataFrame:
-    """Hops between all ordered pairs of a graph's atoms."""
-    nodes = atoms.select("graph_id", "node")
-    near = reach(bonds, nodes.withColumn("source", F.col("node")), max_hops)
-    pairs = nodes.withColumnRenamed("node", "source").join(nodes, "graph_id")  # within a small graph
-    out = pairs.join(near, ["graph_id", "source", "node"], "left").fillna(unreachable, ["hops"])
-    return out.select("graph_id", F.col("source").alias("u"), F.col("node").alias("v"), "hops")
-
-
-def distance_to_set(bonds: DataFrame, atoms: DataFrame, seeds: DataFrame, unreachable: int = FAR) -> DataFrame:
-    """Hops from each atom to the nearest seed (graph_id, node)."""
-    near = reach(bonds, seeds.select("graph_id", F.lit(0).alias("source"), "node")).drop("source")
-    return atoms.select("graph_id", "node").join(near, ["graph_id", "node"], "left").fillna(unreachable, ["hops"])
+from rxnframe.operators.hops import bond_distances, distance_to_set, graph_distances, hops_from  # noqa: F401
+from rxnframe.operators.rings import atom_hash, find_rings  # noqa: F401
 
 
 def _fragments(graph: np.ndarray, node: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -117,30 +81,6 @@ def components(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     return out.unionByName(atoms.filter(~named).select("graph_id", "node", F.col("node").alias("component")))
 
 
-def find_rings(bonds: DataFrame, max_size: int = 20) -> DataFrame:
-    """Rings of up to max_size atoms that hold no smaller ring, as ordered walks from the smallest node towards its smaller ring neighbour.
-
-    Such rings are the chordless ones, so a path is dropped as soon as its new end touches an inner atom. The rounds stop
-    once no path is left, so a large max_size costs nothing where molecules are small.
-    """
-    around = bonds.groupBy("graph_id", F.col("u").alias("v")).agg(F.collect_set("v").alias("near"))
-    step = _placed(bonds.select("graph_id", "u", "v").distinct().join(around, ["graph_id", "v"]))
-    paths = step.filter("u < v").select("graph_id", F.array("u", "v").alias("path"), F.col("v").alias("u"))
-    rings = []
-    for size in range(3, max_size + 1):
-        grown = paths.join(step, ["graph_id", "u"]).filter((F.col("v") > F.col("path")[0]) & ~F.array_contains("path", F.col("v")))
-        grown = grown.withColumn("touch", F.size(F.array_intersect("near", "path"))).withColumn("closed", F.array_contains("near", F.col("path")[0]))
-        grown = checkpoint(grown.filter((F.col("touch") == 1) | (F.col("closed") & (F.col("touch") == 2))).select("graph_id", F.concat("path", F.array("v")).alias("path"), F.col("v").alias("u"), "closed"))
-        rings.append(grown.filter(F.col("closed") & (F.col("path")[1] < F.col("u"))).select("graph_id", F.col("path").alias("ring")))
-        paths = grown.filter(~F.col("closed")).drop("closed")
-        if paths.isEmpty():
-            break
-    out = rings[0]
-    for more in rings[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("size", F.size("ring"))
-
-
 def ring_atoms(rings: DataFrame) -> DataFrame:
     """Atoms on some ring."""
     return rings.select("graph_id", F.explode("ring").alias("node")).distinct()
@@ -186,24 +126,6 @@ def ring_junctions(rings: DataFrame) -> DataFrame:
     return spiro.unionByName(ends.select("graph_id", "node", F.lit("bridgehead").alias("kind"))).distinct()
 
 
-def atom_hash(bonds: DataFrame, atoms: DataFrame, alpha: float = 100.0, beta: float = 0.1, gens: int = 10) -> DataFrame:
-    """Alpha * degree + sum of end masses * beta**(depth + 1) over self-avoiding walks of up to gens steps. atoms has mass."""
-    mass = atoms.select("graph_id", F.col("node").alias("v"), F.col("mass").alias("end"))
-    step = _placed(bonds.select("graph_id", "u", "v").distinct().join(mass, ["graph_id", "v"]))
-    own = _placed(atoms.select("graph_id", "node", "mass"))
-    walks = own.select("graph_id", "node", F.array("node").alias("path"), F.col("node").alias("u"))
-    parts = own.select("graph_id", "node", (F.col("mass") * beta).alias("part"))
-    for depth in range(1, gens + 1):
-        walks = checkpoint(walks.join(step, ["graph_id", "u"]).filter(~F.array_contains("path", F.col("v"))).select("graph_id", "node", F.concat("path", F.array("v")).alias("path"), F.col("v").alias("u"), "end"))
-        if walks.isEmpty():
-            break
-        parts = parts.unionByName(walks.groupBy("graph_id", "node").agg((F.sum("end") * beta * 0.1**depth).alias("part")))
-        walks = walks.drop("end")
-    degree = bonds.groupBy("graph_id", F.col("u").alias("node")).agg(F.countDistinct("v").alias("degree"))
-    total = parts.groupBy("graph_id", "node").agg(F.sum("part").alias("part")).join(degree, ["graph_id", "node"], "left")
-    return total.select("graph_id", "node", F.round(alpha * F.coalesce("degree", F.lit(0)) + F.col("part"), 6).alias("hash"))
-
-
 def canonical_order(hashes: DataFrame, parts: DataFrame) -> DataFrame:
     """Place of each atom: fragments by their greatest hash, atoms by hash, all descending; later fragments and nodes first among equals."""
     x = hashes.join(parts, ["graph_id", "node"]).withColumn("top", F.max("hash").over(Window.partitionBy("graph_id", "component")))
@@ -254,7 +176,7 @@ def structure_score(counts: DataFrame, aromatic: DataFrame | None = None, key=("
 
 def shell_counts(bonds: DataFrame, atoms: DataFrame, seeds: DataFrame, vocabulary=("C", "N", "O", "H"), shells: int = 3) -> DataFrame:
     """Atoms of each element at 0, 1 ... hops from each seed, an atom counting once for each seed."""
-    near = reach(bonds, seeds.select("graph_id", F.col("node").alias("source"), "node"), shells - 1)
+    near = hops_from(bonds, atoms, seeds, shells - 1)
     x = near.join(atoms.select("graph_id", "node", "element"), ["graph_id", "node"])
     counts = [F.count_if((F.col("hops") == h) & (F.col("element") == e)).alias(f"s{h}_{e}") for h in range(shells) for e in vocabulary]
     return x.groupBy("graph_id").agg(*counts)

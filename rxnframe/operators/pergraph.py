@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 ROWS = 20_000
 
 
-def graph_rows(atoms: DataFrame, bonds: DataFrame, label: list[str] | None = None, order: str | None = None, **more) -> DataFrame:
-    """One frame of atoms (near null) and directed bonds: graph_id, node, near, label, weight and further columns of atoms, given as expressions. Rows without a graph, node or end are left out; nodes are whole numbers."""
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in label or []]) if label else F.lit("")
-    a = atoms.filter("graph_id is not null and node is not null").select("graph_id", F.col("node").cast("long"), F.lit(None).cast("long").alias("near"), text.alias("label"), F.lit(None).cast("long").alias("weight"), *[c.alias(n) for n, c in more.items()])
+def graph_rows(atoms: DataFrame | None, bonds: DataFrame, label: list[str] | None = None, order: str | None = None, **more) -> DataFrame:
+    """One frame of atoms (near null; none where atoms are implied by bonds) and directed bonds: graph_id, node, near, label, weight and further columns of atoms, given as expressions. Rows without a graph, node or end are left out; nodes are whole numbers."""
     weight = F.col(order).cast("long") if order else F.lit(1).cast("long")
     b = bonds.filter("graph_id is not null and u is not null and v is not null").select("graph_id", F.col("u").cast("long").alias("node"), F.col("v").cast("long").alias("near"), F.lit("").alias("label"), weight.alias("weight"))
+    if atoms is None:
+        return b
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in label or []]) if label else F.lit("")
+    a = atoms.filter("graph_id is not null and node is not null").select("graph_id", F.col("node").cast("long"), F.lit(None).cast("long").alias("near"), text.alias("label"), F.lit(None).cast("long").alias("weight"), *[c.alias(n) for n, c in more.items()])
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -52,14 +54,16 @@ def over_graphs(rows: DataFrame, run: Callable[[pa.Table], Iterator[pa.RecordBat
 class Graphs:
     """Atoms and bonds of some whole graphs as arrays: graph of each atom, its node and place; bonds (i, j, weight) between places, distinct, without loops and bonds to nodes that have no atom."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, implied: bool = False):
+        """implied: the atoms are those from which a bond starts; there are no rows of atoms."""
         ids = t["graph_id"].combine_chunks()
         start = np.append(True, pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)) if len(ids) else np.zeros(0, bool)
         graph = np.cumsum(start) - 1
         node = t["node"].to_numpy()
         near = t["near"].combine_chunks()
         is_atom = np.asarray(near.is_null())
-        order = np.flatnonzero(is_atom)[np.lexsort((node[is_atom], graph[is_atom]))]
+        named = np.ones(len(node), bool) if implied else is_atom
+        order = np.flatnonzero(named)[np.lexsort((node[named], graph[named]))]
         new = np.append(True, (np.diff(graph[order]) != 0) | (np.diff(node[order]) != 0)) if len(order) else np.zeros(0, bool)
         self.rows = order[new]  # of repeated atoms the first row
         self.graph, self.node = graph[self.rows], node[self.rows]

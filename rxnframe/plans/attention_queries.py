@@ -159,13 +159,13 @@ def d25(spark, sf):
 
 
 _SIZES = "select graph_id, count(*) as n_nodes from n group by graph_id"
-_SLOT = "select graph_id, n_nodes, graph_id % 16 as bucket, (row_number() over (partition by graph_id % 16 order by graph_id) - 1) // 50 as slot from g"
+_SLOT = "select graph_id, n_nodes, (row_number() over (order by graph_id) - 1) // 50 as slot from g"
 
 
-@query("f5_batch_graphs", cte("n", g=_SIZES, s=_SLOT, k="select *, count(*) over (partition by bucket, slot) as k from s") + "select graph_id, n_nodes, coalesce(sum(n_nodes) over (partition by bucket, slot order by graph_id rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\", slot * 16 + bucket as batch_id from k where k = 50")
+@query("f5_batch_graphs", cte("n", g=_SIZES, s=_SLOT, k="select *, count(*) over (partition by slot) as k from s") + "select graph_id, n_nodes, coalesce(sum(n_nodes) over (partition by slot order by graph_id rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\", slot as batch_id from k where k = 50")
 def f5(spark, sf):
     sizes = X.atoms(spark, sf).groupBy("graph_id").agg(F.count("*").alias("n_nodes"))
-    return A.batch_graphs(sizes, 50, drop_last=True, buckets=16)
+    return A.batch_graphs(sizes, 50, drop_last=True)
 
 
 @query("f5_unbatch", cte("n") + "select graph_id, node from n")

@@ -13,7 +13,7 @@ from rxnframe.plans.fixtures import cte
 from rxnframe.plans.node_queries import PAIR_SQL
 from rxnframe.plans.registry import query
 
-_WALK = "select graph_id, node as source, node, 0 as hops from n union select w.graph_id, w.source, d.v, w.hops + 1 from w join rd d on w.graph_id = d.graph_id and w.node = d.u where w.hops < 16"
+_WALK = "select graph_id, node as source, node, 0 as hops from n union select w.graph_id, w.source, d.v, w.hops + 1 from w join rd d on w.graph_id = d.graph_id and w.node = d.u where w.hops < 40"
 _DIST = "select graph_id, source, node, min(hops) as hops from w group by all"
 _SEEDS = "select distinct graph_id, unnest([u, v]) as node from eu where (r_order = 0) <> (p_order = 0)"
 
@@ -28,7 +28,7 @@ def e1(spark, sf):
     return G.graph_distances(X.directed(spark, sf, "r"), X.atoms(spark, sf))
 
 
-@query("e2_distance_to_set", cte("rd", "eu", recursive=True, s=_SEEDS, w="select graph_id, node, 0 as hops from s union select w.graph_id, d.v, w.hops + 1 from w join rd d on w.graph_id = d.graph_id and w.node = d.u where w.hops < 16", di="select graph_id, node, min(hops) as hops from w group by all") + "select graph_id, node, coalesce(hops, 100)::int as hops from n left join di using (graph_id, node)")
+@query("e2_distance_to_set", cte("rd", "eu", recursive=True, s=_SEEDS, w="select graph_id, node, 0 as hops from s union select w.graph_id, d.v, w.hops + 1 from w join rd d on w.graph_id = d.graph_id and w.node = d.u where w.hops < 40", di="select graph_id, node, min(hops) as hops from w group by all") + "select graph_id, node, coalesce(hops, 100)::int as hops from n left join di using (graph_id, node)")
 def e2(spark, sf):
     return G.distance_to_set(X.directed(spark, sf, "r"), X.atoms(spark, sf), _seeds(spark, sf))
 
@@ -198,13 +198,21 @@ def d22(spark, sf):
 _DESC = "n_heavy, n_C, n_N, n_O, n_H, n_down, n_up, CC, CN, CO, CH, NN, NO, NH, OO, OH, HH, " + ", ".join(f"s{h}_{e}" for h in range(3) for e in "CNOH")
 
 
+_BETWEEN = dict(
+    ch="select graph_id, u, v from eu where (r_order = 0) <> (p_order = 0)", w3=_SH["w"].replace("from w join", "from w3 w join").replace("w.hops < 2", "w.hops < 40"), d3=_DIST.replace("from w ", "from w3 "),
+    en="select graph_id, u, v, unnest([u, v]) as node from ch", pq="select a.graph_id, a.u, a.v, b.u as bu, b.v as bv, coalesce(min(hops), 100) as d from en a join en b on a.graph_id = b.graph_id and (a.u, a.v) < (b.u, b.v) left join d3 on d3.graph_id = a.graph_id and d3.source = a.node and d3.node = b.node group by all",
+    bd="select c.graph_id, coalesce(min(d), 0) as nearest, coalesce(max(d), 0) as farthest from (select distinct graph_id from ch) c left join pq using (graph_id) group by c.graph_id",
+)
+
+
 @query("d23_reaction_descriptor", cte("rd", "eu", recursive=True, **_SH, cp="select graph_id, count(*) filter (where element <> 'H') as n_heavy, count(*) filter (where element = 'C') as n_C, count(*) filter (where element = 'N') as n_N, count(*) filter (where element = 'O') as n_O, count(*) filter (where element = 'H') as n_H from n group by graph_id",
     bc="select graph_id, count(*) filter (where p_order < r_order) as n_down, count(*) filter (where p_order > r_order) as n_up from eu group by graph_id",
-    bp=f"select e.graph_id, {PAIR_SQL}, not bool_and(a.element in ('C', 'N', 'O', 'H') and b.element in ('C', 'N', 'O', 'H')) as rejected from (select * from eu where (r_order = 0) <> (p_order = 0)) e join n a on e.graph_id = a.graph_id and e.u = a.node join n b on e.graph_id = b.graph_id and e.v = b.node group by e.graph_id")
-    + f"select graph_id, concat_ws(',', {_DESC}) as descriptor from cp join bc using (graph_id) join bp using (graph_id) join sh using (graph_id) where not rejected")
+    bp=f"select e.graph_id, {PAIR_SQL}, not bool_and(a.element in ('C', 'N', 'O', 'H') and b.element in ('C', 'N', 'O', 'H')) as rejected from (select * from eu where (r_order = 0) <> (p_order = 0)) e join n a on e.graph_id = a.graph_id and e.u = a.node join n b on e.graph_id = b.graph_id and e.v = b.node group by e.graph_id", **_BETWEEN)
+    + f"select graph_id, concat_ws(',', {_DESC}, nearest, farthest) as descriptor from cp join bc using (graph_id) join bp using (graph_id) join sh using (graph_id) join bd using (graph_id) where not rejected")
 def d23(spark, sf):
     atoms, edges = X.atoms(spark, sf), X.edge_table(spark, sf)
-    pairs = N.bond_pair_counts(E.connection_changes(X.bonds(spark, sf, "r"), X.bonds(spark, sf, "p")), atoms).filter("not rejected")
+    changed = E.connection_changes(X.bonds(spark, sf, "r"), X.bonds(spark, sf, "p"))
+    pairs = N.bond_pair_counts(changed, atoms).filter("not rejected")
     shells = G.shell_counts(X.directed(spark, sf, "r"), atoms, _seeds(spark, sf))
-    out = G.reaction_descriptor([N.composition(atoms), E.bond_change_class(edges).drop("rxntype"), pairs, shells])
+    out = G.reaction_descriptor([N.composition(atoms), E.bond_change_class(edges).drop("rxntype"), pairs, shells, G.bond_distances(X.directed(spark, sf, "r"), atoms, changed)])
     return out.select("graph_id", F.array_join(F.col("descriptor").cast("array<int>").cast("array<string>"), ",").alias("descriptor"))
