@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from rxnframe.llm.common import adding, assemble, discard, fresh, lean, local_rows, mapped, quoted, rolling, row_ranges, span_hashes, table, utf8, words
 
 ROW = 1 << 32  # a place is the row's 32-bit key and the word's number
+CHUNK = 64  # words of a source that travel together
 STEPS = "doc long, at long, n int, edge long, node long"
 
 
@@ -138,11 +139,11 @@ def path_spans(found: DataFrame, heads: DataFrame) -> DataFrame:
     return table(compact(on, ["src", "slice", "shift"], F.col("n")))
 
 
-WINDOWS = "kind int, doc long, at long, edge long, window long, slice long, words binary"
+WINDOWS = "kind int, doc long, at long, edge long, window long, slice long, chunk int, words binary"
 
 
 def source_words(docs: DataFrame, found: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """From the texts: windows of branching edges in their nodes' least documents (kind 0), and the words of paths and of runs of such windows (kind 1)."""
+    """From the texts: windows of branching edges in their nodes' least documents (kind 0), and the words of paths and of runs of such windows in chunks of CHUNK words (kind 1)."""
     wanted = found.filter("branches and doc = src").select("doc", "at", "n", F.lit(0).alias("kind"), "edge")
     used = spans.groupBy("src", "slice").agg(F.max(F.col("end") + F.col("shift")).alias("stop"))
     wanted = wanted.unionByName(used.select(F.col("src").alias("doc"), F.col("slice").alias("at"), (F.col("stop") - F.col("slice")).cast("int").alias("n"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("edge")))
@@ -173,14 +174,16 @@ def source_words(docs: DataFrame, found: DataFrame, spans: DataFrame, window: in
                             runs.append([at, at + n])
                         for x, y in zip(found, (range(at, at + n), [edge] * n, hashes[base + at : base + at + n].tolist(), [runs[-1][0]] * n)):
                             x.extend(y)
-                    m, r = len(found[0]), len(runs)
-                    blobs = [b" ".join([raw[p:q] for p, q in zip(s[base + x : base + y + window - 1].tolist(), e[base + x : base + y + window - 1].tolist())]) for x, y in runs]
+                    m = len(found[0])
+                    parts = [(x, c, min(x + (c + 1) * CHUNK, y + window - 1)) for x, y in runs for c in range(-(-(y + window - 1 - x) // CHUNK))]
+                    r = len(parts)
+                    blobs = [b" ".join([raw[p:q] for p, q in zip(s[base + x + c * CHUNK : base + y].tolist(), e[base + x + c * CHUNK : base + y].tolist())]) for x, c, y in parts]
                     cols = [
-                        pa.array([0] * m + [1] * r, pa.int32()), pa.array([int(doc[i])] * (m + r), pa.int64()), pa.array([zero + x for x in found[0]] + [zero + x for x, _ in runs], pa.int64()),
-                        pa.array(found[1] + [0] * r, pa.int64()), pa.array(found[2] + [0] * r, pa.int64()), pa.array([zero + x for x in found[3]] + [zero + x for x, _ in runs], pa.int64()),
-                        pa.array([None] * m + blobs, pa.binary()),
+                        pa.array([0] * m + [1] * r, pa.int32()), pa.array([int(doc[i])] * (m + r), pa.int64()), pa.array([zero + x for x in found[0]] + [zero + x for x, _, _ in parts], pa.int64()),
+                        pa.array(found[1] + [0] * r, pa.int64()), pa.array(found[2] + [0] * r, pa.int64()), pa.array([zero + x for x in found[3]] + [zero + x for x, _, _ in parts], pa.int64()),
+                        pa.array([None] * m + [c for _, c, _ in parts], pa.int32()), pa.array([None] * m + blobs, pa.binary()),
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, names=["kind", "doc", "at", "edge", "window", "slice", "words"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["kind", "doc", "at", "edge", "window", "slice", "chunk", "words"])
 
     return table(lean(docs.join(marks, ["doc", "row"])).mapInArrow(run, WINDOWS))
 
@@ -198,8 +201,9 @@ def window_spans(windows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs (doc_id, text) -> a row (doc, row, spans) for each row with repeats; row is a 32-bit key of the text.
 
-    spans: array<struct<words, places>>; words are a source's, places array<struct<at, end, skip>> say which windows of the row repeat
-    them (from the word `at` up to before `end`), and how many of the source's words to skip."""
+    spans: array<struct<chunk, words, places>>; words are a chunk of a source's path, places array<struct<of, at, end, skip>> say which windows of the
+    row repeat the path's words (from the word `at` up to before `end`), and how many of them to skip; of tells paths apart. A row gets
+    the chunks that its own spans touch and no others, so what it is sent is bounded by its own length."""
     docs = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("row"), "text")
     records = table(steps(docs, window))
     found = repeated_steps(records)
@@ -209,25 +213,33 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     taken = source_words(docs, found, along, window)
     discard(found, heads)
     short = window_spans(taken.filter("kind = 0"))
-    place = F.struct(F.expr(f"at % {ROW}L").alias("at"), F.expr(f"at % {ROW}L + end - at").alias("end"), (F.col("at") + F.col("shift") - F.col("slice")).alias("skip"))
-    spans = along.unionByName(short).withColumn("row", F.expr(f"at div {ROW}L"))
-    spans = table(spans.groupBy("doc", "row", "src", "slice").agg(F.collect_list(place).alias("places")))
-    slices = taken.filter("kind = 1").select(F.col("doc").alias("src"), "slice", "words").groupBy("src", "slice").agg(F.max_by("words", F.length("words")).alias("words"))
+    at, skip = F.expr(f"at % {ROW}L"), F.col("at") + F.col("shift") - F.col("slice")
+    spans = along.unionByName(short).withColumns({"row": F.expr(f"at div {ROW}L"), "skip": skip, "size": F.col("end") - F.col("at")})
+    place = F.struct(F.xxhash64("src", "slice").alias("of"), at.alias("at"), (at + F.col("size")).alias("end"), "skip")
+    touched = F.sequence(F.expr(f"skip div {CHUNK}L"), F.expr(f"(skip + size + {window - 2}) div {CHUNK}L"))
+    spans = spans.withColumn("place", place).withColumn("chunk", F.explode(touched)).withColumn("chunk", F.col("chunk").cast("int"))
+    spans = table(spans.groupBy("doc", "row", "src", "slice", "chunk").agg(F.collect_list("place").alias("places")))
+    slices = taken.filter("kind = 1").select(F.col("doc").alias("src"), "slice", "chunk", "words").groupBy("src", "slice", "chunk").agg(F.max_by("words", F.length("words")).alias("words"))
     slices = table(slices)
     discard(along, short, taken)
-    return spans.join(slices, ["src", "slice"]).groupBy("doc", "row").agg(F.collect_list(F.struct("words", "places")).alias("spans"))
+    return spans.join(slices, ["src", "slice", "chunk"]).groupBy("doc", "row").agg(F.collect_list(F.struct("chunk", "words", "places")).alias("spans"))
 
 
 def _kept(own: list[bytes], spans: list[dict], window: int) -> np.ndarray:
-    """Which words stay; a span goes if its words are the source's."""
-    turn = np.zeros(len(own) + 1, np.int64)
+    """Which words stay; a span goes if all its words are the source's."""
+    same: dict[tuple, int] = {}
     for span in spans:
-        source = span["words"].split(b" ")
+        source, start = span["words"].split(b" "), span["chunk"] * CHUNK
         for p in span["places"]:
-            at, end = p["at"], p["end"] + window - 1
-            if own[at:end] == source[p["skip"] : p["skip"] + end - at]:
-                turn[at] += 1
-                turn[end] -= 1
+            key, end = (p["of"], p["at"], p["end"], p["skip"]), p["skip"] + p["end"] - p["at"] + window - 1
+            low, high = max(start, p["skip"]), min(start + CHUNK, end)
+            if own[p["at"] + low - p["skip"] : p["at"] + high - p["skip"]] == source[low - start : high - start]:
+                same[key] = same.get(key, 0) + high - low
+    turn = np.zeros(len(own) + 1, np.int64)
+    for (_, at, end, _), n in same.items():
+        if n >= end - at + window - 1:
+            turn[at] += 1
+            turn[end + window - 1] -= 1
     return np.cumsum(turn[:-1]) == 0
 
 
