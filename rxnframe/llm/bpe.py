@@ -31,6 +31,11 @@ class Vocabulary(dict):
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.names = {i: str(i) for i in self.tokens}
+        self.size = np.zeros(max(self.tokens, default=-1) + 1, np.int64)  # of each token, in bytes
+        for i, t in self.tokens.items():
+            self.size[i] = len(t)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(len(self.size))), np.uint8)
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
         ids = self.merge(piece)
@@ -57,6 +62,14 @@ class Vocabulary(dict):
                 rank[i - 1] = ranks.get(piece[cut[i - 1] : cut[i + 1]], none)
         return tuple(ranks[piece[a:b]] for a, b in zip(cut, cut[1:]))
 
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """The byte at which each token starts, and the end."""
+        return np.append(0, np.cumsum(self.size[ids]))
+
+    def placed(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The bytes of tokens laid down at their offsets."""
+        return self.bytes[np.arange(offsets[-1]) + np.repeat(self.begin[ids] - offsets[:-1], self.size[ids])].tobytes()
+
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same for long pieces, with a heap over a linked list of cuts."""
         import heapq
@@ -131,19 +144,22 @@ def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
 
 
 def round_trip(df: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """Encode and decode in one pass; adds n_tokens, ids_sha256 and decoded_sha256 instead of the ids themselves."""
+    """Encode with offsets and decode by them in one pass; adds n_tokens, ids_sha256 and decoded_sha256 instead of the ids themselves, and n_bytes, the offset at which the last token ends."""
 
-    keep, schema = adding(df, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    keep, schema = adding(df, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
 
     def run(batches):
         vocab = vocabulary(path)
-        token, name, sha = vocab.tokens.__getitem__, vocab.names.__getitem__, hashlib.sha256
+        name, sha = vocab.names.__getitem__, hashlib.sha256
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, ends = [], [], [], []
             for ids in encode_texts(_texts(batch, column), vocab):
                 n.append(len(ids))
                 ids_sha.append(sha(",".join(map(name, ids)).encode()).hexdigest())
-                text_sha.append(sha(b"".join(map(token, ids))).hexdigest())
-            yield assemble(batch, keep, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
+                at = np.array(ids, np.int64)
+                offsets = vocab.offsets(at)
+                text_sha.append(sha(vocab.placed(at, offsets)).hexdigest())
+                ends.append(int(offsets[-1]))
+            yield assemble(batch, keep, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string()), "n_bytes": pa.array(ends, pa.int64())})
 
     return mapped(df, run, schema)

@@ -57,7 +57,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

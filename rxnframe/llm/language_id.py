@@ -13,6 +13,7 @@ predicted alike; an empty table gives an empty result; extra columns stay, those
 
 from __future__ import annotations
 
+import zlib
 from functools import cache
 from itertools import product
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import adding, assemble, chunks, lean, mapped
+from rxnframe.llm.common import adding, assemble, chunks, discard, lean, mapped, table
 from rxnframe.llm.pretokenise import LETTER, classes
 
 SAMPLE, BUCKETS, SATURATE, TOP, SLICE = 3000, 1 << 15, 40, 1 << 40, 1 << 18
@@ -95,18 +96,33 @@ def tally(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
 class Model:
     def __init__(self, langs: list[str], rows: list[tuple[int, int, np.ndarray, np.ndarray]], labels: list[str]):
         """rows: as from tally, with the language of each."""
-        self.langs, self.code = langs, codewords(len(langs))
         counts = np.zeros((len(langs), 2 * BUCKETS))
         row = np.array([langs.index(x) for x in labels], int)
         for i, (_, _, bucket, n) in zip(row, rows):
             counts[i, bucket] += n
+        self.learn(langs, counts)
+        self.weigh(sum((self.right(i, bucket, n) for i, (_, _, bucket, n) in zip(row, rows)), np.zeros(self.code.shape[1])), len(rows))
+
+    @classmethod
+    def of(cls, langs: list[str], counts: np.ndarray) -> Model:
+        """From the summed counts of each language's grams; bits are still to be weighed."""
+        model = cls.__new__(cls)
+        model.learn(langs, counts)
+        model.weigh(np.zeros(model.code.shape[1]), 0)
+        return model
+
+    def learn(self, langs: list[str], counts: np.ndarray) -> None:
+        self.langs, self.code = langs, codewords(len(langs))
         counts = (counts + 0.05) / (counts + 0.05).sum(1, keepdims=True)
         one = self.code > 0
         self.weights = np.stack([np.log(counts[o].mean(0)) - np.log(counts[~o].mean(0)) for o in one.T], 1).astype(np.float32) if self.code.size else np.zeros((2 * BUCKETS, 0), np.float32)
-        right = np.zeros(self.code.shape[1])
-        for i, (places, _, bucket, n) in zip(row, rows):
-            right += (n @ self.weights[bucket] > 0) == one[i]
-        self.trust = np.maximum(right / max(1, len(rows)) - 0.5, 0.01) if rows else np.ones(self.code.shape[1])
+
+    def right(self, lang: int, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which bits come out right for a training row of a language."""
+        return ((n @ self.weights[bucket] > 0) == (self.code[lang] > 0)).astype(float)
+
+    def weigh(self, right: np.ndarray, rows: int) -> None:
+        self.trust = np.maximum(right / max(1, rows) - 0.5, 0.01) if rows else np.ones(self.code.shape[1])
 
     def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         zs, ns = [], []
@@ -152,28 +168,74 @@ def quotas(sizes: dict[str, int], sample: int) -> dict[str, int]:
     return out
 
 
+def _summed(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """rows (key, n long, raw binary: equal arrays) added up for each key, one row a key; only one sum is held at a time."""
+    schema = f"{key} {dict(rows.dtypes)[key]}, n long, raw binary"
+
+    def run(batches):
+        held, count, total, like = None, 0, None, None
+        for batch in batches:
+            out, like = [], batch.schema.field(key).type
+            for k, n, raw in zip(*(batch.column(c).to_pylist() for c in (key, "n", "raw"))):
+                x = np.frombuffer(zlib.decompress(raw), kind)
+                if total is not None and k == held:
+                    count, total = count + n, total + x
+                    continue
+                if total is not None:
+                    out.append((held, count, zlib.compress(total.tobytes(), 1)))
+                held, count, total = k, n, x
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (like, pa.int64(), pa.binary()))], names=[key, "n", "raw"])
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held], like), pa.array([count], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=[key, "n", "raw"])
+
+    return lean(rows.repartition(key).sortWithinPartitions(key)).mapInArrow(run, schema)
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled (doc_id, text, lang); rows without letters in the text or without lang teach nothing."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(MAYBE_LETTER)).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(TOP)).alias("at"))
+    """labelled (doc_id, text, lang); rows without letters in the text or without lang teach nothing.
+
+    Rows are chosen by a hash of id and text, so null ids and ids that repeat are spread like others; rows alike in both count once. Counts of grams are added
+    up in executors: what comes to the driver is one array a language, whatever the texts and the sample."""
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(MAYBE_LETTER)).select("text", "lang", F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(TOP)).alias("at"))
     seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("low")).collect()
     want = quotas({r.lang: r.n for r in seen}, sample)
     # A few rows more than wanted come under a language's bound, its least one in any case; the rank then takes the wanted number.
     bounds = [(r.lang, max(r.low, int(TOP * min(1.0, (want[r.lang] + 8 * want[r.lang] ** 0.5 + 8) / r.n))), want[r.lang]) for r in seen]
     near = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long, want long")), "lang").filter("at <= bound")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
-    picked = near.withColumn("rank", rank).filter("rank <= want").select("text", "lang")
+    near = near.groupBy("lang", "want", "at").agg(F.min("text").alias("text"))  # copies of one row meet before they are ranked
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    picked = table(near.withColumn("rank", rank).filter("rank <= want").select("text", "lang"))
 
-    def run(batches):
+    def count(batches):
+        for batch in batches:
+            total: dict[str, np.ndarray] = {}
+            many: dict[str, int] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                _, letters, bucket, n = tally(text)
+                if letters or lang in total:
+                    total.setdefault(lang, np.zeros(2 * BUCKETS, np.int64))[bucket] += n
+                    many[lang] = many.get(lang, 0) + bool(letters)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(many.values()), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["lang", "n", "raw"])
+
+    found = sorted(_summed(lean(picked).mapInArrow(count, "lang string, n long, raw binary"), "lang", "<i8").collect(), key=lambda r: r.lang)
+    langs = [r.lang for r in found]
+    model = Model.of(langs, np.stack([np.frombuffer(zlib.decompress(r.raw), "<i8") for r in found]).astype(float) if found else np.zeros((0, 2 * BUCKETS)))
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def check(batches):
         for batch in batches:
-            rows = [tally(t) for t in batch.column("text").to_pylist()]
-            cols = [pa.array([r[c] for r in rows], pa.int64()) for c in (0, 1)] + [pa.array([r[c].astype(np.uint32).tobytes() for r in rows], pa.binary()) for c in (2, 3)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), *cols], names=["lang", "places", "letters", "buckets", "counts"])
-
-    # What comes to the driver is counts of grams, not texts.
-    found = sorted(lean(picked).mapInArrow(run, "lang string, places long, letters long, buckets binary, counts binary").collect(), key=lambda r: r.lang)
-    langs = sorted({r.lang for r in found if r.letters})
-    found = [r for r in found if r.lang in langs]
-    return Model(langs, [(r.places, r.letters, np.frombuffer(r.buckets, np.uint32), np.frombuffer(r.counts, np.uint32)) for r in found], [r.lang for r in found])
+            right, rows = np.zeros(shared.value.code.shape[1]), 0
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                if lang in shared.value.langs:
+                    _, _, bucket, n = tally(text)
+                    right, rows = right + shared.value.right(shared.value.langs.index(lang), bucket, n), rows + 1
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([rows], pa.int64()), pa.array([zlib.compress(right.tobytes(), 1)], pa.binary())], names=["k", "n", "raw"])
+
+    if model.code.size:
+        for r in _summed(lean(picked).mapInArrow(check, "k int, n long, raw binary"), "k", "<f8").collect():
+            model.weigh(np.frombuffer(zlib.decompress(r.raw), "<f8"), r.n)
+    discard(picked)
+    return model
 
 
 def predict(df: DataFrame, model: Model, close: float = 0.2) -> DataFrame:

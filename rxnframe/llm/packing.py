@@ -5,7 +5,8 @@ Pieces are dealt to shards of about SHARD pieces by a hash. In each shard a hist
 non-negative least squares with length patterns of up to PLACES documents. There are too many to list, so those that best match what the fit leaves
 over are enumerated as it goes, by a bounded knapsack over the bins. Repeat counts never use more of a bin than there is, are rounded down, and HELD of
 them are filled with pieces of the patterns' bins; the last places of a sequence choose pieces so that it gets full. What is left, pieces of every length,
-goes best-fit, longest first, into the fullest sequence with room. Sequences that stay under FULL are taken apart and packed again together
+goes best-fit, longest first, into the fullest sequence with room. Where that takes more sequences than the sum of lengths asks for, a shard also tries patterns of exact lengths (if there are few), and
+the residual's rule alone, and keeps the best. Sequences that stay under FULL are taken apart and packed again together
 with those of other shards. `placed_by` says how each piece came to its place.
 
 Null texts are empty: they hold only `end`. Rows that repeat an id, or have none, are packed each. An empty table gives no
@@ -30,6 +31,7 @@ from rxnframe.llm.common import lean, table
 
 SHARD, AGAIN, FULL, QUANTUM = 4096, 1024, 0.995, 64
 PLACES, GROWTH, ROUNDS, HELD, TRIES, LOOSE = 10, 12, 4, 0.9, 12, 6
+EXACT, SMALL = 128, 9
 CACHE_WORDS = 400_000
 ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without letters, digits and the apostrophe
@@ -145,12 +147,13 @@ def cut(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFrame
     return lean(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(reward: np.ndarray, stock: np.ndarray, most: int) -> list[np.ndarray]:
+def price(reward: np.ndarray, stock: np.ndarray, most: int, size: np.ndarray | None = None, full: int = 0, loose: int = LOOSE) -> list[np.ndarray]:
     """Patterns of 1 to `most` pieces that fill a sequence and whose bins' rewards sum up highest, the best one for each number of pieces.
 
-    A piece counts with the middle of its bin, 2 b + 1 half quanta. A pattern holds no more of a bin than there is."""
-    bins = len(reward)
-    size, full = 2 * np.arange(bins) + 1, 2 * bins
+    A piece counts with the middle of its bin, 2 b + 1 half quanta, or with its own `size` where bins are single lengths. A pattern holds no more of a bin than there is."""
+    bins, tight = len(reward), 0
+    if size is None:
+        size, full, tight = 2 * np.arange(bins) + 1, 2 * bins, 1
     worth = np.where(stock > 0, reward, -np.inf)
     back = np.arange(full + 1)[:, None] - size  # what a pattern of a total held before its last piece of a bin
     best, picks, out = np.full(full + 1, -np.inf), [], []
@@ -159,9 +162,9 @@ def price(reward: np.ndarray, stock: np.ndarray, most: int) -> list[np.ndarray]:
         value = np.where(back >= 0, best[np.maximum(back, 0)], -np.inf) + worth
         picks.append(value.argmax(1))
         best = value.max(1)
-        at = full - int(best[full - 1 :][::-1].argmax())
+        at = full - int(best[full - tight :][::-1].argmax())
         if best[at] == -np.inf:  # no total is full: those down to LOOSE half quanta less
-            at = full - int(best[full - LOOSE :][::-1].argmax())
+            at = full - int(best[full - loose :][::-1].argmax())
         if best[at] > 0:
             found = np.zeros(bins)
             for pick in picks[::-1]:
@@ -183,7 +186,7 @@ def least_squares(m: np.ndarray, h: np.ndarray, x: np.ndarray, steps: int = 200)
     return x
 
 
-def fit(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fit(h: np.ndarray, size: np.ndarray | None = None, full: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a column each) and whole repeat counts that use up a histogram of lengths, and never more of it than there is.
 
     Patterns are enumerated as they are needed: those that best match what the fit leaves over join it, until none would help. Counts
@@ -193,7 +196,7 @@ def fit(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m, x = np.zeros((len(h), 0)), np.zeros(0)
         for _ in range(GROWTH):
             rest = left - m @ x
-            new = [p for p in price(rest, left, PLACES) if not (m.T == p).all(1).any()]
+            new = [p for p in price(rest, left, PLACES, size, full, full) if not (m.T == p).all(1).any()]
             if not new:
                 break
             m, x = np.column_stack([m, *new]), np.append(x, np.zeros(len(new)))
@@ -220,7 +223,101 @@ PATTERN, FILLER, RESIDUAL = 0, 1, 2
 
 
 def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece, and by what it came there: a place of a pattern, room left in one, or the residual."""
+    """Sequence and offset of each piece, and by what it came there: a place of a pattern, room left in one, or the residual.
+
+    Patterns of bins first. Where they leave more sequences than the lengths' sum needs, patterns of exact lengths follow if there are at most EXACT of them, then the residual's rule
+    alone, which counts only if it saves more than one sequence in 200. At most SMALL pieces are also placed by trying. The way with fewest sequences counts, the earlier among equals."""
+    least = -(-int(lengths.sum()) // size)
+    best, n = None, 0
+    for way, worth in ((pack_bins, 1.0), (pack_exact, 1.0), (pack_residual, 0.995), (pack_small, 1.0)):
+        got = way(lengths, size)
+        if got is not None and (best is None or got[0].max(initial=-1) + 1 < worth * n):
+            best, n = got, int(got[0].max(initial=-1)) + 1
+        if n <= least:
+            break
+    return best
+
+
+def _fill(lengths: np.ndarray, size: int, order: np.ndarray, seq: np.ndarray, offset: np.ndarray, used: list[int]) -> None:
+    """Pieces without a sequence, in order, each into the fullest one with room."""
+    room = sorted((size - u, s) for s, u in enumerate(used) if u < size)
+    for i in order[seq[order] < 0].tolist():
+        n = int(lengths[i])
+        k = bisect_left(room, (n, -1))
+        if k < len(room):
+            left, s = room.pop(k)
+        else:
+            left, s = size, len(used)
+            used.append(0)
+        seq[i], offset[i] = s, used[s]
+        used[s] += n
+        if left > n:
+            insort(room, (left - n, s))
+
+
+def pack_residual(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best fit, longest first."""
+    seq, offset = np.full(len(lengths), -1), np.zeros(len(lengths), np.int64)
+    _fill(lengths, size, np.argsort(-lengths, kind="stable"), seq, offset, [])
+    return seq, offset, np.full(len(lengths), RESIDUAL)
+
+
+def pack_exact(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Patterns over the histogram of the lengths themselves; None where there are too many."""
+    value, h = np.unique(lengths, return_counts=True)
+    if not 0 < len(value) <= EXACT:
+        return None
+    order = np.argsort(-lengths, kind="stable")
+    pools = [np.flatnonzero(lengths == v).tolist() for v in value]
+    seq, offset, by, used = np.full(len(lengths), -1), np.zeros(len(lengths), np.int64), np.full(len(lengths), RESIDUAL), []
+    m, count = fit(h.astype(float), value, size)
+    for j in np.repeat(np.arange(len(count)), count).tolist():
+        at = 0
+        for b in np.repeat(np.arange(len(value)), m[:, j].astype(int))[::-1].tolist():
+            i = pools[b].pop()
+            seq[i], offset[i], by[i] = len(used), at, PATTERN
+            at += int(value[b])
+        used.append(at)
+    _fill(lengths, size, order, seq, offset, used)
+    return seq, offset, by
+
+
+def pack_small(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The fewest sequences for at most SMALL pieces, by trying the places of each, longest first."""
+    if not 0 < len(lengths) <= SMALL:
+        return None
+    order = np.argsort(-lengths, kind="stable").tolist()
+    best: list[list[int]] = [[i] for i in order]
+
+    def place(k: int, rooms: list[int], held: list[list[int]]) -> None:
+        nonlocal best
+        if len(held) >= len(best):
+            return
+        if k == len(order):
+            best = [list(x) for x in held]
+            return
+        n = int(lengths[order[k]])
+        for s, room in enumerate(rooms):
+            if n <= room and room not in rooms[:s]:
+                rooms[s] -= n
+                held[s].append(order[k])
+                place(k + 1, rooms, held)
+                rooms[s] += n
+                held[s].pop()
+        place(k + 1, [*rooms, size - n], [*held, [order[k]]])
+
+    place(0, [], [])
+    seq, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for s, held in enumerate(best):
+        at = 0
+        for i in held:
+            seq[i], offset[i] = s, at
+            at += int(lengths[i])
+    return seq, offset, np.full(len(lengths), RESIDUAL)
+
+
+def pack_bins(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns over a histogram in bins of QUANTUM tokens, whose last places choose pieces so that sequences get full."""
     bins = -(-size // QUANTUM)
     order = np.argsort(-lengths, kind="stable")
     pools: list[list[tuple[int, int]]] = [[] for _ in range(bins)]
@@ -293,19 +390,7 @@ def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
                 seq[i], offset[i] = len(used), at
                 at += n
             used.append(at)
-    room = sorted((size - u, s) for s, u in enumerate(used) if u < size)
-    for i in order[seq[order] < 0].tolist():
-        n = int(lengths[i])
-        k = bisect_left(room, (n, -1))
-        if k < len(room):
-            left, s = room.pop(k)
-        else:
-            left, s = size, len(used)
-            used.append(0)
-        seq[i], offset[i] = s, used[s]
-        used[s] += n
-        if left > n:
-            insort(room, (left - n, s))
+    _fill(lengths, size, order, seq, offset, used)
     return seq, offset, by
 
 

@@ -6,7 +6,8 @@ estimated first: a positive-against-unlabelled model scores rows that it wasn't
 over cutoffs, of the unlabelled share above to the positive share above, as the lower quartile of the cutoffs that differ from the
 least by no more than chance; of two folds the mean, less the chance error.
 
-Training takes at most `positives` and `unlabelled` rows, whole texts, chosen by a hash of the id: documented bounds.
+Features are centred and scaled, and the prior is read, by sums over all rows. The weights are descended on at most `positives` and `unlabelled` distinct
+texts, whole, chosen by a hash of the text: documented bounds.
 Null texts count as empty and get a score as well. Without positives all scores are 0.5. Repeated rows score alike; an
 empty table gives an empty result; extra columns stay, those named like an output are replaced.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rxnframe.llm.common import adding, assemble, lean, local_rows, mapped, row_ranges, utf8, words
 
-POSITIVES, UNLABELLED, CUTOFF = 2500, 4500, 0.3
+POSITIVES, UNLABELLED, CUTOFF, MERGERS = 2500, 4500, 0.3, 16
 _SHAPE = np.zeros(256, np.int64)
 _SHAPE[97:123], _SHAPE[65:91], _SHAPE[48:58], _SHAPE[[9, 11, 12, 13, 32]], _SHAPE[10] = 1, 2, 3, 4, 5
 _SHAPE[128:192], _SHAPE[192:] = 6, 7
@@ -85,52 +86,73 @@ def descend(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 250,
     return w
 
 
-def _fold_prior(p: np.ndarray, u: np.ndarray, odd: int) -> tuple[float, float]:
-    """Best-bin estimate, fitted on every other row and measured on the rest, and the chance error of its shares."""
-    w = descend(p[1 - odd :: 2], u[1 - odd :: 2], None)
-    zp, zu = (np.sort(x[odd::2] @ w[:-1].astype(np.float32)) for x in (p, u))
-    cut = zp[: max(1, int(len(zp) * 0.9))]
-    above = lambda z: 1 - np.searchsorted(z, cut, "left") / len(z)
-    slack = np.sqrt(np.log(20) / 2 / len(zp)) + np.sqrt(np.log(20) / 2 / len(zu))
-    qp, qu = above(zp), above(zu)
+def cuts_of(p: np.ndarray, w: np.ndarray, odd: int) -> np.ndarray:
+    """Sorted scores of the positives that a fold's model wasn't fitted on: the cutoffs to measure its prior at."""
+    return np.sort(p[odd::2] @ w[:-1].astype(p.dtype) + p.dtype.type(w[-1]))
+
+
+def fold_prior(z: np.ndarray, above: np.ndarray, n: int) -> tuple[float, float]:
+    """Best-bin estimate from the sorted scores of held-out positives and the number of n held-out unlabelled rows at or above each, and the chance error of the shares."""
+    keep = max(1, int(len(z) * 0.9))
+    slack = np.sqrt(np.log(20) / 2 / len(z)) + np.sqrt(np.log(20) / 2 / n)
+    qp, qu = 1 - np.searchsorted(z, z[:keep], "left") / len(z), above[:keep] / n
     ratio = qu / qp
     best = np.argmin((qu + slack) / qp)
     alike = (np.abs(ratio - ratio[best]) <= slack) & (qp >= 0.2)  # as low as the best one, but for chance
     return float(np.quantile(ratio[alike], 0.25) if alike.any() else ratio[best]), float(slack)
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
+def estimate_prior(folds: list[tuple[float, float]]) -> float:
     """The class prior's lower confidence limit: the mean of both folds' estimates less their chance error.
 
     A prior that is too high leaves no risk to the negatives and makes every document a positive, one that is somewhat low does little harm."""
-    if len(p) < 2 or len(u) < 2:
+    if len(folds) < 2:
         return 0.5
-    folds = [_fold_prior(p, u, odd) for odd in (0, 1)]
     return float(np.clip(np.mean([x - slack for x, slack in folds]), 0.05, 0.95))
 
 
 class Model:
-    def __init__(self, p: np.ndarray, u: np.ndarray):
-        """Features of trusted positives and of unlabelled texts."""
-        if not len(p) or not len(u):
-            self.prior, self.weights = 0.5, np.zeros(WIDTH + 1)
-            return
-        self.centre, self.scale = u.mean(0), u.std(0) + 0.02
-        for x in (p, u):
-            x -= self.centre
-            x /= self.scale
-        self.prior = estimate_prior(p, u)
-        w = descend(p, u, self.prior, steps=400, rate=0.01, decay=1e-3)
-        self.weights = np.append(w[:-1] / self.scale, w[-1] - (w[:-1] * self.centre / self.scale).sum())
+    def __init__(self, centre: np.ndarray | None = None, scale: np.ndarray | None = None, prior: float = 0.5, w: np.ndarray | None = None):
+        """w: weights of centred and scaled features with a bias at the end; without any, all scores are 0.5."""
+        self.centre, self.scale, self.prior, self.weights = centre, scale, prior, np.zeros(WIDTH + 1)
+        if w is not None:
+            self.weights = np.append(w[:-1] / scale, w[-1] - (w[:-1] * centre / scale).sum())
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         return _sigmoid(features(data, off) @ self.weights[:-1].astype(np.float32) + self.weights[-1])
 
 
 def _share(rows: DataFrame, bound: int, seed: int) -> DataFrame:
-    """About nine tenths of `bound` rows, by a hash of the id; never more than `bound`."""
+    """At most `bound` distinct texts, those with the least hashes of a text; about nine tenths of the bound where there are more, so that no sort over all rows is needed."""
     share = min(1.0, 0.9 * bound / max(1, rows.count()))
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(bound)
+    key = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40))
+    near = rows.select("text", key.alias("_at")).filter(F.col("_at") <= int(share * (1 << 40)))
+    last = near.select("_at").distinct().orderBy("_at").limit(bound).agg(F.max("_at")).first()[0]  # numbers only; texts stay spread
+    return near.filter(F.col("_at") <= (-1 if last is None else last)).groupBy("_at").agg(F.min("text").alias("text")).select("text")
+
+
+def _sums(docs: DataFrame, make, width: int) -> np.ndarray:
+    """The sum of make(features, fold) over all rows of docs, by a few tasks after one for each partition; fold is a hash bit of the text."""
+
+    def run(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            data, off = utf8(batch, "text")
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            for a, b in row_ranges(off, 1 << 20):
+                total += make(features(data[off[a] : off[b]], off[a : b + 1] - off[a]), fold[a:b])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["raw"])
+
+    def merge(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            for raw in batch.column("raw"):
+                total += np.frombuffer(raw.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["raw"])
+
+    rows = docs.select("text", F.pmod(F.xxhash64("text", F.lit(31)), F.lit(2)).cast("int").alias("fold"))
+    few = lean(rows).mapInArrow(run, "raw binary").repartition(MERGERS).mapInArrow(merge, "raw binary").collect()  # MERGERS rows
+    return sum((np.frombuffer(bytes(r[0])) for r in few), np.zeros(width))
 
 
 def _features(rows: DataFrame) -> np.ndarray:
@@ -148,11 +170,40 @@ def _features(rows: DataFrame) -> np.ndarray:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """docs (doc_id, text): unlabelled text; trusted (doc_id): ids of positives among them."""
+    """docs (doc_id, text): unlabelled text; trusted (doc_id): ids of positives among them.
+
+    Centre and scale of the features, and the shares of unlabelled rows above each cutoff that the prior is read from, are sums over all rows of docs. Weights are descended on
+    samples of at most `positives` and `unlabelled` distinct texts, which are documented bounds."""
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    ids = _share(trusted.select("doc_id").filter("doc_id is not null").distinct(), positives, 5)
-    known = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(positives)  # at most `positives` ids
-    return Model(_features(known), _features(_share(docs, unlabelled, 9)))
+    ids = trusted.select("doc_id").filter("doc_id is not null").distinct()
+    p, u = _features(_share(docs.join(ids, "doc_id", "left_semi"), positives, 5)), _features(_share(docs, unlabelled, 9))
+    if not len(p) or not len(u):
+        return Model()
+    total = _sums(docs, lambda x, _: np.concatenate([[len(x)], x.sum(0, dtype=float), np.square(x, dtype=float).sum(0)]), 2 * WIDTH + 1)
+    n, mean = total[0], total[1 : WIDTH + 1] / total[0]
+    centre = mean.astype(np.float32)
+    scale = (np.sqrt(np.maximum(0, total[WIDTH + 1 :] / n - mean * mean)) + 0.02).astype(np.float32)
+    p, u = (p - centre) / scale, (u - centre) / scale
+    folds = []
+    if len(p) > 1 and len(u) > 1:
+        bit = np.arange(len(u)) % 2
+        ws = [descend(p[1 - odd :: 2], u[bit != odd], None) for odd in (0, 1)]
+        zs = [cuts_of(p, w, odd) for odd, w in enumerate(ws)]
+
+        def above(x: np.ndarray, fold: np.ndarray) -> np.ndarray:
+            x, out = (x - centre) / scale, []
+            for odd in (0, 1):
+                z = np.sort(x[fold == odd] @ ws[odd][:-1].astype(np.float32) + np.float32(ws[odd][-1]))
+                out += [[len(z)], len(z) - np.searchsorted(z, zs[odd], "left")]
+            return np.concatenate(out).astype(float)
+
+        got = _sums(docs, above, len(zs[0]) + len(zs[1]) + 2)
+        for odd in (0, 1):
+            here = got[odd * (len(zs[0]) + 1) :]
+            if here[0]:
+                folds.append(fold_prior(zs[odd], here[1 : len(zs[odd]) + 1], int(here[0])))
+    prior = estimate_prior(folds)
+    return Model(centre, scale, prior, descend(p, u, prior, steps=400, rate=0.01, decay=1e-3))
 
 
 def score(df: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:

@@ -5,13 +5,14 @@ without a stored count are encoded, and those are appended to the cache. The cac
 executors share: `cache_path`, else the session's spark.rxnframe.token_cache, else the folder token_cache beside the
 work tables in spark.checkpoint.dir, so that later calls find the counts of earlier ones. Each call appends a folder of
 its own, so writers don't disturb each other; what two of them stored counts once. Empty texts count 0 tokens. Repeated
-rows and equal texts share one encoding. An empty table gives an empty result. Columns named n_bytes, n_tokens or
+rows and equal texts share one encoding. Tokenizers are files of the libraries tokenizers (.json) and sentencepiece (.model). An empty table gives an empty result. Columns named n_bytes, n_tokens or
 over_limit (in any case) are replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 from functools import cache
@@ -20,19 +21,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxnframe.llm.common import chunks, fresh, lean, quoted, shared_root
+from rxnframe.llm.common import chunks, discard, fresh, lean, quoted, shared_root, table
 from rxnframe.llm.pretokenise import pieces
 
 CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
 CACHE_PIECES = 800_000
 
 
+#: Part of a version: changes when texts are counted in another way.
+WAY = b"pieces of the byte-level pattern, else whole texts"
+
+
 def tokenizer_digest(path: str) -> str:
-    """Changes with the tokenizer's file and with the library's version."""
+    """Changes with the tokenizer's file, with the library's version and with how it is called."""
+    import sentencepiece
     import tokenizers
 
+    library = sentencepiece.__version__ if path.endswith(".model") else tokenizers.__version__
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read() + library.encode() + WAY).hexdigest()
+
+
+def byte_level(path: str) -> bool:
+    """Whether a tokenizer splits texts by the byte-level pattern and changes nothing else before."""
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
+        told = json.load(f)
+    split = told.get("pre_tokenizer") or {}
+    return not told.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
 
 
 @cache
@@ -43,14 +58,26 @@ def _tokenizer(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return t, [x.content for x in t.get_added_tokens_decoder().values()], {}
+    return t, [x.content for x in t.get_added_tokens_decoder().values()], {}, byte_level(path)
+
+
+@cache
+def _sentences(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 def count_texts(texts: list[str], path: str) -> list[int]:
-    """Counts by the library. Texts are cut at piece boundaries, which its pre-tokeniser never merges across, so each distinct piece is encoded once; a text that holds a special string goes through whole."""
-    t, special, known = _tokenizer(path)
+    """Counts by the library. Where it splits by the byte-level pattern, texts are cut at piece boundaries, which it never merges across, so each distinct piece is encoded once; texts that hold a special string, and all texts of other tokenizers, go through whole."""
+    if path.endswith(".model"):
+        return [len(x) for x in _sentences(path).encode(texts, num_threads=1)] if texts else []
+    t, special, known, cuts = _tokenizer(path)
     out: list[int] = []
     for a, b in chunks(texts):
+        if not cuts:
+            out += map(len, t.encode_batch_fast(texts[a:b], add_special_tokens=False))
+            continue
         data, at, first = pieces(texts[a:b])
         at = at.tolist()
         found = [data[s:e] for s, e in zip(at, at[1:])]
@@ -90,7 +117,10 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
     (digest,) = fresh(df, "digest")
     text = F.coalesce(quoted(column), F.lit(""))
     keyed = df.withColumn(digest, F.sha2(text, 256))
-    misses = df.select(F.sha2(text, 256).alias("content_digest"), text.alias("content")).groupBy("content_digest").agg(F.first("content").alias("content")).join(stored(), "content_digest", "left_anti")
+    # Digests meet the cache first, so only texts without a stored count move.
+    asked = df.select(F.sha2(text, 256).alias("content_digest"), text.alias("content"))
+    unknown = table(asked.select("content_digest").distinct().join(stored(), "content_digest", "left_anti"))
+    misses = asked.join(unknown, "content_digest", "left_semi").groupBy("content_digest").agg(F.first("content").alias("content"))
 
     def run(batches):
         for batch in batches:
@@ -98,6 +128,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
     append(lean(misses).mapInArrow(run, CACHE))
+    discard(unknown)
     known = stored().withColumnRenamed("content_digest", digest)
     counted = keyed.withColumn("n_bytes", F.octet_length(text).cast("long")).join(known, digest, "left")
     return counted.select(*map(quoted, df.columns), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
