@@ -1,4 +1,8 @@
-"""Geometry over coordinate tables: graph_id, frame, node, element, x, y, z."""
+"""Geometry over coordinate tables: graph_id, frame, node, element, x, y, z.
+
+Neighbours within a radius are found by cells: in frames of more than SMALL atoms each atom meets the atoms of the 27 cells around it, cells being as wide as the radius, and
+cells of one frame are spread over tasks; smaller frames compare all their atoms where they are. Atoms whose coordinates are null, NaN or infinite are near nothing.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 from rxnframe.operators.nodes import HETERO
 
 XYZ = ("x", "y", "z")
+SMALL = 64
 
 
 def _moved(df: DataFrame, suffix: str, keep: list[str]) -> DataFrame:
@@ -25,11 +30,55 @@ def pairs(coords: DataFrame, keys=("graph_id", "frame")) -> DataFrame:
     return _moved(coords, "i", keys).join(_moved(coords, "j", keys), keys).filter("node_i < node_j").withColumn("d", distance("i", "j"))
 
 
+def _large(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of small and of large frames, with finite coordinates."""
+    finite = [F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf")) for c in XYZ]
+    sized = df.filter(finite[0] & finite[1] & finite[2]).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    return sized.filter(F.col("_n") <= SMALL).drop("_n"), sized.filter(F.col("_n") > SMALL).drop("_n")
+
+
+def _cell(c: str, radius: float) -> Column:
+    return F.floor(F.col(c) / radius)
+
+
+def _in_cells(df: DataFrame, radius: float, keys: list[str], around: bool) -> DataFrame:
+    """df by cells; with around, each row in its own and all neighbouring ones."""
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    for c in XYZ:
+        df = df.withColumn(f"_s{c}", step).withColumn(f"_c{c}", _cell(c, radius) + F.col(f"_s{c}")).drop(f"_s{c}") if around else df.withColumn(f"_c{c}", _cell(c, radius))
+    return df.repartition(*keys, *[f"_c{c}" for c in XYZ])  # a large frame is spread, whatever it was grouped by before
+
+
+def within(left: DataFrame, right: DataFrame, radius: float, keys=("graph_id", "frame")) -> DataFrame:
+    """Pairs of a left and a right atom of one frame, not the same, that are nearer than the radius, with their distance d; columns end in _i and _j. The left side decides which frames are large."""
+    keys = [*keys]
+    size = left.groupBy(*keys).agg(F.count("*").alias("_k")).join(right.groupBy(*keys).agg(F.count("*").alias("_m")), keys)
+    big = size.filter(F.col("_k") * F.col("_m") > SMALL * SMALL).select(*keys)
+    a, b = (x.filter(sum((F.col(c) * 0 for c in XYZ), F.lit(0.0)) == 0) for x in (left, right))  # finite
+    near = _moved(a.join(big, keys, "left_anti"), "i", keys).join(_moved(b, "j", keys), keys)
+    cells = [*keys, *[f"_c{c}" for c in XYZ]]
+    far = _moved(_in_cells(a.join(big, keys, "left_semi"), radius, keys, False), "i", cells).join(_moved(_in_cells(b.join(big, keys, "left_semi"), radius, keys, True), "j", cells), cells).drop(*cells[len(keys) :])
+    out = near.unionByName(far).withColumn("d", distance("i", "j"))
+    return out.filter((F.col("d") < radius) & (F.col("node_i") != F.col("node_j")))
+
+
+def near_pairs(coords: DataFrame, radius: float, keys=("graph_id", "frame")) -> DataFrame:
+    """Unordered pairs (node_i < node_j) of a frame's atoms that are nearer than the radius, with their distance d. Work follows atoms and found pairs, not the square of a frame."""
+    keys = [*keys]
+    small, large = _large(coords, keys)
+    near = pairs(small, keys)
+    cells = [*keys, *[f"_c{c}" for c in XYZ]]
+    far = _moved(_in_cells(large, radius, keys, False), "i", cells).join(_moved(_in_cells(large, radius, keys, True), "j", cells), cells)
+    far = far.filter("node_i < node_j").drop(*cells[len(keys) :]).withColumn("d", distance("i", "j"))
+    return near.unionByName(far).filter(F.col("d") < radius)
+
+
 def perceive_bonds(coords: DataFrame, elements: DataFrame, scale: float = 1.2, hydrogen_scale: float = 1.5) -> tuple[DataFrame, DataFrame]:
     """Bonds (graph_id, frame, u < v, d) of atoms nearer than scale * (r_i + r_j), and frames (graph_id, frame) rejected because an atom exceeds its most bonds."""
     dim = elements.select("element", "radius", "most")
     known = coords.join(dim, "element")
-    p = pairs(known)
+    reach = dim.agg(F.max(2 * F.col("radius") * F.when(F.col("element") == "H", max(scale, hydrogen_scale)).otherwise(scale))).first()[0] or 1.0
+    p = near_pairs(known, reach)
     near = F.when((F.col("element_i") == "H") & (F.col("element_j") == "H"), F.lit(max(scale, hydrogen_scale))).otherwise(F.lit(scale))
     b = p.filter((F.col("d") > 0) & (F.col("d") < near * (F.col("radius_i") + F.col("radius_j"))))
     ends = b.select("graph_id", "frame", F.explode(F.array(F.struct(F.col("node_i").alias("node"), F.col("most_i").alias("most")), F.struct(F.col("node_j").alias("node"), F.col("most_j").alias("most")))).alias("e"))
@@ -46,7 +95,7 @@ def hbond_contacts(coords: DataFrame, bonds: DataFrame, tolerance: float = 2.5)
     h = coords.filter("element = 'H'").join(one.select("graph_id", F.col("u").alias("node"), F.col("v").alias("host")), ["graph_id", "node"])
     h = h.join(hetero.select("graph_id", "frame", F.col("node").alias("host")), ["graph_id", "frame", "host"], "left_semi").drop("host")
     keys = ["graph_id", "frame"]
-    x = _moved(h, "i", keys).join(_moved(hetero, "j", keys), keys).withColumn("d", distance("i", "j")).filter(F.col("d") < tolerance)
+    x = within(h, hetero, tolerance, keys)
     x = x.select(*keys, F.col("node_i").alias("u"), F.col("node_j").alias("v"), "d")
     return x.join(bonds, ["graph_id", "u", "v"], "left_anti").select(*keys, "u", "v", "d")
 
@@ -143,10 +192,14 @@ def motion_indicators(coords: DataFrame, modes: DataFrame, elements: DataFrame,
     """along a mode (mx, my, mz per atom), pairs within scale * (r_i + r_j) rank by how much their distance changes (to 9 digits, ties by node). Per graph: mean and least change of the target pairs (0 for one out of range), the sum of non-target changes ranked above the worst target, and the longest target pair."""
     keys = ["graph_id"]
     at = coords.join(modes, ["graph_id", "node"]).join(elements.select("element", "radius"), "element")
-    p = _moved(at.select("graph_id", "node", "radius", *XYZ, "mx", "my", "mz"), "i", keys).join(_moved(at.select("graph_id", "node", "radius", *XYZ, "mx", "my", "mz"), "j", keys), keys).filter("node_i < node_j")
+    at = at.select("graph_id", "node", "radius", *XYZ, "mx", "my", "mz")
+    t = targets.select("graph_id", F.col("u").alias("node_i"), F.col("v").alias("node_j")).distinct().withColumn("target", F.lit(True))
+    reach = 2 * scale * (elements.agg(F.max("radius")).first()[0] or 1.0)
+    aimed = _moved(at, "i", keys).join(t.drop("target"), ["graph_id", "node_i"]).join(_moved(at, "j", keys), ["graph_id", "node_j"]).filter("node_i < node_j")
+    close = near_pairs(at, reach, keys).drop("d")
+    p = close.join(t.drop("target"), ["graph_id", "node_i", "node_j"], "left_anti").unionByName(aimed)
     gap = lambda s: F.sqrt(sum(((F.col(f"{c}_i") + s * F.col(f"m{c}_i") - F.col(f"{c}_j") - s * F.col(f"m{c}_j")) ** 2 for c in XYZ), F.lit(0.0)))
     p = p.withColumns({"d": gap(0.0), "change": F.round(F.abs(gap(step) - gap(-step)), 9)})
-    t = targets.select("graph_id", F.col("u").alias("node_i"), F.col("v").alias("node_j")).distinct().withColumn("target", F.lit(True))
     p = p.join(t, ["graph_id", "node_i", "node_j"], "left").fillna(False, ["target"])
     near = (F.col("d") > 0) & (F.col("d") < scale * (F.col("radius_i") + F.col("radius_j")))
     p = p.filter(near | F.col("target")).withColumn("near", near).withColumn("change", F.when(F.col("near"), F.col("change")).otherwise(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rxnframe.operators import edges as E
 from rxnframe.operators import nodes as N
 from rxnframe.operators import selection as S
+from rxnframe.operators.neighbours import knn_join
 from rxnframe.plans import fixtures as X
 from rxnframe.plans.fixtures import cte, read
 from rxnframe.plans.registry import query
@@ -187,9 +188,9 @@ def a18(spark, sf):
 
 @query("c12_knn_join", "with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null), p as (select a.vec_id, b.vec_id as neighbour, list_distance(a.e, b.e) as d from v a join v b on a.vec_id <> b.vec_id), r as (select *, row_number() over (partition by vec_id order by d, neighbour)::int as rank from p) select vec_id, neighbour, round(d, 6) as distance, rank from r where rank <= 5")
 def c12(spark, sf):
-    return R.knn_join(read(spark, sf, "embeddings"), 5).withColumn("distance", F.round("distance", 6))
+    return knn_join(read(spark, sf, "embeddings"), 5).withColumn("distance", F.round("distance", 6))
 
 
 @query("c12_knn_cosine", "with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null), p as (select a.vec_id, b.vec_id as neighbour, list_cosine_similarity(a.e, b.e) as s from v a join v b on a.vec_id <> b.vec_id), r as (select *, row_number() over (partition by vec_id order by 1 - s, neighbour)::int as rank from p) select vec_id, neighbour, round(1 - s, 6) as distance, rank from r where rank <= 3")
 def c12_cosine(spark, sf):
-    return R.knn_join(read(spark, sf, "embeddings"), 3, metric="cosine").withColumn("distance", F.round("distance", 6))
+    return knn_join(read(spark, sf, "embeddings"), 3, metric="cosine").withColumn("distance", F.round("distance", 6))
