@@ -10,8 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rxnframe.functions.columns import dot, matrix_vector
 
@@ -109,17 +112,109 @@ def combine_residual(mode: str, new: Column, old: Column, w_old: Matrix | None =
     return F.transform(pairs, lambda t: t.g * t.a + (1 - t.g) * t.b)
 
 
+class _Running:
+    """Nodes of the graphs at hand with their running softmax: greatest logit, sum of weights, gated weighted values and sum of gates."""
+
+    def __init__(self, graph: np.ndarray, node: np.ndarray, x: np.ndarray, width: int):
+        self.graph, self.node, self.x, self.width = graph, node, x, width
+        self.top, self.total, self.degree, self.value = np.full(len(node), -np.inf), np.zeros(len(node)), np.zeros(len(node)), np.zeros((len(node), width))
+
+    def joined(self, other: _Running) -> _Running:
+        out = object.__new__(_Running)
+        out.width = self.width
+        for c in ("graph", "node", "x", "top", "total", "degree", "value"):
+            setattr(out, c, np.concatenate([getattr(self, c), getattr(other, c)]))
+        return out
+
+    def taken(self, rows: np.ndarray) -> _Running:
+        out = object.__new__(_Running)
+        out.width = self.width
+        for c in ("graph", "node", "x", "top", "total", "degree", "value"):
+            setattr(out, c, getattr(self, c)[rows])
+        return out
+
+    def places(self, graph: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Rows of the nodes, -1 for those that aren't there; nodes are sorted."""
+        if not len(self.node):
+            return np.full(len(node), -1)
+        low = min(self.node.min(), node.min(initial=0))
+        wide = int(max(self.node.max(), node.max(initial=0)) - low) + 1
+        known, want = self.graph * wide + self.node - low, graph * wide + node - low
+        at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+        return np.where(known[at] == want, at, -1)
+
+    def add(self, i: np.ndarray, j: np.ndarray, e: np.ndarray, g: np.ndarray, clip: tuple[float, float]) -> None:
+        """A block of pairs: what came before shrinks to the new greatest logit, then the block's weights join it."""
+        w = self.width
+        logit = np.clip((self.x[i, :w] * self.x[j, w : 2 * w]).sum(1) / math.sqrt(w), *clip) + e
+        gate = 1 / (1 + np.exp(-g))
+        top = self.top.copy()
+        np.maximum.at(top, i, logit)
+        with np.errstate(invalid="ignore"):
+            shrink = np.where(np.isfinite(self.top), np.exp(self.top - top), 0.0)
+        self.top, self.total = top, self.total * shrink
+        self.value *= shrink[:, None]
+        weight = np.exp(logit - top[i])
+        np.add.at(self.total, i, weight)
+        np.add.at(self.degree, i, gate)
+        np.add.at(self.value, i, (weight * gate)[:, None] * self.x[j, 2 * w :])
+
+
 def pair_attention(nodes: DataFrame, pairs: DataFrame, width: int, clip: tuple[float, float] = (-5.0, 5.0), scale_degree: bool = False) -> DataFrame:
-    """Dense gated attention inside each graph. nodes: q, k, v arrays of `width`; pairs: graph_id, node, other, e (bias), g (gate), for every ordered pair."""
-    k = nodes.select("graph_id", F.col("node").alias("other"), F.col("k").alias("_k"), F.col("v").alias("_v"))
-    x = pairs.join(nodes.select("graph_id", "node", F.col("q").alias("_q")), ["graph_id", "node"]).join(k, ["graph_id", "other"])
-    logit = F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), dot(F.col("_q"), F.col("_k")) / math.sqrt(width))) + F.col("e")
-    x = x.withColumn("logit", logit).withColumn("gate", 1 / (1 + F.exp(-F.col("g"))))
-    top = x.groupBy("graph_id", "node").agg(F.max("logit").alias("_m"))
-    x = x.join(top, ["graph_id", "node"]).withColumn("w", F.exp(F.col("logit") - F.col("_m")))
-    out = x.groupBy("graph_id", "node").agg(F.sum("w").alias("_s"), F.sum("gate").alias("_d"), *[F.sum(F.col("w") * F.col("gate") * F.col("_v")[j]).alias(f"_v{j}") for j in range(width)])
-    scale = F.log1p("_d") if scale_degree else F.lit(1.0)
-    return out.select("graph_id", "node", F.array(*[F.col(f"_v{j}") / F.col("_s") * scale for j in range(width)]).alias("h"))
+    """Dense gated attention inside each graph. nodes: q, k, v arrays of `width`; pairs: graph_id, node, other, e (bias), g (gate), for every ordered pair.
+
+    Nodes and pairs move once, by graph_id, and no pair is joined: a partition runs through its pairs in blocks, with a running maximum and sum for each node, so a task holds the nodes of
+    the graphs of one batch and one batch of pairs. Nodes without pairs have no row; pairs of unknown nodes or with null bias or gate are left out, as are rows without a graph; an empty table gives no rows."""
+    wide = T.ArrayType(T.DoubleType())
+    x = F.concat(*[F.col(c).cast(wide) for c in "qkv"])
+    long = lambda c: F.col(c).cast("long")
+    a = nodes.filter("graph_id is not null and node is not null").select("graph_id", F.lit(0).alias("kind"), long("node").alias("node"), F.lit(None).cast("long").alias("other"), x.alias("x"), F.lit(None).cast("double").alias("e"), F.lit(None).cast("double").alias("g"))
+    b = pairs.filter("graph_id is not null and node is not null and other is not null and e is not null and g is not null")
+    b = b.select("graph_id", F.lit(1).alias("kind"), long("node").alias("node"), long("other").alias("other"), F.lit(None).cast(wide).alias("x"), F.col("e").cast("double"), F.col("g").cast("double"))
+    schema = T.StructType([T.StructField("graph_id", nodes.schema["graph_id"].dataType), T.StructField("node", T.LongType()), T.StructField("h", wide)])
+
+    def told(ids: list, r: _Running) -> pa.RecordBatch:
+        some = r.total > 0
+        h = r.value[some] / r.total[some, None] * (np.log1p(r.degree[some, None]) if scale_degree else 1.0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) * width + 1, width), pa.int32()), pa.array(h.ravel()))
+        names = pa.array([ids[k] for k in r.graph[some].tolist()], kind_of[0])
+        return pa.RecordBatch.from_arrays([names, pa.array(r.node[some]), lists], names=["graph_id", "node", "h"])
+
+    kind_of: list = [None]
+
+    def run(batches):
+        held, name = None, None  # the last graph's nodes, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = batch.column("graph_id")
+            kind_of[0] = col.type
+            new = np.append(True, pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False))
+            graph, ids = np.cumsum(new) - 1, col.filter(pa.array(new)).to_pylist()
+            if held is not None and ids[0] != name:
+                yield told([name], held)
+                held = None
+            is_node = batch.column("kind").to_numpy() == 0
+            flat = batch.column("x").filter(pa.array(is_node)).flatten().to_numpy(zero_copy_only=False)
+            node = batch.column("node").to_numpy()
+            here = _Running(graph[is_node], node[is_node], flat.reshape(-1, 3 * width), width)
+            here = here if held is None else held.joined(here)
+            order = np.lexsort((here.node, here.graph))
+            here = here.taken(order)
+            p = ~is_node
+            other = batch.column("other").fill_null(0).to_numpy()
+            i, j = here.places(graph[p], node[p]), here.places(graph[p], other[p])
+            good = (i >= 0) & (j >= 0)
+            if good.any():
+                e, g = (batch.column(c).fill_null(0.0).to_numpy()[p][good] for c in "eg")
+                here.add(i[good], j[good], e, g, clip)
+            yield told(ids, here.taken(np.flatnonzero(here.graph < graph[-1])))
+            held, name = here.taken(np.flatnonzero(here.graph == graph[-1])), ids[-1]
+            held.graph = np.zeros(len(held.graph), np.int64)
+        if held is not None:
+            yield told([name], held)
+
+    return a.unionByName(b).repartition("graph_id").sortWithinPartitions("graph_id", "kind", "other").mapInArrow(run, schema)
 
 
 def erf(x: np.ndarray) -> np.ndarray:
