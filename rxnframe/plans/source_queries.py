@@ -12,7 +12,9 @@ from rxnframe.plans import fixtures as X
 from rxnframe.plans.fixtures import cte, read
 from rxnframe.plans.registry import query
 from rxnframe.session import work_dir
+from rxnframe.sources import lines as L
 from rxnframe.sources import records as R
+from rxnframe.sources import store as K
 from rxnframe.sources import text as T
 
 
@@ -55,6 +57,13 @@ def a4(spark, sf):
     return spark.read.schema("graph_id long, key string, DE double, rxntype string").parquet(path)
 
 
+@query("a4_bucketed_store", cte("eu") + "select graph_id, u, v, r_order, p_order from eu")
+def a4_store(spark, sf):
+    n = X.shared_nodes(spark, sf)
+    r, p = (K.load(spark, K.save(X.bonds(spark, sf, side, n))) for side in "rp")
+    return E.edge_union(r, p)
+
+
 @query("a5_class_catalogue", _REC + "select rxntype, count(*) as n from rec group by rxntype")
 def a5(spark, sf):
     return R.class_catalogue(_records(spark, sf))
@@ -85,6 +94,22 @@ def a9(spark, sf):
     return R.read_graphs(spark, path, "graph_id long, key string, rxntype string, split string", "^b[12]f", ["val", "test"], format="json")
 
 
+_SHAPED = "select event_id, event_type as rxntype, case when event_id % 4 > 0 then case event_id % 3 when 0 then 'train' when 1 then 'val' else 'test' end end as split, case when event_id % 2 = 0 then value end as energy, event_id % 7 as first from events"
+
+
+@query("a9_document_store", f"select event_id, rxntype, split, energy, case when event_id % 5 > 0 then first end as first from ({_SHAPED}) where rxntype in ('click', 'purchase') and split in ('train', 'test')")
+def a9_store(spark, sf):
+    k = F.col("event_id")
+    split = F.when(k % 4 > 0, F.when(k % 3 == 0, "train").when(k % 3 == 1, "val").otherwise("test"))
+    known = [F.col("event_type").alias("rxntype"), split.alias("split"), F.when(k % 2 == 0, F.col("value").cast("double")).alias("DE")]
+    # One record in five has words where the others have numbers.
+    text = F.when(k % 5 > 0, F.to_json(F.struct(*known, F.array(k % 7, k).alias("u")))).otherwise(F.to_json(F.struct(*known, F.array(F.lit("none")).alias("u"), F.struct(k.alias("id")).alias("who"))))
+    path = work_dir(spark)
+    K.write_documents(read(spark, sf, "events").select("event_id", text.alias("doc")), path, fields={"split": "string"})
+    some = K.read_documents(spark, path, "event_id long, doc variant, split string, rxntype string", ["click", "purchase"], ["train", "test"])
+    return K.extract(some, {"energy": ("$.DE", "double"), "first": ("$.u[0]", "long")}).drop("doc")
+
+
 _NOTE = "select graph_id, frame, printf('energy: %.4f q %d', max(l_extendedprice::double) + frame, sum(charge)::bigint) as comment from n, (values (0), (1)) f(frame) group by graph_id, frame"
 _TXT = "select graph_id, string_agg(part, chr(10) order by frame) as text from (select graph_id, frame, count(*) || chr(10) || comment || chr(10) || string_agg(printf('%s %.6f %.6f %.6f', element, x, y, z), chr(10) order by node) as part from co join nt using (graph_id, frame) group by graph_id, frame, comment) group by graph_id"
 
@@ -107,6 +132,14 @@ def a10(spark, sf):
     return T.explode_frames(_texts(spark, sf).withColumn("text", broken))[0]
 
 
+@query("a10_read_frames", cte("co") + "select element, frame % 2 as side, count(*) as n, round(sum(x), 4) as x, round(sum(y), 4) as y, round(sum(z), 4) as z from co group by all")
+def a10_files(spark, sf):
+    path = work_dir(spark)
+    _texts(spark, sf).select("text").write.text(path)  # frames of many graphs in each file
+    coords = L.read_frames(spark, path)[0]
+    return coords.groupBy("element", (F.col("frame") % 2).cast("long").alias("side")).agg(F.count("*").alias("n"), *[F.round(F.sum(c), 4).alias(c) for c in "xyz"])
+
+
 @query("a10_frame_rejects", "select distinct l_orderkey as graph_id, 'frames' as stage, 'line count' as reason from lineitem where l_orderkey % 10 = 0")
 def a10_rejects(spark, sf):
     broken = F.when(F.col("graph_id") % 10 == 0, F.concat("text", F.lit("\nX"))).otherwise(F.col("text"))
@@ -165,7 +198,8 @@ _RULES = "select graph_id, case when n_heavy = 0 then 'no heavy atom' when n_H >
 
 
 def _split(spark, sf):
-    return R.split_rejects(N.composition(X.atoms(spark, sf)), "build", {"no heavy atom": F.col("n_heavy") == 0, "too many hydrogens": F.col("n_H") > 3})
+    rules = {"no heavy atom": F.col("n_heavy") == 0, "too many hydrogens": F.col("n_H") > 3}
+    return K.write_checked(N.composition(X.atoms(spark, sf)), work_dir(spark), "build", rules)
 
 
 @query("a17_rejects", cte("n", k=_RULES) + "select graph_id, 'build' as stage, reason from k where reason is not null")
@@ -173,6 +207,11 @@ def a17(spark, sf):
     return _split(spark, sf)[1]
 
 
+@query("a17_outcomes", cte("n", k=_RULES) + "select coalesce(reason, 'ok') as outcome, count(*) as n from k group by 1")
+def a17_counts(spark, sf):
+    return spark.createDataFrame([(k, n) for k, n in _split(spark, sf)[2].items() if n], "outcome string, n long")
+
+
 @query("a17_accepted", cte("n", k=_RULES) + "select graph_id from k where reason is null")
 def a17_ok(spark, sf):
     return _split(spark, sf)[0].select("graph_id")
