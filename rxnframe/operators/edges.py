@@ -90,3 +90,9 @@ def group_by_change(changes: DataFrame) -> DataFrame:
 def group_ids(df: DataFrame, key: str, ids: str) -> DataFrame:
     """Sorted ids per key, with their number."""
     return df.groupBy(key).agg(F.array_sort(F.collect_list(ids)).alias("ids"), F.count("*").alias("n"))
+
+
+def grouped_rows(df: DataFrame, key: str, ids: str) -> DataFrame:
+    """Key, id and n (ids of the key) as rows, for groups of any size: counts come from an aggregate and no list is built. A key that many rows share splits in the join."""
+    n = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
+    return df.select(key, ids).join(n, df[key].eqNullSafe(n["_key"])).drop("_key")

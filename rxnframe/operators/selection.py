@@ -101,8 +101,22 @@ def build_registry(df: DataFrame, eps: float = 5 / 627.5) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """A seeded shuffle's first n rows."""
-    return df.orderBy(hash_bucket(key, seed), key).limit(n)
+    """A seeded shuffle's first n rows, in no order. Rows whose hash lies below a bound are taken where they are; only those in the bound's own range of the hash, one of 4096, are ranked."""
+    part = F.shiftright(F.col("_b"), 20)
+    x = df.withColumn("_b", hash_bucket(key, seed))
+    sizes = sorted((r[0] if r[0] is not None else -1, r[1]) for r in x.groupBy(part.alias("_part")).agg(F.count("*")).collect())  # 4097 rows at most
+    taken, last = 0, None
+    for p, size in sizes:
+        if taken + size > n:
+            last = p
+            break
+        taken += size
+    if last is None:
+        return df
+    place = F.coalesce(part, F.lit(-1))
+    rank = F.row_number().over(Window.orderBy("_b", key))
+    rest = x.filter(place == last).withColumn("_r", rank).filter(F.col("_r") <= n - taken).drop("_r")
+    return x.filter(place < last).unionByName(rest).drop("_b")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rxnframe.functions import columns as K
+from rxnframe.operators import edges as E
 from rxnframe.operators import nodes as N
 from rxnframe.operators import reactions as R
 from rxnframe.operators import selection as S
@@ -144,6 +145,12 @@ def d2(spark, sf):
     return R.group_by_product(df, "product_key", "graph_id").select("product_key", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n")
 
 
+@query("d2_grouped_rows", cte("rx", s=_SIDES, k="select graph_id, array_to_string(list_sort(pf), '.') as product_key from s") + "select product_key, graph_id, count(*) over (partition by product_key) as n from k")
+def d2_rows(spark, sf):
+    df = _rx(spark, sf).select("graph_id", K.side_key(F.col("product")).alias("product_key"))
+    return E.grouped_rows(df, "product_key", "graph_id")
+
+
 @query("d5_dedupe_within_gap", cte("tg") + 'select key, graph_id, "DE" from (select key, graph_id, "DE", lag("DE") over (partition by key order by "DE", graph_id) as b from tg) where b is null or "DE" - b > 250')
 def d5(spark, sf):
     return S.dedupe_within(X.targets(spark, sf).select("key", "graph_id", "DE"), "key", "DE", "graph_id", 250.0, "gap")

@@ -29,22 +29,37 @@ def session(name: str = "rxnframe", **conf: str) -> SparkSession:
     return tune(SparkSession.builder.appName(name).config(map=conf).getOrCreate())
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; one of our own only where all run in one machine and the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.rxnframe.workdir", None)
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder; one of our own only where all run in one machine and the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.rxnframe.workdir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="rxnframe-")
         spark.conf.set("spark.rxnframe.workdir", root)
-    return f"{root.rstrip('/')}/rxnframe/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/rxnframe/{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage of an iteration."""
+    """Write df to the shared folder and read it again: cuts the lineage of an iteration and outlives lost executors."""
     path = work_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.rxnframe_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete work tables that nothing will read any more."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "rxnframe_path", None)):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
