@@ -1,16 +1,15 @@
-"""Helpers shared by the corpus operators: the shared work folder, tables, and vectorised word hashing."""
+"""Helpers shared by the corpus operators: columns and batches, and vectorised word hashing. Work folder and tables are the session's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from rxnframe.session import discard, shared_root, table, work_dir  # noqa: F401
+
 BATCH_BYTES, BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -20,40 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where all run in one machine and the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.rxnframe.workdir", None)
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="rxnframe-")
-        spark.conf.set("spark.rxnframe.workdir", root)
-    return root.rstrip("/")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/rxnframe/{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and outlives lost executors."""
-    spark, path = df.sparkSession, work_dir(df.sparkSession)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.rxnframe_path = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete work tables that nothing will read any more."""
-    for t in tables:
-        if t is not None and (path := getattr(t, "rxnframe_path", None)):
-            jvm = t.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until no column of df bears them in any case."""
     taken, out = {c.lower() for c in df.columns}, []
