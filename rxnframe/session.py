@@ -31,7 +31,8 @@ def session(name: str = "rxnframe", **conf: str) -> SparkSession:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder; one of our own only where all run in one machine and the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.rxnframe.workdir", None)
+    told = getattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or told() or spark.conf.get("spark.rxnframe.workdir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
