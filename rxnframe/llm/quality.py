@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rxnframe.llm.common import adding, assemble, lean, local_rows, mapped, row_ranges, utf8, words
 
-POSITIVES, UNLABELLED, CUTOFF, MERGERS = 2500, 4500, 0.3, 16
+POSITIVES, UNLABELLED, CUTOFF, MERGERS, RANGE = 2500, 4500, 0.3, 16, 1 << 18
 _SHAPE = np.zeros(256, np.int64)
 _SHAPE[97:123], _SHAPE[65:91], _SHAPE[48:58], _SHAPE[[9, 11, 12, 13, 32]], _SHAPE[10] = 1, 2, 3, 4, 5
 _SHAPE[128:192], _SHAPE[192:] = 6, 7
@@ -139,7 +139,7 @@ def _sums(docs: DataFrame, make, width: int) -> np.ndarray:
         for batch in batches:
             data, off = utf8(batch, "text")
             fold = batch.column("fold").to_numpy(zero_copy_only=False)
-            for a, b in row_ranges(off, 1 << 20):
+            for a, b in row_ranges(off, RANGE):
                 total += make(features(data[off[a] : off[b]], off[a : b + 1] - off[a]), fold[a:b])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["raw"])
 
@@ -161,7 +161,7 @@ def _features(rows: DataFrame) -> np.ndarray:
     def run(batches):
         for batch in batches:
             data, off = utf8(batch, "text")
-            for a, b in row_ranges(off, 1 << 20):
+            for a, b in row_ranges(off, RANGE):
                 packed = [zlib.compress(x.tobytes(), 1) for x in features(data[off[a] : off[b]], off[a : b + 1] - off[a])]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["packed"])
 
@@ -214,7 +214,7 @@ def score(df: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, off = utf8(batch, "text")
-            s = np.concatenate([shared.value.score(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in row_ranges(off, 1 << 20)] or [np.zeros(0)])
+            s = np.concatenate([shared.value.score(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in row_ranges(off, RANGE)] or [np.zeros(0)])
             yield assemble(batch, keep, {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= cutoff).astype(np.int32), pa.int32())})
 
     return mapped(df, run, schema)
