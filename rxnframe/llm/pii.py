@@ -4,9 +4,10 @@ Base spans (email, ip, card, phone) are regular expressions with checks of their
 with (at), [dot] and blanks, dotted quads written apart, IPv6, and groups of digits with any separators, which are proposed as card and as phone. Boosted trees score a
 candidate by its format (digits, groups, their lengths, Luhn, octets, brackets) and context (words before it, letters that touch it). They learn from candidates
 that rules decide: full base forms against those that fail their checks, look like dates or stick to letters; undecided ones are only scored. A kind's
-threshold is the least score at which labelled candidates of held-out texts are right with the wanted `precision`; what scores as much and overlaps no base span is added.
+threshold is the least score at which labelled candidates are right with the wanted `precision`; what scores as much and overlaps no base span is added.
 
-Training reads at most about `sample` texts, chosen by a hash, and at most about `labelled` candidates: documented bounds. Without candidates of both labels nothing is added.
+Every labelled candidate of every text counts, in the trees, in their limits and in the thresholds: equal ones are one row with a weight, a split is sought among all values
+that a feature takes, and a candidate's score for the thresholds is of trees that learned from the other texts (cross-fitting). Without candidates of both labels nothing is added.
 
 All work on a text is one projection, without a shuffle. Patterns are written without backtracking over long runs, places come from two-level sums over the pieces
 between matches, so long texts cost little more than their length. Places count code points. Null text is empty and stays null. Repeated rows give the same each; an empty table gives an empty
@@ -24,7 +25,7 @@ from rxnframe.llm.common import discard, fresh, quoted, table
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-SAMPLE, LABELLED, PRECISION, AROUND = 20_000, 50_000, 0.95, 24
+FOLDS, PRECISION, AROUND = 2, 0.95, 24
 #: The contract's patterns. A run of characters is tried from its start or from the end of the match before only, and never given back: what matches is the same.
 BASE = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -169,42 +170,61 @@ class Model:
         return 1 / (1 + F.exp(-2 * sum((w * grown(t) for t, w in zip(self.trees, self.weights)), F.lit(0.0))))
 
 
-def _tree(node):
+def _tree(node, limits: list):
     if node.getClass().getSimpleName() == "LeafNode":
         return node.prediction()
     s = node.split()
-    return FEATURES[s.featureIndex()], s.threshold(), _tree(node.leftChild()), _tree(node.rightChild())
+    sides = [_tree(n, limits) for n in (node.leftChild(), node.rightChild())]
+    return (*limits[s.featureIndex()], *(sides if 0.0 in list(s.leftCategories()) else reversed(sides)))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, labelled: int = LABELLED, precision: float = PRECISION, rounds: int = 20, depth: int = 3) -> Model | None:
-    """Boosted trees and thresholds from the texts' own labelled candidates; None without candidates of both labels."""
+def learnable(docs: DataFrame) -> DataFrame:
+    """All labelled candidates of all texts: features, label, and n, how many are equal in both. Copies of a text have one fold."""
+    rows = docs.filter("text is not null").select(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(FOLDS)).cast("int").alias("fold"), F.explode(candidates(F.col("text"))).alias("c"))
+    return rows.select("fold", label(F.col("c")).alias("label"), "c.f.*").filter("label is not null").groupBy("fold", "label", *FEATURES).agg(F.count("*").alias("n"))
+
+
+def _limits(rows: DataFrame) -> list[tuple[str, float]]:
+    """Feature and number, for each middle between two values next to each other that a feature takes in any row. The generators' patterns bound how many there are."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(name).alias("v")) for i, name in enumerate(FEATURES)]))
+    values = sorted((r.i, r.v) for r in rows.select(pairs.alias("p")).select("p.*").distinct().collect())
+    return [(FEATURES[i], (v + w) / 2) for (i, v), (j, w) in zip(values, values[1:]) if i == j]
+
+
+def _train(rows: DataFrame, limits: list[tuple[str, float]], rounds: int, depth: int) -> Model | None:
+    """Boosted trees of weighted rows; None without both labels. Whether a limit is passed is a feature of two categories each: for numbers Spark would draw a sample of rows to place its splits."""
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    texts = docs.select("text").filter("text is not null")
-    share = min(1.0, sample / max(1, texts.count()))
-    key = F.xxhash64("text", F.lit(17))
-    texts = texts.filter(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = texts.select((F.pmod(F.xxhash64("text", F.lit(23)), F.lit(5)) == 0).alias("held"), F.explode(candidates(F.col("text"))).alias("c"))
-    rows = table(rows.select("held", label(F.col("c")).alias("label"), "c.f.*").filter("label is not null"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    model = None
-    if len(counts) == 2:
-        share = min(1.0, labelled / sum(counts.values()))
-        some = rows.filter(F.pmod(F.xxhash64(*FEATURES, F.lit(29)), F.lit(1 << 20)) < int(share * (1 << 20)))  # equal rows stay or go together
-        train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(some.filter("not held")).select("features", F.col("label").cast("double"))
-        if train.select("label").distinct().count() == 2:
-            made = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=7, minInstancesPerNode=3).fit(train)
-            model = Model([_tree(t._java_obj.rootNode()) if hasattr(t, "_java_obj") else _tree(t.rootNode()) for t in made.trees], list(made.treeWeights))
-            _calibrate(model, rows.filter("held"), precision)
+    from pyspark.ml.functions import array_to_vector
+
+    got = rows.agg(F.sum("n").alias("n"), F.countDistinct("label").alias("labels")).first()
+    if got["labels"] < 2 or not limits:
+        return None
+    passed = lambda name: F.transform(F.array(*[F.lit(v) for k, v in limits if k == name]), lambda v: (F.col(name) > v).cast("double"))
+    attrs = {"ml_attr": {"attrs": {"binary": [{"idx": i, "name": f"{name} {v}"} for i, (name, v) in enumerate(limits)]}, "num_attrs": len(limits)}}
+    vector = array_to_vector(F.flatten(F.array(*map(passed, dict(limits))))).alias("features", metadata=attrs)
+    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=7, weightCol="n", minWeightFractionPerNode=min(0.49, 3 / got["n"]))
+    made = gbt.fit(rows.select(vector, F.col("label").cast("double"), F.col("n").cast("double")))
+    return Model([_tree((t._java_obj if hasattr(t, "_java_obj") else t).rootNode(), limits) for t in made.trees], list(made.treeWeights))
+
+
+def fit(docs: DataFrame, precision: float = PRECISION, rounds: int = 20, depth: int = 3) -> Model | None:
+    """Boosted trees and thresholds from all labelled candidates of all texts; None without candidates of both labels."""
+    rows = table(learnable(docs.select("text")))
+    limits = _limits(rows)
+    model = _train(rows, limits, rounds, depth)
+    if model is not None:
+        _calibrate(model, rows, [_train(rows.filter(F.col("fold") != i), limits, rounds, depth) or model for i in range(FOLDS)], precision)
     discard(rows)
     return model
 
 
-def _calibrate(model: Model, held: DataFrame, precision: float) -> None:
-    """Sets thresholds: from the top score down, as long as the share of right ones stays. At most 100 rows a kind come to the driver."""
-    cell = F.floor(F.least(model.score(F.struct(*FEATURES)) * 100, F.lit(99.0))).cast("int")
-    got = held.select("kind", "label", cell.alias("cell")).groupBy("kind", "cell").agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()
+def _calibrate(model: Model, rows: DataFrame, others: list[Model], precision: float) -> None:
+    """Sets thresholds: from the top score down, as long as the share of right ones stays. A fold is scored by the trees without it (fit: by all, if those had nothing to learn from). At most 100 rows a kind come to the driver."""
+    score = F.lit(None).cast("double")
+    for i, other in enumerate(others):
+        score = F.when(F.col("fold") == i, other.score(F.struct(*FEATURES))).otherwise(score)
+    cell = F.floor(F.least(score * 100, F.lit(99.0))).cast("int")
+    got = rows.withColumn("cell", cell).groupBy("kind", "cell").agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect()
     for k in model.thresholds:
         right = n = 0
         best = None
@@ -240,20 +260,20 @@ def written(found: Column, base_only: bool = False) -> Column:
     return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def find(docs: DataFrame, **bounds) -> DataFrame:
+def find(docs: DataFrame, **options) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (all spans, written out)."""
     made = [*[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
     docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in made])
     (found,) = fresh(docs, "found")
-    out = spans(docs, fit(docs, **bounds), found)
+    out = spans(docs, fit(docs, **options), found)
     count = lambda k: F.size(F.filter(F.col(found), lambda s: s.base & (s.kind == k))).cast("long").alias(f"n_{KINDS[k]}")
     return out.select(*[quoted(c) for c in docs.columns], *map(count, range(len(KINDS))), F.sha2(written(F.col(found), True), 256).alias("base_sha256"), written(F.col(found)).alias("spans"))
 
 
-def redact(docs: DataFrame, **bounds) -> DataFrame:
+def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with every span's text replaced by its kind in brackets; of spans that overlap the first one names the place and all are hidden."""
     (found,) = fresh(docs, "found")
-    out = spans(docs, fit(docs, **bounds), found)
+    out = spans(docs, fit(docs, **options), found)
     names, start = F.array(*map(F.lit, KINDS)), F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -1,6 +1,7 @@
 """Personal-data spans against regular expressions of the library re, planted obfuscations, and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -102,6 +103,41 @@ def test_method_adds_hidden_forms_and_leaves_clean_texts_alone(spark):
     assert not added
 
 
+def test_fit_reads_every_text(spark):
+    """What is to be learned stands in a few of 25,000 texts only: copies of one whose hash is high, which samples of 20,000 texts left out, and their base forms."""
+    texts = spark.createDataFrame([(f"order {i}234567890123456 was sent",) for i in range(1, 60) if not luhn(f"{i}234567890123456")], "text string")
+    last = texts.orderBy(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)).desc()).first().text
+    rows = [last] * 10 + ["paid with card 4111111111111111 yesterday"] * 10 + [f"nothing {i % 7}" for i in range(25_000)]
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    got = {r.label: r.n for r in pii.learnable(df).groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    assert got[0] >= 10 and got[1] >= 10
+    model = pii.fit(df)
+    assert model is not None and model.trees
+
+
+def test_weights_stand_for_equal_candidates(spark):
+    df = spark.createDataFrame([(t,) for t in corpus(400) * 3], "text string")
+    rows = pii.learnable(df).persist()
+    each = rows.withColumn("n", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
+    wanted = df.select(F.explode(pii.candidates(F.col("text"))).alias("c")).filter(pii.label(F.col("c")).isNotNull()).count()
+    assert rows.count() < wanted == each.count()
+    limits = pii._limits(rows)
+    score = F.round(pii._train(rows, limits, 5, 3).score(F.struct(*pii.FEATURES)) - pii._train(each, limits, 5, 3).score(F.struct(*pii.FEATURES)), 9)
+    assert [r[0] for r in rows.select(F.abs(score)).distinct().collect()] == [0.0]
+    rows.unpersist()
+
+
+def test_thresholds_count_every_fold(spark):
+    """A constant score for each fold: 0.9 of fold 0 and 0.6 of fold 1, rows with weights."""
+    at = lambda p: pii.Model([math.log(p / (1 - p)) / 2], [1.0])
+    rows = [(f, y, *[pii.CARD, *[0] * (len(pii.FEATURES) - 1)], n) for f, y, n in [(0, 1, 99), (0, 0, 1), (1, 1, 60), (1, 0, 40)]]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in ("fold", "label", *pii.FEATURES)) + ", n long")
+    for others, wanted in (((0.905, 0.605), 0.9), ((0.605, 0.905), 1.1)):
+        model = at(0.5)
+        pii._calibrate(model, df, [at(p) for p in others], 0.95)
+        assert model.thresholds == {0: 0.5, 1: 0.5, 2: wanted, 3: 0.5}
+
+
 def test_redact(spark):
     texts = [*corpus(200), "a@b.c 🙂 and +1 (643) 555-5742!", "nothing", "", None]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, found string")
