@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rxnframe import session
 from rxnframe.functions.columns import hash_bucket
 from rxnframe.operators import selection
+from rxnframe.plans import registry
+from tests.compare import assert_same, connect
 
 
 def pretend(master, checkpoint=None, **conf):
@@ -39,3 +41,18 @@ def test_sample_of_any_size(spark, n):
 def test_sample_with_null_keys(spark):
     df = spark.range(50).select(F.when(F.col("id") % 5 > 0, F.col("id")).alias("id"))
     assert selection.sample_n(df, 20, "id").count() == 20 and selection.sample_n(df.limit(0), 3, "id").count() == 0
+
+
+#: Partitions so small that adaptive execution merges those of a union's inputs differently.
+UNEVEN = {
+    "spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.unionOutputPartitioning": "true",
+}
+
+
+@pytest.mark.parametrize("name", ["e2_distance_to_set"])
+def test_graphs_stay_whole_above_unions(spark, small, name):
+    own = spark.newSession()
+    for key, value in UNEVEN.items():
+        own.conf.set(key, value)
+    assert_same(registry.queries()[name](own, small), connect(small), registry.oracle_sql()[name])
