@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rxnframe.functions.columns import dot, matrix_vector
+from rxnframe.session import tune
 
 Matrix = list[list[float]]
 RANGE = 1 << 20
@@ -214,6 +215,7 @@ def pair_attention(nodes: DataFrame, pairs: DataFrame, width: int, clip: tuple[f
         if held is not None:
             yield told([name], held)
 
+    tune(nodes.sparkSession)
     return a.unionByName(b).repartition("graph_id").sortWithinPartitions("graph_id", "kind", "other").mapInArrow(run, schema)
 
 
