@@ -50,7 +50,7 @@ UNEVEN = {
 }
 
 
-@pytest.mark.parametrize("name", ["e2_distance_to_set", "d16_pair_attention", "d22_shell_counts"])
+@pytest.mark.parametrize("name", ["e2_distance_to_set", "d16_pair_attention", "d22_shell_counts", "d23_reaction_descriptor"])
 def test_graphs_stay_whole_above_unions(spark, small, name):
     own = spark.newSession()
     for key, value in UNEVEN.items():
