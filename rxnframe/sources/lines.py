@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rxnframe.session import table
+from rxnframe.session import discard, table
 
 HEADER = r"^\s*[0-9]+\s*$"
 
@@ -30,9 +30,15 @@ def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     frame counts a file's frames from 0 in order, broken ones included. A frame is broken, and rejected at its header's line, where its atoms' lines are not element and three numbers or too few come before the next frame or
     the end. Lines that belong to no frame are rejected each, but for empty ones."""
-    lines = table(read_lines(spark, path))
-    number = lines.filter(F.col("line").rlike(HEADER)).select("file", "line_no", F.trim("line").try_cast("int").alias("n"))
-    after = number.select("file", (F.col("line_no") + 1).alias("line_no"))
+    numbered_lines = read_lines(spark, path).withColumn("p", F.split(F.trim("line"), r"\s+"))
+    value = lambda i: F.get("p", F.lit(i)).try_cast("double")
+    is_atom = (F.size("p") >= 4) & value(1).isNotNull() & value(2).isNotNull() & value(3).isNotNull()
+    n = F.when(F.col("line").rlike(HEADER), F.coalesce(F.trim("line").try_cast("int"), F.lit(0))).alias("n")
+    atom = [F.when(is_atom, x).alias(c) for c, x in zip(("element", *"xyz"), (F.get("p", F.lit(0)), *[value(i) for i in (1, 2, 3)]))]
+    lines = table(numbered_lines.select("file", "line_no", n, (F.trim("line") == "").alias("blank"), F.coalesce(is_atom, F.lit(False)).alias("atom"), *atom))
+    number = lines.filter("n is not null").select("file", "line_no", "n")
+    # Joins of a row a frame or a line are merged: such rows take far less room in files, by which Spark would choose to broadcast them, than in memory.
+    after = number.select("file", (F.col("line_no") + 1).alias("line_no")).hint("merge")
     heads = table(number.join(after, ["file", "line_no"], "left_anti").filter("n > 0"))
     part = F.floor(F.col("line_no") / (1 << 20)).alias("part")  # heads are numbered within parts of a file, then across them
     sizes = heads.groupBy("file", part).agg(F.count("*").alias("k"))
@@ -41,15 +47,14 @@ def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rank = F.row_number().over(Window.partitionBy("file", "part").orderBy("line_no"))
     numbered = heads.withColumn("part", part).withColumn("rank", rank).join(sizes, ["file", "part"]).select("file", "n", F.col("line_no").alias("head"), (F.col("rank") + F.col("earlier") - 1).cast("int").alias("frame"))
     place = F.posexplode(F.sequence(F.col("head"), F.col("head") + F.col("n") + 1)).alias("place", "line_no")
-    wanted = numbered.select("file", "head", "frame", "n", place)
-    met = lines.join(wanted, ["file", "line_no"], "left").withColumn("p", F.split(F.trim("line"), r"\s+"))
-    value = lambda i: F.get("p", F.lit(i)).try_cast("double")
-    is_atom = (F.col("place") >= 2) & (F.size("p") >= 4) & value(1).isNotNull() & value(2).isNotNull() & value(3).isNotNull()
-    met = table(met.select("file", "line_no", "head", "frame", "n", "place", "line", F.coalesce(is_atom, F.lit(False)).alias("atom"), F.get("p", F.lit(0)).alias("element"), *[value(i + 1).alias(c) for i, c in enumerate("xyz")]))
-    whole = met.filter("head is not null").groupBy("file", "head").agg((F.count_if("atom") == F.max("n")).alias("whole"))
+    wanted = numbered.select("file", "head", "frame", F.col("n").alias("size"), place)
+    met = lines.drop("n").join(wanted.hint("merge"), ["file", "line_no"], "left")
+    met = table(met.withColumn("atom", F.col("atom") & F.coalesce(F.col("place") >= 2, F.lit(False))))
+    whole = met.filter("head is not null").groupBy("file", "head").agg((F.count_if("atom") == F.max("size")).alias("whole"))
     whole = table(whole)
-    atoms = met.filter("atom").join(whole.filter("whole"), ["file", "head"], "left_semi")
+    discard(lines, heads)
+    atoms = met.filter("atom").join(whole.filter("whole").hint("merge"), ["file", "head"], "left_semi")
     coords = atoms.select("file", "frame", (F.col("place") - 1).cast("long").alias("node"), "element", "x", "y", "z")
     broken = whole.filter("not whole").select("file", F.col("head").alias("line_no"), F.lit("frames").alias("stage"), F.lit("broken frame").alias("reason"))
-    loose = met.filter("head is null and trim(line) <> ''").select("file", "line_no", F.lit("frames").alias("stage"), F.lit("outside frames").alias("reason"))
+    loose = met.filter("head is null and not blank").select("file", "line_no", F.lit("frames").alias("stage"), F.lit("outside frames").alias("reason"))
     return coords, broken.unionByName(loose)

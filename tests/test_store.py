@@ -135,3 +135,11 @@ def test_broken_frames_are_rejected(spark, tmp_path, ranges):
     assert sorted({r.frame for r in coords.collect()}) == [0, 2]
     told = sorted((r.line_no, r.reason) for r in rejects.collect())
     assert (0, "outside frames") in told and {n for n, x in told if x == "broken frame"} == {5, 12, 17}
+
+
+def test_frames_are_not_broadcast(spark, tmp_path):
+    (tmp_path / "t.xyz").write_text("\n".join(x for k in range(40) for x in frame(2, k)))
+    own = spark.newSession()  # its broadcast threshold is Spark's usual one
+    coords = lines.read_frames(own, str(tmp_path / "t.xyz"))[0]
+    assert coords.count() == 80
+    assert "Broadcast" not in coords._jdf.queryExecution().executedPlan().toString()
