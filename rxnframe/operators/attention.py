@@ -38,10 +38,10 @@ def _add(*arrays: Column) -> Column:
     return out
 
 
-def edge_scores(nodes: DataFrame, edges: DataFrame, w_edge: Matrix, w_attn: Matrix, heads: int, h_width: int) -> DataFrame:
-    """Edges with f_out (heads * width values) and logits (one per head): edge layer, leaky ReLU, then the row sum of the attention matrix as one vector shared by all heads."""
+def edge_scores(nodes: DataFrame, edges: DataFrame, w_edge: Matrix, w_attn: Matrix, heads: int, h_width: int, more: Column | None = None) -> DataFrame:
+    """Edges with f_out (heads * width values) and logits (one per head): edge layer, leaky ReLU, then the row sum of the attention matrix as one vector shared by all heads. more: an expression of source nodes that edges get as z."""
     width, f_width = len(w_edge) // heads, len(w_edge[0]) - 2 * h_width
-    source = nodes.select("graph_id", F.col("node").alias("u"), matrix_vector(_columns(w_edge, 0, h_width), F.col("h")).alias("_a"))
+    source = nodes.select("graph_id", F.col("node").alias("u"), matrix_vector(_columns(w_edge, 0, h_width), F.col("h")).alias("_a"), *([] if more is None else [more.alias("z")]))
     target = nodes.select("graph_id", F.col("node").alias("v"), matrix_vector(_columns(w_edge, h_width + f_width, len(w_edge[0])), F.col("h")).alias("_c"))
     x = edges.join(source, ["graph_id", "u"]).join(target, ["graph_id", "v"])
     own = matrix_vector(_columns(w_edge, h_width, h_width + f_width), F.col("f"))
@@ -56,23 +56,30 @@ def edge_softmax_aggregate(nodes: DataFrame, edges: DataFrame, w_node: Matrix, w
     self_loop: the node's own score (its projected features times the row sum of w_self) joins the softmax, and its own weighted term is
     added once more. Nodes without incoming edges are left out unless self_loop is set.
     """
-    width = len(w_node) // heads
-    new = nodes.select("graph_id", "node", matrix_vector(w_node, F.col("h")).alias("z"))
-    if self_loop:
-        new = new.withColumn("z", F.transform("z", leaky))
-    scored = edge_scores(nodes, edges, w_edge, w_attn, heads, h_width).select("graph_id", "u", F.col("v").alias("node"), "logits")
-    rows = scored.join(new.select("graph_id", F.col("node").alias("u"), "z"), ["graph_id", "u"]).select("graph_id", "node", "logits", "z", F.lit(1.0).alias("times"))
-    if self_loop:
-        vector = F.array(*[F.lit(float(s)) for s in np.asarray(w_self).sum(0)])
-        own = new.withColumn("logits", F.array(*[dot(F.slice("z", 1 + i * width, width), vector) for i in range(heads)]))
-        rows = rows.unionByName(own.select("graph_id", "node", "logits", "z", F.lit(2.0).alias("times")))
+    width, every = len(w_node) // heads, [(i, j) for i in range(heads) for j in range(len(w_node) // heads)]
+    projected = matrix_vector(w_node, F.col("h"))
+    projected = F.transform(projected, leaky) if self_loop else projected
+    rows = edge_scores(nodes, edges, w_edge, w_attn, heads, h_width, projected).select("graph_id", F.col("v").alias("node"), "logits", "z")
     around = Window.partitionBy("graph_id", "node")  # the sums below reuse its partitioning
     rows = rows.withColumns({f"m{i}": F.max(F.col("logits")[i]).over(around) for i in range(heads)})
     weight = [F.exp(F.col("logits")[i] - F.col(f"m{i}")) for i in range(heads)]
-    sums = [F.sum(w).alias(f"s{i}") for i, w in enumerate(weight)]
-    sums += [F.sum(weight[i] * F.col("times") * F.col("z")[i * width + j]).alias(f"v{i}_{j}") for i in range(heads) for j in range(width)]
+    sums = [F.max(f"m{i}").alias(f"m{i}") for i in range(heads)] + [F.sum(w).alias(f"s{i}") for i, w in enumerate(weight)]
+    sums += [F.sum(weight[i] * F.col("z")[i * width + j]).alias(f"v{i}_{j}") for i, j in every]
     out = rows.groupBy("graph_id", "node").agg(*sums)
-    return out.select("graph_id", "node", F.array(*[F.col(f"v{i}_{j}") / F.col(f"s{i}") for i in range(heads) for j in range(width)]).alias("h"))
+    if self_loop:  # a node's own term joins what its edges sum up to: both shrink to the greater logit
+        vector = F.array(*[F.lit(float(s)) for s in np.asarray(w_self).sum(0)])
+        new = nodes.select("graph_id", "node", projected.alias("z"))
+        new = new.withColumns({f"l{i}": dot(F.slice("z", 1 + i * width, width), vector) for i in range(heads)})
+        known = new.filter("graph_id is not null").join(out, ["graph_id", "node"], "left")  # the filter is that of the joins above, so Spark reads and shuffles the nodes once for all
+        out = known.unionByName(new.filter("graph_id is null"), allowMissingColumns=True)
+        top = [F.greatest(f"l{i}", f"m{i}") for i in range(heads)]  # of the two the one that there is
+        shrink = [F.exp(F.col(f"m{i}") - top[i]) for i in range(heads)]
+        own = [F.exp(F.col(f"l{i}") - top[i]) for i in range(heads)]
+        both = lambda x, y: F.coalesce(x + y, x, y)
+        total = [both(F.col(f"s{i}") * shrink[i], own[i]).alias(f"s{i}") for i in range(heads)]
+        value = [both(F.col(f"v{i}_{j}") * shrink[i], 2 * own[i] * F.col("z")[i * width + j]).alias(f"v{i}_{j}") for i, j in every]
+        out = out.select("graph_id", "node", *total, *value)
+    return out.select("graph_id", "node", F.array(*[F.col(f"v{i}_{j}") / F.col(f"s{i}") for i, j in every]).alias("h"))
 
 
 def reduce_messages(messages: DataFrame, width: int, how: str = "sum") -> DataFrame:
