@@ -58,7 +58,7 @@ def test_graphs_stay_whole_above_unions(spark, small, name):
     assert_same(registry.queries()[name](own, small), connect(small), registry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["d13_edge_softmax_aggregate"])
+@pytest.mark.parametrize("name", ["d13_edge_softmax_aggregate", "d14_self_attention"])
 def test_lines_are_shuffled_once(spark, small, name):
     own = spark.newSession()
     for key, value in {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}.items():
