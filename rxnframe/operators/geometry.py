@@ -6,8 +6,12 @@ cells of one frame are spread over tasks; smaller frames compare all their atoms
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rxnframe.operators.nodes import HETERO
 
@@ -137,36 +141,160 @@ def segment_distance(a0: list[Column], a1: list[Column], b0: list[Column], b1: l
     return F.sqrt(F.least(to_segment(a0, b0, b1), to_segment(a1, b0, b1), to_segment(b0, a0, a1), to_segment(b1, a0, a1), cross))
 
 
+def segment_distances(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """segment_distance of many pairs at once, as rows of three coordinates; missing ones are NaN."""
+    dot = lambda p, q: (p * q).sum(1)
+
+    def to_segment(p, q0, q1):
+        d = q1 - q0
+        t = np.clip(np.nan_to_num(dot(p - q0, d) / dot(d, d)), 0, 1)
+        gap = p - (q0 + t[:, None] * d)
+        return dot(gap, gap)
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u, v, w = a1 - a0, b1 - b0, a0 - b0
+        uu, uv, vv, uw, vw = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
+        den = uu * vv - uv * uv
+        s, t = (uv * vw - vv * uw) / den, (uu * vw - uv * uw) / den
+        gap = w + s[:, None] * u - t[:, None] * v
+        inside = (den > 1e-12) & (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
+        least = np.where(inside, dot(gap, gap), np.nan)
+        for x in (to_segment(a0, b0, b1), to_segment(a1, b0, b1), to_segment(b0, a0, a1), to_segment(b1, a0, a1)):
+            least = np.fmin(least, x)
+    return np.sqrt(least)
+
+
+def _keyed(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by these columns, and which rows of that order begin a new value."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([np.diff(c[order]) != 0 for c in columns], 0)
+    return order, new
+
+
+def _places(atoms: tuple[np.ndarray, np.ndarray, np.ndarray], group: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Places of nodes by graph and frame (group) among the atoms (group, node and place of each), -1 for those that aren't there."""
+    known, name, at = atoms
+    order, _ = _keyed(np.append(known, group), np.append(name, node), np.append(np.zeros(len(name)), np.ones(len(node))))
+    own = order < len(name)
+    last = np.maximum.accumulate(np.where(own, np.arange(len(order)), -1))[~own] if len(order) else np.zeros(0, np.int64)
+    asked = order[~own] - len(name)
+    asked, found = asked[last >= 0], order[last[last >= 0]]
+    good = (known[found] == group[asked]) & (name[found] == node[asked])
+    out = np.full(len(node), -1)
+    out[asked[good]] = at[found[good]]
+    return out
+
+
+class _Bonds:
+    """Bonds of graphs with the places of their ends among the atoms, in the order of graph, frame, u, v; those with an end that isn't there are left out."""
+
+    def __init__(self, atoms: tuple[np.ndarray, np.ndarray, np.ndarray], group: np.ndarray, u: np.ndarray, v: np.ndarray):
+        order, _ = _keyed(group, u, v)
+        self.group, self.u, self.v = group[order], u[order], v[order]
+        self.i, self.j = _places(atoms, self.group, self.u), _places(atoms, self.group, self.v)
+        good = (self.i >= 0) & (self.j >= 0)
+        for c in ("group", "u", "v", "i", "j"):
+            setattr(self, c, getattr(self, c)[good])
+
+
+def _met(a: _Bonds, b: _Bonds, limit: int = 1 << 19):
+    """Yields places (in a, in b) of all pairs of bonds of one graph and frame, about `limit` at a time."""
+    low, high = np.searchsorted(b.group, a.group), np.searchsorted(b.group, a.group, "right")
+    many = high - low
+    total = np.append(0, np.cumsum(many))
+    start = 0
+    while start < len(many):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + limit, "right")) - 1)
+        k = np.repeat(np.arange(start, stop), many[start:stop])
+        yield k, low[k] + np.arange(len(k)) - (total[k] - total[start])
+        start = stop
+
+
 def alignment_indicators(coords: DataFrame, bonds_r: DataFrame, bonds_p: DataFrame, elements: DataFrame, default: float = 2.0) -> DataFrame:
-    """C11: per graph: mass-weighted deviation of the two frames (0 reactant, 1 product), longest changing bond without and with hydrogen, nearest other bond to a changing bond without and with hydrogen, and the crossing distance of two broken or two formed bonds in a hydrogen-free change. A broken bond is measured in the product frame, a formed one in the reactant frame."""
-    key = ["graph_id", "u", "v"]
-    r, p = bonds_r.select(*key).distinct(), bonds_p.select(*key).distinct()
-    broken = r.join(p, key, "left_anti").withColumn("frame", F.lit(1))
-    formed = p.join(r, key, "left_anti").withColumn("frame", F.lit(0))
-    changing = broken.unionByName(formed)
-    standing = p.withColumn("frame", F.lit(1)).unionByName(r.withColumn("frame", F.lit(0)))
-    at = coords.select("graph_id", "frame", "node", "element", *XYZ)
-
-    def placed(df, tag):
-        for end in "uv":
-            df = df.join(at.select("graph_id", "frame", F.col("node").alias(end), *[F.col(c).alias(f"{c}{end}_{tag}") for c in XYZ], F.col("element").alias(f"e{end}_{tag}")), ["graph_id", "frame", end])
-        return df.withColumnsRenamed({"u": f"u_{tag}", "v": f"v_{tag}"})
-
-    ends = lambda tag: [[F.col(f"{c}{end}_{tag}") for c in XYZ] for end in "uv"]
-    a = placed(changing, "a").withColumn("hydrogen", (F.col("eu_a") == "H") | (F.col("ev_a") == "H"))
-    length = F.sqrt(sum(((p - q) ** 2 for p, q in zip(*ends("a"))), F.lit(0.0)))
-    pick = lambda test, x: F.when(test, x)
-    longest = a.groupBy("graph_id").agg(F.max(pick(~F.col("hydrogen"), length)).alias("max_bond"), F.max(pick(F.col("hydrogen"), length)).alias("max_h_bond"), F.bool_or("hydrogen").alias("any_h"))
-    b = placed(standing, "b")
-    free = (F.col("u_b") != F.col("u_a")) & (F.col("u_b") != F.col("v_a")) & (F.col("v_b") != F.col("u_a")) & (F.col("v_b") != F.col("v_a"))
-    d = segment_distance(*ends("a"), *ends("b"))
-    crossed = a.join(b, ["graph_id", "frame"]).filter(free).groupBy("graph_id").agg(F.min(pick(~F.col("hydrogen"), d)).alias("min_cross"), F.min(pick(F.col("hydrogen"), d)).alias("min_h_cross"))
-    two = a.withColumn("k", F.count("*").over(Window.partitionBy("graph_id", "frame"))).filter("k = 2")
-    other = two.select("graph_id", "frame", *[F.col(c).alias(c[:-1] + "b") for c in two.columns if c.endswith("_a")])
-    meet = two.join(other, ["graph_id", "frame"]).filter("struct(u_a, v_a) < struct(u_b, v_b)").groupBy("graph_id").agg(F.min(d).alias("_path"))
-    out = geometry_deviation(coords, elements).select("graph_id", F.col("mass_rmsd").alias("rmsd")).join(longest, "graph_id").join(crossed, "graph_id", "left").join(meet, "graph_id", "left")
-    out = out.withColumn("path_cross", F.when(F.col("any_h"), default).otherwise(F.least(F.lit(default), F.coalesce("_path", F.lit(default)))))
-    return out.select("graph_id", "rmsd", *[F.coalesce(c, F.lit(default)).alias(c) for c in ("max_bond", "max_h_bond", "min_cross", "min_h_cross")], "path_cross")
+    """C11: per graph: mass-weighted deviation of the two frames (0 reactant, 1 product), longest changing bond without and with hydrogen, nearest other bond to a changing bond without and with hydrogen, and the crossing distance of two broken or two formed bonds in a hydrogen-free change. A broken bond is measured in the product frame, a formed one in the reactant frame.
+
+    One graph's atoms and bonds form a row; a task takes many graphs at once, and their pairs of bonds in blocks. elements, one row a symbol, goes to all tasks. Missing coordinates count as no distance; nodes are whole numbers and stand once in a frame."""
+    long = lambda c: F.col(c).cast("long").alias(c)
+    mass = F.broadcast(elements.select("element", F.col("mass").cast("double").alias("mass")))
+    c = coords.filter("frame in (0, 1) and node is not null").join(mass, "element", "left")
+    kind = F.when(F.col("element") == "H", 1).when(F.col("element").isNotNull(), 0).otherwise(-1).cast("long").alias("kind")
+    whole = lambda df, name, *x: df.filter("graph_id is not null").groupBy("graph_id").agg(F.collect_list(F.struct(*x)).alias(name))
+    bonds = lambda df, name: whole(df.filter("u is not null and v is not null"), name, long("u"), long("v"))
+    double = [F.col(x).cast("double").alias(x) for x in ("mass", *XYZ)]
+    rows = whole(c, "c", long("frame"), long("node"), kind, *double).join(bonds(bonds_r, "r"), "graph_id", "left").join(bonds(bonds_p, "p"), "graph_id", "left")
+    names = ("rmsd", "max_bond", "max_h_bond", "min_cross", "min_h_cross", "path_cross")
+    schema = T.StructType([T.StructField("graph_id", coords.schema["graph_id"].dataType), *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keep, values = _indicators(batch, default)
+                yield pa.RecordBatch.from_arrays([batch.column("graph_id").filter(pa.array(keep)), *[pa.array(v[keep], from_pandas=True) for v in values]], names=["graph_id", *names])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Graph of each item of a list column, and the items' fields; missing numbers are NaN."""
+    col = batch.column(name)
+    graph = pc.list_parent_indices(col).to_numpy()
+    items = col.flatten()
+    return graph, {f.name: pc.struct_field(items, [f.name]).to_numpy(zero_copy_only=False) for f in items.type}
+
+
+def _indicators(batch: pa.RecordBatch, default: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which graphs have a row, and the six indicators of all."""
+    n = batch.num_rows
+    graph, c = _flat(batch, "c")
+    at = np.stack([c[x] for x in XYZ], 1)
+    order, _ = _keyed(graph * 2 + c["frame"], c["node"])
+    atoms = ((graph * 2 + c["frame"])[order], c["node"][order], order)
+    sides = []
+    for name in "rp":
+        g, b = _flat(batch, name)
+        order, new = _keyed(g, b["u"], b["v"])
+        sides.append([x[order][new] for x in (g, b["u"], b["v"])])
+    every = [np.concatenate(x) for x in zip(*sides)]
+    of_p = np.arange(len(every[0])) >= len(sides[0][0])
+    order, new = _keyed(*every)
+    alone = np.zeros(len(order), bool)
+    alone[order] = new & np.append(new[1:], True)
+    a = _Bonds(atoms, every[0][alone] * 2 + ~of_p[alone], every[1][alone], every[2][alone])
+    b = _Bonds(atoms, every[0] * 2 + of_p, every[1], every[2])
+    hydrogen = (c["kind"][a.i] == 1) | (c["kind"][a.j] == 1)
+    plain = (c["kind"][a.i] == 0) & (c["kind"][a.j] == 0)
+    best = lambda f, fill, where, k, x: (out := np.full(n, fill), f.at(out, k[where], x[where]), np.where(np.isinf(out), np.nan, out))[2]
+    length, mine = np.sqrt(((at[a.i] - at[a.j]) ** 2).sum(1)), a.group // 2
+    found = {name: best(np.fmax, -np.inf, test, mine, length) for name, test in (("max", plain), ("max_h", hydrogen))}
+    near = np.full(len(a.group), np.inf)
+    path = np.full(n, np.inf)
+    for x, y in _met(a, b):
+        free = (b.u[y] != a.u[x]) & (b.u[y] != a.v[x]) & (b.v[y] != a.u[x]) & (b.v[y] != a.v[x])
+        x, y = x[free], y[free]
+        np.fmin.at(near, x, segment_distances(at[a.i[x]], at[a.j[x]], at[b.i[y]], at[b.j[y]]))
+    found |= {name: best(np.fmin, np.inf, test, mine, near) for name, test in (("min", plain), ("min_h", hydrogen))}
+    first = np.flatnonzero(np.append(True, np.diff(a.group) != 0)) if len(a.group) else np.zeros(0, np.int64)
+    x = first[np.diff(np.append(first, len(a.group))) == 2]  # frames of two changing bonds
+    np.fmin.at(path, mine[x], segment_distances(at[a.i[x]], at[a.j[x]], at[a.i[x + 1]], at[a.j[x + 1]]))
+    any_h = np.zeros(n, bool)
+    any_h[mine[hydrogen]] = True
+    # Deviation: atoms of frame 0 with a mass that are in frame 1 as well.
+    zero = np.flatnonzero((c["frame"] == 0) & ~np.isnan(c["mass"]))
+    pair = _places(atoms, graph[zero] * 2 + 1, c["node"][zero])
+    zero, pair = zero[pair >= 0], pair[pair >= 0]
+    d2 = ((at[zero] - at[pair]) ** 2).sum(1)
+    there = ~np.isnan(d2)
+    total, weight, some = (np.bincount(graph[zero][k], w[k], n) for k, w in ((there, c["mass"][zero] * d2), (slice(None), c["mass"][zero]), (there, np.ones(len(zero)))))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rmsd = np.where(some > 0, np.sqrt(total / weight), np.nan)
+    keep = np.zeros(n, bool)
+    keep[mine] = True
+    both = np.zeros(n, bool)
+    both[graph[zero]] = True
+    told = [np.where(np.isnan(found[k]), default, found[k]) for k in ("max", "max_h", "min", "min_h")]
+    return keep & both, [rmsd, *told, np.where(any_h, default, np.minimum(default, path))]
 
 
 def geometry_deviation(coords: DataFrame, elements: DataFrame, bonds: DataFrame | None = None, least: float = 0.2) -> DataFrame:

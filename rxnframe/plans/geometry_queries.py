@@ -55,7 +55,8 @@ def c10(spark, sf):
 
 @query("c11_alignment_indicators")
 def c11(spark, sf):
-    out = M.alignment_indicators(X.coords(spark, sf), X.bonds(spark, sf, "r"), X.bonds(spark, sf, "p"), X.elements(spark))
+    n = X.shared_nodes(spark, sf, "l_discount", "element")
+    out = M.alignment_indicators(X.coords(spark, sf, n), X.bonds(spark, sf, "r", n), X.bonds(spark, sf, "p", n), X.elements(spark))
     return _round(out, "rmsd", "max_bond", "max_h_bond", "min_cross", "min_h_cross", "path_cross")
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,14 @@ def test_frames_are_spread(spark):
     parts = geometry._in_cells(df, 1.5, ["graph_id", "frame"], False).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(parts) > 1 and max(r["count"] for r in parts) < 2500
+
+
+def test_segment_distances_of_many_pairs(spark):
+    rng = np.random.default_rng(3)
+    p = rng.integers(-2, 3, (4, 200, 3)).astype(float)  # touching, parallel and empty segments among them
+    p[2, ::5, 1] = np.nan
+    got = geometry.segment_distances(*p)
+    df = spark.createDataFrame([(k, *[None if x != x else float(x) for x in p[:, k].ravel()]) for k in range(200)], "k long, " + ", ".join(f"c{i} double" for i in range(12)))
+    d = geometry.segment_distance(*[[F.col(f"c{3 * e + i}") for i in range(3)] for e in range(4)])
+    want = np.array([np.nan if r.d is None else r.d for r in df.select("k", d.alias("d")).orderBy("k").collect()])
+    np.testing.assert_allclose(got, want, atol=1e-12)

@@ -58,11 +58,11 @@ def test_graphs_stay_whole_above_unions(spark, small, name):
     assert_same(registry.queries()[name](own, small), connect(small), registry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["d13_edge_softmax_aggregate", "d14_self_attention"])
+@pytest.mark.parametrize("name", ["d13_edge_softmax_aggregate", "d14_self_attention", "c11_alignment_indicators"])
 def test_lines_are_shuffled_once(spark, small, name):
     own = spark.newSession()
     for key, value in {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}.items():
         own.conf.set(key, value)
     plan = registry.queries()[name](own, small)._jdf.queryExecution().executedPlan().toString()
     moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "ReusedExchange" not in x and "isnull" not in x]
-    assert len(moved) == 1 and "ExistingRDD" not in plan  # nothing is checkpointed either
+    assert len(moved) == 1 and plan.count("ExistingRDD") == name.startswith("c11_")  # nothing is checkpointed either; c11 reads the elements
